@@ -190,6 +190,8 @@ def join_ordered(
     whole text. Keys below the limit come out as one piece, number 0.
     """
     keys, order = list(keys), list(order)
+    if "piece_idx" in keys + order:
+        raise ValueError("piece_idx is an output of join_ordered; rename that column.")
     scanned = ordered_scan(
         df.select(*keys, *order, F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn(
             "_weight", F.length("_text") + F.lit(max(1, len(separator)))

@@ -99,8 +99,8 @@ def reduce_answers(
         if previous is not None and count >= previous:
             raise ValueError("Answers do not shrink below the budget; raise it.")
         previous = count
-        remaining = asked.join(split, keys, "left_semi")
-        order = ["piece_idx"]
+        remaining = asked.join(split, keys, "left_semi").withColumnRenamed("piece_idx", "_part")
+        order = ["_part"]
 
 
 def map_reduce_answer(

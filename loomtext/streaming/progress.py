@@ -46,11 +46,12 @@ class RunProgress(StatefulProcessor):
             answered = answered or bool(batch["has_final"].any())
         ended = answered or iterations >= self.max_iterations
         self.counts.update((iterations, errors, answered, ended))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if not ended and self.idle_seconds:
-            now = timerValues.getCurrentProcessingTimeInMs()
-            self.handle.registerTimer(now + self.idle_seconds * 1000)
+        if self.idle_seconds:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if not ended:
+                now = timerValues.getCurrentProcessingTimeInMs()
+                self.handle.registerTimer(now + self.idle_seconds * 1000)
         yield self._row(key, iterations, errors, answered, ended)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -63,11 +64,18 @@ class RunProgress(StatefulProcessor):
 
 
 def run_progress(
-    iterations: DataFrame, max_iterations: int = 30, idle_seconds: int = 600
+    iterations: DataFrame, max_iterations: int = 30, idle_seconds: int = 0
 ) -> DataFrame:
     """A row with the state of every run touched by a batch; ``iterations`` has run_id, has_error,
-    has_final. Needs the RocksDB state store provider."""
+    has_final. Needs the RocksDB state store provider.
+
+    With ``idle_seconds`` a run also ends after that long without an iteration. Its timers keep the
+    query running, so it suits a continuous trigger and not one that stops when the input is used up.
+    """
     ship_package(iterations.sparkSession)
     return iterations.groupBy("run_id").transformWithStateInPandas(
-        RunProgress(max_iterations, idle_seconds), PROGRESS, "Append", "ProcessingTime"
+        RunProgress(max_iterations, idle_seconds),
+        PROGRESS,
+        "Append",
+        "ProcessingTime" if idle_seconds else "None",
     )

@@ -58,7 +58,8 @@ def stream_match_timeouts(
     answered = responses.select(
         F.col("request_id").alias("answered_id"), "response_ts"
     ).withWatermark("response_ts", delay)
-    limit = F.col("request_ts") + F.make_dt_interval(secs=F.lit(timeout_seconds))
+    # A literal interval, which the state clean-up can reason about.
+    limit = F.col("request_ts") + F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")
     in_time = (F.col("response_ts") >= F.col("request_ts")) & (F.col("response_ts") <= limit)
     joined = asked.join(
         answered, (F.col("request_id") == F.col("answered_id")) & in_time, "left_outer"

@@ -20,12 +20,14 @@ def start_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
     )
 
 
-def drain(stream: DataFrame) -> tuple[DataFrame, StreamingQuery]:
+def drain(stream: DataFrame, limit_seconds: int = 3600) -> tuple[DataFrame, StreamingQuery]:
     """Process all available input; the emitted rows, and the finished query for its progress."""
     spark = stream.sparkSession
     path = scratch_path(spark, "stream")
     query = start_to_table(stream, path, scratch_path(spark, "checkpoint"))
-    query.awaitTermination()
+    if not query.awaitTermination(limit_seconds):
+        query.stop()
+        raise TimeoutError(f"The stream did not end within {limit_seconds} seconds.")
     return spark.read.schema(stream.schema).parquet(path), query
 
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from loomtext.functions.messages import iteration_messages
 from loomtext.operators.ordering import SLICE_ROWS, ordered_scan, running_sum
 
+# Longest prompt that is put together in one row.
+PROMPT_CHARS = 50_000_000
+
 HISTORY_COLUMNS = ["run_id", "iteration", "seq", "role", "content"]
 
 
@@ -55,20 +58,35 @@ def prompt_growth(history: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame
     )
 
 
-def assemble_prompts(history: DataFrame, due: DataFrame) -> DataFrame:
+def assemble_prompts(
+    history: DataFrame, due: DataFrame, limit_chars: int | None = PROMPT_CHARS
+) -> DataFrame:
     """Add ``prompt`` to ``due`` (one row per run: run_id, iteration, ...): all earlier messages in order.
 
-    A prompt is one value for one model call. In a loop its length is bounded by the number of rounds
-    and the cut on each output.
+    A prompt is one value for one model call. Where it would pass ``limit_chars`` it is NULL and
+    ``prompt_error`` says so, so no task collects a history of any length; ``prompt_growth`` still covers
+    such runs. None skips the check, for callers whose rounds and outputs bound the history.
     """
     earlier = history.join(due.select("run_id", F.col("iteration").alias("_due")), "run_id").where(
         F.col("iteration") < F.col("_due")
     )
+    error = F.lit(None).cast("string")
+    if limit_chars is not None:
+        too_long = (
+            earlier.groupBy("run_id")
+            .agg(F.sum(F.length("content").cast("long")).alias("_chars"))
+            .where(F.col("_chars") > limit_chars)
+        )
+        earlier = earlier.join(too_long, "run_id", "left_anti")
+        due = due.join(too_long, "run_id", "left")
+        error = F.when(
+            F.col("_chars").isNotNull(),
+            F.concat(F.lit("Prompt too long: "), F.col("_chars").cast("string"), F.lit(" characters")),
+        )
+    messages = F.array_sort(F.collect_list(F.struct("iteration", "seq", "role", "content")))
     prompts = (
         earlier.groupBy("run_id")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("iteration", "seq", "role", "content"))).alias("_m")
-        )
+        .agg(messages.alias("_m"))
         .select(
             "run_id",
             F.transform(
@@ -76,7 +94,12 @@ def assemble_prompts(history: DataFrame, due: DataFrame) -> DataFrame:
             ).alias("prompt"),
         )
     )
-    return due.join(prompts, "run_id", "left").withColumn(
-        "prompt",
-        F.coalesce("prompt", F.array().cast("array<struct<role:string,content:string>>")),
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    return (
+        due.join(prompts, "run_id", "left")
+        .withColumn("prompt_error", error)
+        .withColumn(
+            "prompt", F.when(F.col("prompt_error").isNull(), F.coalesce("prompt", none))
+        )
+        .drop("_chars")
     )

@@ -17,8 +17,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 1_000_000
-MAX_SLICES = 4096
+# Rows of one key that a task may sort, and the most slices the order column is cut into.
+SLICE_ROWS = 200_000
+MAX_SLICES = 16_384
 
 
 @dataclass(frozen=True)

@@ -147,7 +147,7 @@ def batch_complete(
             F.lit(turn + 1).cast("long").alias("iteration"),
             turn_prompt(F.lit(turn), F.col("question")).alias("_turn"),
         )
-        prompts = assemble_prompts(history, due).withColumn(
+        prompts = assemble_prompts(history, due, limit_chars=None).withColumn(
             "prompt",
             F.concat(
                 "prompt",
@@ -155,7 +155,7 @@ def batch_complete(
             ),
         )
         asked = materialise(
-            errors_as_values(ask(prompts.drop("_turn"), client, model=model, **options)), "turn"
+            errors_as_values(ask(prompts.drop("_turn", "prompt_error"), client, model=model, **options)), "turn"
         )
         answer = final_answer(F.col("answer"))
         rows = (
@@ -228,7 +228,8 @@ def default_answers(
     closing = F.array(
         F.struct(F.lit("assistant").alias("role"), F.lit(CLOSING_PROMPT).alias("content"))
     )
-    prompts = assemble_prompts(history, due).withColumn("prompt", F.concat("prompt", closing))
+    prompts = assemble_prompts(history, due, limit_chars=None)
+    prompts = prompts.withColumn("prompt", F.concat("prompt", closing)).drop("prompt_error")
     asked = materialise(errors_as_values(ask(prompts, client, model=model, **options)), "closing")
     return asked.select(
         "run_id",

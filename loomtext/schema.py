@@ -21,7 +21,7 @@ RAW_CALL = (
 )
 
 RAW_RECORD = (
-    "type string, timestamp string, root_model string, max_depth int, max_iterations int, "
+    "run_id string, type string, timestamp string, root_model string, max_depth int, max_iterations int, "
     "backend string, backend_kwargs map<string,variant>, environment_type string, "
     "environment_kwargs map<string,variant>, other_backends array<string>, "
     "iteration int, prompt variant, response string, "

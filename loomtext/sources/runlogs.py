@@ -1,4 +1,8 @@
-"""Run logs: JSON lines, one file (or one folder of part files) per run."""
+"""Run logs: JSON lines, one file (or one folder of part files) per run, or many runs to a file.
+
+A file per run is what other tools read. It costs a file system entry per run, so large collections
+are better kept packed, with ``run_id`` on every line.
+"""
 
 from __future__ import annotations
 
@@ -54,11 +58,11 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
     record = F.from_json(
         "line", RAW_RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
-    parsed = filled.select(
-        run_identity(F.col("file_path"))["run_id"].alias("run_id"),
+    parsed = filled.select("file_path", "line", record.alias("record")).select(
+        F.coalesce("record.run_id", run_identity(F.col("file_path"))["run_id"]).alias("run_id"),
         "file_path",
         "line",
-        record.alias("record"),
+        "record",
     )
     # The second parse runs for flagged lines only.
     is_object = F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT")
@@ -191,15 +195,18 @@ def run_config(configs: DataFrame, runs: DataFrame) -> DataFrame:
     return runs.select("run_id").join(latest, "run_id", "left").select("run_id", "config.*")
 
 
-def log_lines(configs: DataFrame, iterations: DataFrame) -> DataFrame:
+def log_lines(configs: DataFrame, iterations: DataFrame, packed: bool = False) -> DataFrame:
     """Rows (run_id, line_no, line): the metadata line is number 0, iterations follow from 1.
 
-    ``iterations`` carries the strict schema. Iteration numbers must be 1-based within a run.
+    ``iterations`` carries the strict schema. Iteration numbers must be 1-based within a run. Packed
+    lines name their run.
     """
+    named = ["run_id"] if packed else []
     once = configs.groupBy("run_id").agg(
         F.min_by(F.struct(*[c for c in configs.columns if c != "run_id"]), "ts").alias("c")
     )
     head = F.struct(
+        *named,
         F.lit("metadata").alias("type"),
         F.col("c.ts").cast("string").alias("timestamp"),
         *(
@@ -216,6 +223,7 @@ def log_lines(configs: DataFrame, iterations: DataFrame) -> DataFrame:
         F.col("final_kind").isNotNull(), F.array("final_kind", "final_answer").cast("variant")
     ).otherwise(F.col("final_answer").cast("variant"))
     body = F.struct(
+        *named,
         F.lit("iteration").alias("type"),
         "iteration",
         F.col("ts").cast("string").alias("timestamp"),
@@ -257,17 +265,22 @@ def _written_block(block: Column) -> Column:
     )
 
 
-def write_trajectories(configs: DataFrame, iterations: DataFrame, path: str) -> None:
-    """Append logs below ``path``, one folder per run, named by ``run_id``.
+def write_trajectories(
+    configs: DataFrame, iterations: DataFrame, path: str, packed: bool = False
+) -> None:
+    """Append logs below ``path``: one folder per run, named by ``run_id``, or packed.
 
     Rows are range-partitioned by (run, line), so a long run spreads over several part files whose
     names are in line order, and a stream sees each file once, complete.
     """
-    lines = log_lines(configs, iterations)
+    lines = log_lines(configs, iterations, packed)
     ordered = lines.repartitionByRange("run_id", "line_no").sortWithinPartitions(
         "run_id", "line_no"
     )
-    ordered.select("run_id", "line").write.partitionBy("run_id").mode("append").text(path)
+    if packed:
+        ordered.select("line").write.mode("append").text(f"{path}/packed.jsonl")
+    else:
+        ordered.select("run_id", "line").write.partitionBy("run_id").mode("append").text(path)
 
 
 def upsert_runs(

@@ -48,10 +48,10 @@ from loomtext.suite.fixtures import (
 from loomtext.suite.registry import query
 
 
-def write_logs(t) -> str:
+def write_logs(t, packed: bool = True) -> str:
     """The derived runs as log files in a new folder."""
     path = scratch_path(t.spark, "logs")
-    write_trajectories(run_files(configs(t)), run_files(iterations(t)), path)
+    write_trajectories(run_files(configs(t)), run_files(iterations(t)), path, packed)
     return path
 
 
@@ -104,13 +104,29 @@ def src4(t):
     """,
 )
 def snk1(t):
-    lines = parse_log_lines(read_log_lines(t.spark, write_logs(t)))
+    lines = parse_log_lines(read_log_lines(t.spark, write_logs(t, packed=False)))
     return lines.groupBy("run_id", F.col("record.type").alias("kind")).agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.max("record.iteration").cast("long").alias("last_line"),
     )
 
 
+@query(
+    "snk1_write_packed",
+    with_ctes(TRAJ_SQL)
+    + f"""
+    SELECT {RUN_FILE_SQL.format(run_id="run_id")} AS run_id, count(*) AS n_iterations,
+      CAST(sum(length(response)) AS BIGINT) AS n_chars FROM traj GROUP BY run_id
+    """,
+)
+def snk1_packed(t):
+    _, rows, _ = read_trajectories(t.spark, write_logs(t))
+    return rows.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_iterations"),
+        F.sum(F.length("response").cast("long")).alias("n_chars"),
+    )
+
+
 @query(
     "src5_run_identity",
     with_ctes(TRAJ_SQL)
@@ -121,7 +137,7 @@ def snk1(t):
     """,
 )
 def src5(t):
-    files = read_log_lines(t.spark, write_logs(t)).select("file_path").distinct()
+    files = read_log_lines(t.spark, write_logs(t, packed=False)).select("file_path").distinct()
     identity = files.select(run_identity(F.col("file_path")).alias("r")).select("r.*").distinct()
     return identity.withColumn("started", F.unix_timestamp(F.col("started").cast("timestamp")))
 
@@ -136,7 +152,7 @@ def src5(t):
     """,
 )
 def prj1(t):
-    lines = read_log_lines(t.spark, write_logs(t))
+    lines = read_log_lines(t.spark, write_logs(t, packed=False))
     # One broken and one blank line per run beside the good ones.
     runs = lines.select("file_path").distinct()
     broken = runs.select(F.lit('{"type": "iteration", ').alias("line"), "file_path")

@@ -16,6 +16,11 @@ CUT_STYLES = {
 }
 
 
+def whole_division(number: Column, by: Column | int) -> Column:
+    """Integer quotient as BIGINT, exact where a quotient of doubles is not."""
+    return F.call_function("div", number, by if isinstance(by, Column) else F.lit(by))
+
+
 def strip_blanks(text: Column) -> Column:
     """Remove leading and trailing Unicode blanks."""
     return F.regexp_replace(text, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
@@ -39,7 +44,7 @@ def truncate_text(text: Column, limit: int | None = None, style: str = "dotted")
 
 def tokens_of_length(characters: Column) -> Column:
     """A quarter of the characters, halves rounded up, in whole numbers."""
-    return F.floor((characters + F.lit(2)) / F.lit(4)).cast("long")
+    return whole_division(characters + F.lit(2), 4)
 
 
 def estimated_tokens(text: Column) -> Column:

@@ -53,7 +53,8 @@ def ask(
     chosen = F.lit(model) if model is None or isinstance(model, str) else model
     source = df.select(*kept, F.col(prompt).alias("_prompt"), chosen.cast("string").alias("_model"))
     if partitions:
-        source = source.repartition(partitions)
+        # By the ids, which spread evenly; without a key Spark would sort the rows first.
+        source = source.repartition(partitions, *([F.xxhash64(*kept)] if kept else []))
     schema = T.StructType([source.schema[c] for c in kept] + ANSWER_FIELDS)
     width = len(kept)
 

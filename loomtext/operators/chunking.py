@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.functions.text import whole_division
 from loomtext.operators.ordering import (
     SLICE_ROWS,
     group_size,
@@ -33,7 +34,7 @@ def chunk_fixed(df: DataFrame, n_chars: int, text: str = "text") -> DataFrame:
     Replaces ``text`` by (chunk_idx, chunk), chunk_idx from 0.
     """
     short = F.length(text) <= n_chars * SUBSTRING_CHUNKS
-    starts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / n_chars).cast("int"))
+    starts = F.sequence(F.lit(0), whole_division(F.length(text) - 1, n_chars).cast("int"))
     pieces = (
         F.when(F.length(text) == 0, F.array().cast("array<string>"))
         .when(
@@ -60,8 +61,8 @@ def assign_equal(
     scanned = ordered_scan(
         parts, ["ctx_id"], ["part_idx"], {"_rn": row_number(), "_n": group_size()}, slice_rows
     )
-    width = F.floor(F.col("_n") / groups)
-    position = F.floor((F.col("_rn") - 1) / F.greatest(width, F.lit(1)))
+    width = whole_division(F.col("_n"), groups)
+    position = whole_division(F.col("_rn") - 1, F.greatest(width, F.lit(1)))
     index = F.when(width == 0, F.lit(groups - 1)).otherwise(
         F.least(position, F.lit(groups - 1))
     )
@@ -129,7 +130,7 @@ def pack_docs(
 ) -> DataFrame:
     """``per_call`` parts per sub-call, in order: (ctx_id, call_idx, n_items, text)."""
     scanned = ordered_scan(parts, ["ctx_id"], ["part_idx"], {"_rn": row_number()}, slice_rows)
-    call = F.floor((F.col("_rn") - 1) / per_call).cast("long")
+    call = whole_division(F.col("_rn") - 1, per_call)
     items = F.array_sort(F.collect_list(F.struct("part_idx", "text")))
     return (
         scanned.withColumn("call_idx", call)
@@ -156,7 +157,7 @@ def pack_spans(
     scanned = ordered_scan(
         sized, ["ctx_id"], ["part_idx"], {"_upto": running_sum("_length")}, slice_rows
     )
-    call = F.floor((F.col("_upto") - F.col("_length")) / F.lit(budget)).cast("long")
+    call = whole_division(F.col("_upto") - F.col("_length"), budget)
     return scanned.withColumn("call_idx", call).drop("_length", "_upto")
 
 
@@ -198,7 +199,7 @@ def pack_chars(
         "part_idx",
         (F.col("_upto") - F.col("_length")).alias("before"),
         F.col("_upto").alias("upto"),
-        F.floor((F.col("_rn") - 1) / slice_rows).cast("long").alias("slice"),
+        whole_division(F.col("_rn") - 1, slice_rows).alias("slice"),
     )
     id_type = sized.schema["ctx_id"].dataType.simpleString()
 

@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions.text import whole_division
+
 # Rows of one key that a task may sort, and the most slices the order column is cut into.
 SLICE_ROWS = 200_000
 MAX_SLICES = 16_384
@@ -202,7 +204,7 @@ def join_ordered(
         {"_upto": running_sum("_weight")},
         slice_rows=slice_rows,
     )
-    piece = F.floor((F.col("_upto") - F.col("_weight")) / F.lit(piece_chars)).cast("long")
+    piece = whole_division(F.col("_upto") - F.col("_weight"), piece_chars)
     items = F.array_sort(F.collect_list(F.struct(*order, "_text")))
     return (
         scanned.withColumn("piece_idx", piece)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.functions.text import whole_division
 from loomtext.models import ClientFactory, EchoClient
 from loomtext.operators.asking import ask, errors_as_values
 from loomtext.operators.chunking import chunk_by_header, section_position
@@ -178,7 +179,7 @@ def tree_reduce(
     finished = None
     for depth in range(1, max_depth + 1):
         grouped = (
-            level.withColumn("_group", F.floor(F.col("_idx") / fan_in).cast("long"))
+            level.withColumn("_group", whole_division(F.col("_idx"), fan_in))
             .groupBy(*keys, "_group")
             .agg(F.array_sort(F.collect_list(F.struct("_idx", "answer"))).alias("_items"))
         )
@@ -234,7 +235,7 @@ def fold_sections(
         "n_sections",
         "is_last",
         "_section",
-        F.floor(F.col("section_no") / segment).cast("int").alias("_wave"),
+        whole_division(F.col("section_no"), segment).cast("int").alias("_wave"),
     )
     path = scratch_path(spark, "sections")
     placed.write.partitionBy("_wave").parquet(path)

@@ -114,6 +114,7 @@ def map_reduce_answer(
     chunk_template: str = CHUNK_PROMPT,
     combine_template: str = COMBINE_PROMPT,
     budget: int = BUDGET,
+    slice_rows: int = SLICE_ROWS,
     **options,
 ) -> DataFrame:
     """Ask about every chunk, join the answers in order, ask once more per key: (keys, answer)."""
@@ -124,7 +125,15 @@ def map_reduce_answer(
     )
     answers = _answers(prompts, client, options)
     return reduce_answers(
-        answers, keys, order, combine_template, query, client, budget, **options
+        answers,
+        keys,
+        order,
+        combine_template,
+        query,
+        client,
+        budget,
+        slice_rows=slice_rows,
+        **options,
     )
 
 
@@ -137,6 +146,7 @@ def section_summaries(
     section_template: str = SECTION_PROMPT,
     combine_template: str = SUMMARIES_PROMPT,
     budget: int = BUDGET,
+    slice_rows: int = SLICE_ROWS,
     **options,
 ) -> DataFrame:
     """Summarise every Markdown section, join ``header: summary`` lines, ask once per text."""
@@ -148,7 +158,15 @@ def section_summaries(
         "answer", F.concat("header", F.lit(": "), "answer")
     )
     return reduce_answers(
-        summaries, [key], ["section_idx"], combine_template, query, client, budget, **options
+        summaries,
+        [key],
+        ["section_idx"],
+        combine_template,
+        query,
+        client,
+        budget,
+        slice_rows=slice_rows,
+        **options,
     )
 
 

@@ -1,0 +1,289 @@
+"""Model calls, reductions and question loops."""
+
+import sys
+
+import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from loomtext.functions.messages import CLOSING_PROMPT
+from loomtext.models import Completion, EchoClient, FailingClient, RuleClient, prompt_text
+from loomtext.operators.asking import NO_RESULT, ask, ask_stored, errors_as_values
+from loomtext.operators.history import assemble_prompts
+from loomtext.operators.reducing import (
+    fold_sections,
+    map_reduce_answer,
+    reduce_answers,
+    render_prompt,
+    tree_reduce,
+)
+from loomtext.operators.requests import route_model, validate_requests, zip_results
+from loomtext.plans.iterate import batch_complete
+from loomtext.scratch import scratch_path
+from loomtext.sources.contexts import split_system, to_messages
+
+# Workers cannot import test modules.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def prompts(spark, n=20):
+    return spark.range(n).select(
+        "id", F.concat(F.lit("prompt "), F.col("id").cast("string")).alias("prompt")
+    )
+
+
+def test_echo_and_usage(spark):
+    rows = ask(prompts(spark), model="m", concurrency=3).collect()
+    assert {r["id"]: r["response"] for r in rows} == {
+        i: f"Mock response to: prompt {i}" for i in range(20)
+    }
+    assert {(r["root_model"], r["calls"], r["input_tokens"], r["output_tokens"]) for r in rows} == {
+        ("m", 1, 10, 10)
+    }
+    assert all(r["error"] is None and r["seconds"] >= 0 for r in rows)
+    long = ask(spark.range(1).select("id", F.lit("y" * 80).alias("prompt"))).first()["response"]
+    assert long == "Mock response to: " + "y" * 50
+
+
+def test_one_failure_leaves_the_rest(spark):
+    rows = errors_as_values(ask(prompts(spark), lambda: FailingClient("prompt 7"))).collect()
+    answers = {r["id"]: r["answer"] for r in rows}
+    assert len(answers) == 20 and answers[7] == "Error: failed" and answers[8].startswith("Mock")
+    assert next(r for r in rows if r["id"] == 7)["calls"] is None
+
+
+def test_batch_atomic(spark):
+    batches = prompts(spark).withColumn("batch", F.col("id") % 4)
+    asked = ask(batches, lambda: FailingClient("prompt 7"))
+    rows = errors_as_values(asked, "batch", batch_atomic=True).collect()
+    assert {r["batch"] for r in rows if r["error"]} == {3}
+    assert sum(r["error"] is not None for r in rows) == 5
+
+
+def test_no_result_is_an_error(spark):
+    rows = errors_as_values(ask(prompts(spark, 1), lambda: RuleClient(lambda p: None))).collect()
+    assert rows[0]["answer"] == "Error: " + NO_RESULT
+
+
+def test_stored_answers_resume(spark):
+    store = scratch_path(spark, "test")
+    ask_stored(prompts(spark, 8), "id", store)
+    again = ask_stored(
+        prompts(spark, 12), "id", store, rounds=3, client=lambda: RuleClient(lambda p: "new")
+    )
+    answers = {r["id"]: r["response"] for r in again.collect()}
+    assert len(answers) == again.count() == 12
+    assert {i for i, a in answers.items() if a == "new"} == {8, 9, 10, 11}
+
+
+def test_messages_and_empty_input(spark):
+    listed = spark.range(1).select(
+        "id",
+        F.array(
+            F.struct(F.lit("system").alias("role"), F.lit("s").alias("content")),
+            F.struct(F.lit("user").alias("role"), F.lit("u").alias("content")),
+        ).alias("prompt"),
+    )
+    assert ask(listed).first()["response"] == "Mock response to: s\nu"
+    assert ask(prompts(spark).where("id < 0")).count() == 0
+
+
+def test_model_column_and_routing(spark):
+    requests = spark.createDataFrame([(1, "a"), (2, "zzz"), (3, None)], "id long, model string")
+    registry = spark.createDataFrame([("a",), ("root",)], "model string")
+    for limit in (0, 100):
+        routed = route_model(requests, registry, "root", broadcast_rows=limit)
+        assert {r["id"]: r["routed_model"] for r in routed.collect()} == {1: "a", 2: "root", 3: "root"}
+    asked = ask(routed.withColumn("prompt", F.lit("p")), model=F.col("routed_model"), keep=["id"])
+    assert {r["root_model"] for r in asked.collect()} == {"a", "root"}
+
+
+def test_requests(spark):
+    rows = spark.createDataFrame(
+        [(1, "p", None), (2, "", None), (3, None, []), (4, "p", ["a"]), (5, None, None)],
+        "id long, prompt string, prompts array<string>",
+    )
+    kinds = {r["id"]: r["kind"] for r in validate_requests(rows).collect()}
+    assert kinds == {1: "single", 2: "error", 3: "error", 4: "batch", 5: "error"}
+    left = spark.createDataFrame([(1, 0), (1, 1)], "b long, pos long")
+    right = spark.createDataFrame([(1, 1), (1, 2)], "b long, pos long")
+    problems = {r["pos"]: r["problem"] for r in zip_results(left, right, "b", "pos").collect()}
+    assert problems == {0: "prompt without result", 1: None, 2: "result without prompt"}
+
+
+def test_prompt_forms(spark):
+    raw = spark.createDataFrame(
+        [(1, '"text"'), (2, '[{"role":"user","content":"x"}]'), (3, "5"), (4, '{"a":1}')],
+        "id long, raw string",
+    ).select("id", F.parse_json("raw").alias("prompt"))
+    rows = {r["id"]: r for r in to_messages(raw, "prompt").collect()}
+    assert rows[1]["messages"][0]["content"] == "text" and rows[2]["messages"][0]["content"] == "x"
+    assert rows[3]["error"] == rows[4]["error"] == "Invalid prompt type"
+    turns = spark.createDataFrame(
+        [(1, 0, "system", "a"), (1, 1, "user", "u"), (1, 2, "system", "b")],
+        "c long, turn long, role string, text string",
+    )
+    others, system = split_system(turns, "c", "turn", "role", "text")
+    assert others.count() == 1 and system.first()["system"] == "b"
+
+
+def test_template(spark):
+    row = spark.createDataFrame([("H", None)], "header string, body string")
+    assert row.select(render_prompt("{header}|{query}|{body}.", query="q").alias("p")).first()[0] == "H|q|."
+
+
+def last20(prompt):
+    return f"{len(prompt)}:{prompt[-20:]}"
+
+
+def parts(spark, n):
+    return spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 5)).alias("ctx_id"),
+        F.col("id").alias("part_idx"),
+        F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
+    )
+
+
+def by_context(spark, n):
+    grouped = {}
+    for r in parts(spark, n).orderBy("part_idx").collect():
+        grouped.setdefault(r["ctx_id"], []).append(r["text"])
+    return grouped
+
+
+def test_map_reduce_in_pieces(spark):
+    def reduced(texts, budget):
+        answers = [last20(t) for t in texts]
+        while True:
+            pieces, used = {}, 0
+            for a in answers:
+                pieces.setdefault(used // budget, []).append(a)
+                used += len(a) + 1
+            answers = [last20("\n".join(p)) for p in pieces.values()]
+            if len(answers) == 1:
+                return answers[0]
+
+    found = map_reduce_answer(
+        parts(spark, 90),
+        "q",
+        lambda: RuleClient(last20),
+        order=["part_idx"],
+        chunk="text",
+        chunk_template="{chunk}",
+        combine_template="{answers}",
+        budget=60,
+        slice_rows=10,
+    ).collect()
+    assert {r["ctx_id"]: r["answer"] for r in found} == {
+        k: reduced(v, 60) for k, v in by_context(spark, 90).items()
+    }
+
+
+def test_reduce_refuses_to_run_forever(spark):
+    answers = parts(spark, 30).withColumnRenamed("text", "answer")
+    with pytest.raises(ValueError, match="do not shrink"):
+        reduce_answers(
+            answers, ["ctx_id"], ["part_idx"], "{answers}", "q", lambda: RuleClient(lambda p: p), 5
+        )
+
+
+@pytest.mark.parametrize("max_depth", [1, 2, 9])
+def test_tree(spark, max_depth):
+    def reduced(texts):
+        depth = 0
+        while depth < max_depth:
+            depth += 1
+            texts = [last20("\n".join(texts[i : i + 4])) for i in range(0, len(texts), 4)]
+            if len(texts) == 1:
+                return texts[0], depth
+        return last20("\n".join(texts)), depth + 1
+
+    found = tree_reduce(
+        parts(spark, 60), 4, max_depth, "q", lambda: RuleClient(last20), template="{answers}", slice_rows=10
+    ).collect()
+    assert {r["ctx_id"]: (r["answer"], r["depth"]) for r in found} == {
+        k: reduced(v) for k, v in by_context(spark, 60).items()
+    }
+
+
+@pytest.mark.parametrize("segment", [1, 3, 1000])
+def test_fold_in_segments(spark, segment):
+    def folded(texts):
+        buffer = ""
+        for i, text in enumerate(texts):
+            kind = "L" if i == len(texts) - 1 else str(i)
+            buffer = last20(f"{kind}{buffer}|{text}")
+        return buffer
+
+    found = fold_sections(
+        parts(spark, 40),
+        "q",
+        lambda: RuleClient(last20),
+        step_template="{section_no}{buffer}|{section}",
+        last_template="L{buffer}|{section}",
+        segment=segment,
+        slice_rows=5,
+    ).collect()
+    assert {r["ctx_id"]: r["buffer"] for r in found} == {
+        k: folded(v) for k, v in by_context(spark, 40).items()
+    }
+
+
+def test_long_prompts_are_refused_not_cut(spark):
+    history = spark.createDataFrame(
+        [(1, 0, 0, "system", "s"), (1, 1, 0, "assistant", "a" * 100), (2, 1, 0, "user", "b")],
+        "run_id long, iteration long, seq long, role string, content string",
+    )
+    due = spark.createDataFrame([(1, 2), (2, 2), (3, 1)], "run_id long, iteration long")
+    rows = {r["run_id"]: r for r in assemble_prompts(history, due, limit_chars=50).collect()}
+    assert rows[1]["prompt"] is None and rows[1]["prompt_error"] == "Prompt too long: 101 characters"
+    assert [m["content"] for m in rows[2]["prompt"]] == ["b"] and rows[3]["prompt"] == []
+    whole = {r["run_id"]: r for r in assemble_prompts(history, due).collect()}
+    assert [m["role"] for m in whole[1]["prompt"]] == ["system", "assistant"]
+
+
+def test_loop_histories(spark):
+    """Every question ends once, and each prompt holds all that came before, in order."""
+    questions = spark.createDataFrame(
+        [(1, "one"), (2, "two"), (3, None)], "run_id long, question string"
+    )
+
+    def reply(prompt):
+        if prompt[-1]["content"] == CLOSING_PROMPT:
+            return "closing " + "".join(p["role"][0] for p in prompt)
+        shape = "".join(p["role"][0] for p in prompt)
+        asked = prompt[-1]["content"]
+        if '"one"' in asked:
+            return f"FINAL({shape})"
+        if '"two"' in asked and len(prompt) > 4:
+            return f"FINAL({shape})"
+        return f"```repl\na = {len(prompt)}\n```\n```repl\nb = 0\n```" if '"two"' in asked else "hm"
+
+    outcome = batch_complete(questions, client=lambda: RuleClient(reply), max_iterations=3)
+    rows = {r["run_id"]: r for r in outcome.answers.collect()}
+    assert {k: (r["kind"], r["answer"], r["n_iterations"]) for k, r in rows.items()} == {
+        1: ("FINAL", "su", 1),
+        2: ("FINAL", "sauuu", 2),
+        3: ("DEFAULT", "closing saaaa", 3),
+    }
+    blocks = outcome.iterations.where("run_id = 2 AND iteration = 1").first()["code_blocks"]
+    assert [b["code"] for b in blocks] == ["a = 2", "b = 0"]
+    assert outcome.iterations.where("run_id = 3").count() == 4
+
+
+def test_loop_survives_a_failing_model(spark):
+    questions = spark.createDataFrame([(1, "bad"), (2, "good")], "run_id long, question string")
+
+    def reply(prompt):
+        if '"bad"' in prompt_text(prompt):
+            raise ValueError("boom")
+        return "FINAL(ok)"
+
+    outcome = batch_complete(questions, client=lambda: RuleClient(reply), max_iterations=2)
+    answers = {r["run_id"]: (r["kind"], r["answer"]) for r in outcome.answers.collect()}
+    assert answers[2] == ("FINAL", "ok") and answers[1][0] == "DEFAULT"
+
+
+def test_completion_defaults():
+    assert Completion("x").calls == 1
+    assert EchoClient().complete("a" * 60, None).response == "Mock response to: " + "a" * 50

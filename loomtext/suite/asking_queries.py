@@ -174,7 +174,7 @@ def ask5_atomic(t):
     "ask6_completion_record",
     with_ctes(CALLS_SQL)
     + """
-    SELECT call_id, run_id, model, round(s / n, 4) AS execution_time, n AS batch_calls
+    SELECT call_id, run_id, model, round(s, 2) AS batch_seconds, n AS batch_calls
     FROM calls JOIN (SELECT run_id, sum(seconds) AS s, count(*) AS n FROM calls GROUP BY 1) USING (run_id)
     """,
 )
@@ -186,7 +186,7 @@ def ask6(t):
         "call_id",
         "run_id",
         "model",
-        F.round("execution_time", 4).alias("execution_time"),
+        F.round(F.col("execution_time") * F.col("batch_calls"), 2).alias("batch_seconds"),
         "batch_calls",
     )
 
@@ -368,18 +368,33 @@ def digest_sql(prompt: str) -> str:
     return f"(length({prompt}) || ':' || right({prompt}, 30))"
 
 
-@query(
-    "agg9_map_reduce_budget",
-    f"""
-    WITH {CHUNKS_SQL},
-    a AS (SELECT lang, doc_id, chunk_idx, {digest_sql("chunk")} AS answer FROM chunks JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)),
-    p AS (SELECT *, coalesce(sum(length(answer) + 1) OVER (PARTITION BY lang ORDER BY doc_id, chunk_idx
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4000 AS piece FROM a),
-    b AS (SELECT lang, piece, {digest_sql("string_agg(answer, chr(10) ORDER BY doc_id, chunk_idx)")} AS answer FROM p GROUP BY 1, 2),
-    c AS (SELECT lang, {digest_sql("string_agg(answer, chr(10) ORDER BY piece)")} AS answer, count(*) AS n FROM b GROUP BY 1)
-    SELECT lang AS ctx_id, answer FROM c
-    """,
-)
+def _budget_sql(budget: int, rounds: int = 4) -> str:
+    """Reduction in pieces: a key leaves at the first round that has one piece for it."""
+    steps, results = [], []
+    for n in range(1, rounds + 1):
+        order = "doc_id, chunk_idx" if n == 1 else "piece"
+        steps.append(
+            f"""
+    p{n} AS (SELECT *, coalesce(sum(length(answer) + 1) OVER (PARTITION BY lang ORDER BY {order}
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {budget} AS next_piece FROM a{n - 1}),
+    b{n} AS (SELECT lang, next_piece AS piece, {digest_sql(f"string_agg(answer, chr(10) ORDER BY {order})")} AS answer
+             FROM p{n} GROUP BY 1, 2),
+    a{n} AS (SELECT * FROM b{n} WHERE lang IN (SELECT lang FROM b{n} WHERE piece > 0))"""
+        )
+        results.append(
+            f"SELECT lang AS ctx_id, answer FROM b{n} WHERE lang NOT IN (SELECT lang FROM a{n})"
+        )
+    return (
+        f"""WITH {CHUNKS_SQL},
+    a0 AS (SELECT lang, doc_id, chunk_idx, {digest_sql("chunk")} AS answer
+           FROM chunks JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)),"""
+        + ",".join(steps)
+        + "\n"
+        + "\nUNION ALL\n".join(results)
+    )
+
+
+@query("agg9_map_reduce_budget", _budget_sql(4000))
 def agg9_budget(t):
     chunks = chunk_fixed(t.documents.select(F.col("lang").alias("ctx_id"), "doc_id", "text"), 1000)
     return map_reduce_answer(
@@ -416,15 +431,30 @@ def agg10(t):
     )
 
 
-@query(
-    "agg11_tree_reduce",
-    f"""
-    WITH p AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, text FROM documents),
-    a AS (SELECT source, i // 8 AS i, {digest_sql("string_agg(text, chr(10) ORDER BY i)")} AS x FROM p GROUP BY 1, i // 8),
-    b AS (SELECT source, i // 8 AS i, {digest_sql("string_agg(x, chr(10) ORDER BY i)")} AS x FROM a GROUP BY 1, i // 8)
-    SELECT source AS ctx_id, x AS answer, CAST(2 AS BIGINT) AS depth FROM b
-    """,
-)
+def _tree_sql(fan_in: int, max_depth: int) -> str:
+    """Reduction in levels: a key leaves at the first level that has one group for it."""
+    steps, results = [], []
+    for n in range(1, max_depth + 1):
+        steps.append(
+            f"""
+    b{n} AS (SELECT source, i // {fan_in} AS i, {digest_sql("string_agg(x, chr(10) ORDER BY i)")} AS x
+             FROM a{n - 1} GROUP BY 1, i // {fan_in}),
+    a{n} AS (SELECT * FROM b{n} WHERE source IN (SELECT source FROM b{n} WHERE i > 0))"""
+        )
+        results.append(
+            f"SELECT source AS ctx_id, x AS answer, CAST({n} AS BIGINT) AS depth FROM b{n} "
+            f"WHERE source NOT IN (SELECT source FROM a{n})"
+        )
+    return (
+        """WITH a0 AS (SELECT source, text AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i
+           FROM documents),"""
+        + ",".join(steps)
+        + "\n"
+        + "\nUNION ALL\n".join(results)
+    )
+
+
+@query("agg11_tree_reduce", _tree_sql(8, 5))
 def agg11(t):
     return tree_reduce(doc_parts(t), 8, 5, QUESTION, DigestClient, template="{answers}")
 
@@ -509,7 +539,7 @@ done AS (
       WHEN turns >= {limit} AND variable THEN CASE WHEN {limit} > 0 THEN 'FINAL_VAR(''n0'')' ELSE 'FINAL_VAR(missing)' END
       WHEN turns >= {limit} THEN 'FINAL(' || replace(substr(text, 1, 20), ')', '') || ')'
       WHEN variable THEN CASE WHEN turns > 0 THEN '6' END
-      ELSE trim(replace(substr(text, 1, 20), ')', '')) END AS answer,
+      ELSE trim(replace(substr(text, 1, 20), ')', ''), ' ' || chr(10) || chr(9) || chr(13)) END AS answer,
     CASE WHEN turns < {limit} AND variable AND turns = 0 THEN 'Error: Variable ''missing'' not found' END AS error,
     CAST(CASE WHEN turns >= {limit} THEN {limit} ELSE turns + 1 END AS BIGINT) AS n_iterations
   FROM q)

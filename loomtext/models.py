@@ -1,7 +1,9 @@
-"""Model clients. A client is any picklable object with ``complete(prompt, model) -> Completion``.
+"""Model clients. A client is any object with ``complete(prompt, model) -> Completion``, or with the
+coroutine ``acomplete`` of the same form.
 
-One client is built per task from a factory; usage travels back as columns, because a counter kept
-on an executor would be lost.
+One client is built per task from a picklable factory, so keys are read from the worker's environment
+and never travel in a column. Usage comes back as columns, because a counter kept on an executor would
+be lost.
 """
 
 from __future__ import annotations
@@ -42,6 +44,13 @@ class EchoClient:
         return Completion(f"Mock response to: {prompt_text(prompt)[:50]}", 10, 10)
 
 
+class AsyncEchoClient:
+    """The echo client as a coroutine."""
+
+    async def acomplete(self, prompt: Prompt, model: str | None) -> Completion:
+        return EchoClient().complete(prompt, model)
+
+
 class FailingClient:
     """Echo client that raises on prompts holding ``marker``."""
 

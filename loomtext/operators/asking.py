@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import asyncio
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from itertools import batched
 
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.models import ClientFactory, EchoClient
+from loomtext.models import Client, ClientFactory, Completion, EchoClient
 from loomtext.scratch import scratch_path
 from loomtext.session import ship_package
 
@@ -26,9 +28,68 @@ ANSWER_FIELDS = [
     T.StructField("seconds", T.DoubleType()),
 ]
 
+ANSWER_TYPES = [pa.string()] * 3 + [pa.int64()] * 3 + [pa.float64()]
+
+# Fixed value: the error of a call that gave neither a response nor an error.
 NO_RESULT = "No chat completion or error provided."
 
 
+def _answered(model: str | None, done: Completion, started: float) -> tuple:
+    error = NO_RESULT if done.response is None else None
+    usage = (done.calls, done.input_tokens, done.output_tokens)
+    return (model, done.response, error, *usage, time.perf_counter() - started)
+
+
+def _failed(model: str | None, failure: Exception, started: float) -> tuple:
+    text = str(failure) or type(failure).__name__
+    return (model, None, text, None, None, None, time.perf_counter() - started)
+
+
+@contextmanager
+def _answering(service: Client, concurrency: int):
+    """A function from (prompt, model) pairs to answer rows, with ``concurrency`` calls in flight.
+
+    A client with an ``acomplete`` coroutine is awaited on one event loop, any other runs in threads.
+    """
+
+    def one(call) -> tuple:
+        prompt, model = call
+        started = time.perf_counter()
+        try:
+            return _answered(model, service.complete(prompt, model), started)
+        except Exception as failure:
+            return _failed(model, failure, started)
+
+    async def gathered(calls) -> list[tuple]:
+        gate = asyncio.Semaphore(concurrency)
+
+        async def awaited(prompt, model) -> tuple:
+            async with gate:
+                started = time.perf_counter()
+                try:
+                    return _answered(model, await service.acomplete(prompt, model), started)
+                except Exception as failure:
+                    return _failed(model, failure, started)
+
+        return await asyncio.gather(*(awaited(*call) for call in calls))
+
+    if hasattr(service, "acomplete"):
+        with asyncio.Runner() as runner:
+            yield lambda calls: runner.run(gathered(calls))
+    elif concurrency == 1:
+        yield lambda calls: [one(call) for call in calls]
+    else:
+        with ThreadPoolExecutor(concurrency) as pool:
+
+            def pooled(calls) -> list[tuple]:
+                # A few groups per worker: no future per row, and little waiting at the end.
+                size = max(1, len(calls) // (concurrency * 8))
+                groups = pool.map(lambda group: [one(c) for c in group], batched(calls, size))
+                return [row for group in groups for row in group]
+
+            yield pooled
+
+
 def ask(
     df: DataFrame,
     client: ClientFactory = EchoClient,
@@ -58,49 +119,21 @@ def ask(
     schema = T.StructType([source.schema[c] for c in kept] + ANSWER_FIELDS)
     width = len(kept)
 
-    def answer_one(service, text, name) -> tuple:
-        started = time.perf_counter()
-        try:
-            done = service.complete(text, name)
-            result = (name, done.response, None, done.calls, done.input_tokens, done.output_tokens)
-            if done.response is None:
-                result = (name, None, NO_RESULT, done.calls, done.input_tokens, done.output_tokens)
-        except Exception as failure:
-            result = (name, None, str(failure) or type(failure).__name__, None, None, None)
-        return (*result, time.perf_counter() - started)
-
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if setup is not None:
             setup()
         service = client()
-        pool = ThreadPoolExecutor(concurrency) if concurrency > 1 else None
-        try:
+        with _answering(service, concurrency) as answer_all:
             for batch in batches:
                 prompts, models = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
-                calls = [(service, text, name) for text, name in zip(prompts, models)]
-                if pool is None:
-                    rows = [answer_one(*call) for call in calls]
-                else:
-                    # A few groups per worker: no future per row, and little waiting at the end.
-                    size = max(1, len(calls) // (concurrency * 8))
-                    groups = pool.map(
-                        lambda group: [answer_one(*call) for call in group], batched(calls, size)
-                    )
-                    rows = [row for group in groups for row in group]
+                rows = answer_all(list(zip(prompts, models)))
                 columns = list(zip(*rows)) if rows else [()] * len(ANSWER_FIELDS)
                 arrays = [
-                    pa.array(values, type=kind)
-                    for values, kind in zip(
-                        columns,
-                        [pa.string()] * 3 + [pa.int64()] * 3 + [pa.float64()],
-                    )
+                    pa.array(values, type=kind) for values, kind in zip(columns, ANSWER_TYPES)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i) for i in range(width)] + arrays, names=schema.names
                 )
-        finally:
-            if pool is not None:
-                pool.shutdown()
 
     return source.mapInArrow(answer, schema)
 

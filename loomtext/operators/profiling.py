@@ -25,6 +25,16 @@ def context_profile(parts: DataFrame) -> DataFrame:
     )
 
 
+def truncation_report(df: DataFrame, text: str, limit: int) -> DataFrame:
+    """How many texts a cut at ``limit`` characters would shorten, and what it would lose."""
+    length = F.length(text).cast("long")
+    return df.select(length.alias("_length")).agg(
+        F.count(F.lit(1)).alias("n_texts"),
+        F.count_if(F.col("_length") > limit).alias("n_truncated"),
+        F.coalesce(F.sum(F.greatest(F.col("_length") - limit, F.lit(0))), F.lit(0)).alias("chars_lost"),
+    )
+
+
 def first_parts(parts: DataFrame, n: int = SHOWN_PARTS, salts: int = 64) -> DataFrame:
     """The first ``n`` parts of every context, by part_idx.
 

@@ -15,7 +15,7 @@ TIMEOUT_SECONDS = 300
 def validate_requests(requests: DataFrame) -> DataFrame:
     """Add ``kind`` (batch, single, error) and ``error``. A list of prompts wins over a single one."""
     kind = (
-        F.when(F.coalesce(F.size("prompts"), F.lit(0)) > 0, "batch")
+        F.when(F.coalesce(F.array_size("prompts"), F.lit(0)) > 0, "batch")
         .when(F.coalesce(F.col("prompt"), F.lit("")) != "", "single")
         .otherwise("error")
     )

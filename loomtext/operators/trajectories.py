@@ -52,7 +52,7 @@ def explode_code_blocks(iterations: DataFrame) -> DataFrame:
         F.col("block.result.stdout").alias("stdout"),
         F.col("block.result.stderr").alias("stderr"),
         F.col("block.result.execution_time").alias("execution_time"),
-        F.coalesce(F.size(F.col("block.result.rlm_calls")), F.lit(0)).cast("long").alias("n_calls"),
+        F.coalesce(F.array_size(F.col("block.result.rlm_calls")), F.lit(0)).cast("long").alias("n_calls"),
     ).select("*", status.alias("status")).drop("block")
 
 
@@ -105,7 +105,7 @@ def _block_sum(value) -> Column:
 def iteration_stats(iterations: DataFrame) -> DataFrame:
     """Figures of each iteration, computed on the row itself (no shuffle)."""
     seconds = F.coalesce("iteration_time", _block_sum(lambda b: b["result"]["execution_time"]))
-    sub_calls = _block_sum(lambda b: F.size(b["result"]["rlm_calls"]).cast("double"))
+    sub_calls = _block_sum(lambda b: F.array_size(b["result"]["rlm_calls"]).cast("double"))
     has_error = F.exists(
         "code_blocks", lambda b: F.coalesce(b["result"]["stderr"] != "", F.lit(False))
     )
@@ -217,7 +217,7 @@ def run_summary(iterations: DataFrame) -> DataFrame:
         "run_id",
         "iteration",
         F.size("code_blocks").alias("_blocks"),
-        _block_sum(lambda b: F.size(b["result"]["rlm_calls"]).cast("double"))
+        _block_sum(lambda b: F.array_size(b["result"]["rlm_calls"]).cast("double"))
         .cast("long")
         .alias("_calls"),
         seconds.alias("_seconds"),

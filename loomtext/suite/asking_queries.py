@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtext.functions.messages import turn_prompt
-from loomtext.models import Completion, EchoClient, FailingClient, RuleClient, prompt_text
+from loomtext.models import AsyncEchoClient, Completion, EchoClient, FailingClient, RuleClient, prompt_text
 from loomtext.operators.asking import (
     ask,
     ask_stored,
@@ -28,6 +28,7 @@ from loomtext.operators.requests import (
     still_active,
     validate_requests,
 )
+from loomtext.operators.trajectories import explode_locals
 from loomtext.plans.iterate import batch_complete, complete_or_direct
 from loomtext.schema import RESULT
 from loomtext.suite.context_queries import CHUNKS_SQL, doc_parts
@@ -215,6 +216,47 @@ def ask6_struct(t):
     )
 
 
+@query(
+    "udf1_async_client",
+    f"SELECT doc_id, {echo_sql('text')} AS response FROM documents",
+)
+def udf1(t):
+    asked = ask(t.documents.select("doc_id", "text"), AsyncEchoClient, prompt="text")
+    return asked.select("doc_id", "response")
+
+
+@query(
+    "udf3_round_step",
+    """
+    SELECT conv_id AS run_id, CAST(i AS BIGINT) AS block_idx, 'a' || i AS name, CAST(6 AS BIGINT) AS value
+    FROM (SELECT conv_id, unnest(range(2)) AS i FROM conversations WHERE turn = 1)
+    """,
+)
+def udf3(t):
+    def reply(prompt):
+        done = any(part["content"].startswith("Code executed:") for part in prompt)
+        return "FINAL(x)" if done else "```repl\na0 = 0\n```\n```repl\na1 = 1\n```"
+
+    outcome = batch_complete(
+        _questions(t), counting_step, lambda: RuleClient(reply), max_iterations=3
+    )
+    return explode_locals(outcome.iterations).select(
+        "run_id",
+        "block_idx",
+        "name",
+        F.try_variant_get("value", "$", "long").alias("value"),
+    )
+
+
+@query(
+    "udf4_scripted_model",
+    "SELECT doc_id, CAST(length(text) AS VARCHAR) || ':' || right(text, 30) AS response FROM documents",
+)
+def udf4(t):
+    asked = ask(t.documents.select("doc_id", "text"), DigestClient, prompt="text")
+    return asked.select("doc_id", "response")
+
+
 class CountingClient(EchoClient):
     """Client whose answers show that the set-up hook of the task ran before it was built."""
 

@@ -15,7 +15,7 @@ from loomtext.operators.chunking import (
     section_position,
 )
 from loomtext.operators.ordering import join_ordered
-from loomtext.operators.profiling import context_profile, first_parts, part_lengths, profile_line
+from loomtext.operators.profiling import context_profile, first_parts, part_lengths, profile_line, truncation_report
 from loomtext.operators.requests import zip_results
 from loomtext.scratch import scratch_path
 from loomtext.sources.contexts import (
@@ -177,6 +177,17 @@ def prj6(t):
     )
 
 
+@query(
+    "prj6_truncation_report",
+    """
+    SELECT count(*) AS n_texts, count(*) FILTER (length(text) > 8000) AS n_truncated,
+      CAST(sum(greatest(length(text) - 8000, 0)) AS BIGINT) AS chars_lost FROM documents
+    """,
+)
+def prj6_report(t):
+    return truncation_report(t.documents, "text", 8000)
+
+
 @query(
     "ctx1_context_profile",
     """

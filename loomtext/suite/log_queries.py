@@ -234,11 +234,8 @@ def prj7(t):
     """,
 )
 def prj8(t):
-    # An iteration without blocks has no calls either.
     blocks = explode_code_blocks(iterations(t))
-    return blocks.withColumn("n_calls", F.greatest("n_calls", F.lit(0))).withColumn(
-        "execution_time", F.round("execution_time", 4)
-    )
+    return blocks.withColumn("execution_time", F.round("execution_time", 4))
 
 
 SUBCALLS_SQL = """

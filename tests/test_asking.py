@@ -1,5 +1,6 @@
 """Model calls, reductions and question loops."""
 
+import asyncio
 import sys
 
 import pytest
@@ -45,6 +46,28 @@ def test_echo_and_usage(spark):
     assert long == "Mock response to: " + "y" * 50
 
 
+class SlowAsyncClient:
+    """Counts how many calls are open at once; every fifth call fails."""
+
+    def __init__(self):
+        self.open = 0
+
+    async def acomplete(self, prompt, model):
+        self.open += 1
+        seen = self.open
+        await asyncio.sleep(0.01)
+        self.open -= 1
+        if prompt.endswith("5"):
+            raise ValueError("no")
+        return Completion(str(seen))
+
+
+def test_async_client_keeps_its_limit(spark):
+    rows = ask(prompts(spark, 40).coalesce(1), SlowAsyncClient, concurrency=3).collect()
+    assert {r["id"] for r in rows if r["error"]} == {5, 15, 25, 35}
+    assert {r["response"] for r in rows if not r["error"]} == {"1", "2", "3"}
+
+
 def test_one_failure_leaves_the_rest(spark):
     rows = errors_as_values(ask(prompts(spark), lambda: FailingClient("prompt 7"))).collect()
     answers = {r["id"]: r["answer"] for r in rows}

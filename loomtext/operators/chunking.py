@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +16,7 @@ from loomtext.operators.ordering import (
     row_number,
     running_sum,
 )
+from loomtext.scratch import materialise
 from loomtext.session import ship_package
 
 # Above this many chunks per text, one regex pass beats a substring per chunk, whose cost grows with
@@ -231,7 +230,16 @@ def pack_chars(
 
 
 def _slice_entries(spans: DataFrame, budget: int, id_type: str) -> DataFrame:
-    """(ctx_id, slice, limit_in, call_in): the open call's limit and number on entering each slice."""
+    """(ctx_id, slice, limit_in, call_in): the open call's limit and number on entering each slice.
+
+    Slices are linked by doubling: a slice's exits are joined to those of the slice 1, 2, 4, ... further
+    on, and each round the entries known so far lead to as many new ones. So a context of any length
+    takes a logarithmic number of rounds, and a task sees the exits of two slices at most.
+    """
+    exit_schema = (
+        f"ctx_id {id_type}, slice long, entry long, entry_upto long, limit_out long, opened long, "
+        "cover long"
+    )
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("part_idx")
@@ -246,8 +254,8 @@ def _slice_entries(spans: DataFrame, budget: int, id_type: str) -> DataFrame:
                 last[row] = last[following[row]]
                 length[row] = length[following[row]] + 1
         # A call open on entry began before this slice, so it ends within one budget of the start.
-        reach = int(np.searchsorted(before, before[0] + budget, side="right"))
-        count = max(1, reach)
+        cover = before[0] + budget
+        count = max(1, int(np.searchsorted(before, cover, side="right")))
         return pd.DataFrame(
             {
                 "ctx_id": rows["ctx_id"].iloc[0],
@@ -256,24 +264,65 @@ def _slice_entries(spans: DataFrame, budget: int, id_type: str) -> DataFrame:
                 "entry_upto": upto[:count],
                 "limit_out": before[last[:count]] + budget,
                 "opened": length[:count],
+                "cover": cover,
             }
         )
 
-    exits = spans.groupBy("ctx_id", "slice").applyInPandas(
-        walk,
-        f"ctx_id {id_type}, slice long, entry long, entry_upto long, limit_out long, opened long",
-    )
+    def advance(limits, exits: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Limits after passing the slices that ``exits`` covers, and the calls opened there."""
+        exits = exits.sort_values("entry")
+        if len(exits) == 0:
+            return limits, np.zeros(len(limits), dtype=np.int64)
+        at = np.searchsorted(exits["entry_upto"].values, limits, side="right")
+        enters, at = at < len(exits), np.minimum(at, len(exits) - 1)
+        passed = np.where(enters, exits["limit_out"].values[at], limits)
+        return passed, np.where(enters, exits["opened"].values[at], 0)
+
+    def lengthen(near: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
+        if len(near) == 0 or len(far) == 0:
+            return near
+        limits, opened = advance(near["limit_out"].values, far)
+        reached, cover = near["entry_upto"].max(), near["cover"].iloc[0]
+        longer = near.assign(limit_out=limits, opened=near["opened"].values + opened)
+        if reached > cover:
+            return longer
+        # The near slices can lie within one call altogether; it is then entered in the far ones.
+        far = far.sort_values("entry")
+        beyond = far[far["entry_upto"] > reached]
+        count = int(np.searchsorted(beyond["entry_upto"].values, cover, side="right")) + 1
+        beyond = beyond.head(count)[["entry", "entry_upto", "limit_out", "opened"]].assign(
+            ctx_id=near["ctx_id"].iloc[0], slice=near["slice"].iloc[0], cover=cover
+        )
+        beyond["entry"] = near["entry"].max() + 1 + np.arange(len(beyond))
+        return pd.concat([longer, beyond[longer.columns]])
+
+    def enter(known: pd.DataFrame, exits: pd.DataFrame) -> pd.DataFrame:
+        limits, opened = advance(known["limit_in"].values, exits)
+        return known.assign(limit_in=limits, call_in=known["call_in"].values + opened)
+
+    def paired(left: DataFrame, right: DataFrame):
+        # Both sides come from the same table, so the keys of one need names of their own.
+        renamed = right.withColumnsRenamed({"ctx_id": "_ctx_id", "slice": "_slice"})
+        return left.groupBy("ctx_id", "slice").cogroup(renamed.groupBy("_ctx_id", "_slice"))
 
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        limit, call, found = -1, -1, []
-        for number, entry in rows.sort_values(["slice", "entry"]).groupby("slice"):
-            found.append((rows["ctx_id"].iloc[0], number, limit, call))
-            at = int(np.searchsorted(entry["entry_upto"].values, limit, side="right"))
-            if at < len(entry):
-                limit = int(entry["limit_out"].iloc[at])
-                call += int(entry["opened"].iloc[at])
-        return pd.DataFrame(found, columns=["ctx_id", "slice", "limit_in", "call_in"])
-
-    return exits.groupBy("ctx_id").applyInPandas(
-        link, f"ctx_id {id_type}, slice long, limit_in long, call_in long"
+    exits = materialise(
+        spans.groupBy("ctx_id", "slice").applyInPandas(walk, exit_schema), "exits"
     )
+    slices = exits.where("entry = 0").select("ctx_id", "slice")
+    last = slices.agg(F.max("slice")).first()[0] or 0
+    known = slices.where("slice = 0").select(
+        "*", F.lit(-1).cast("long").alias("limit_in"), F.lit(-1).cast("long").alias("call_in")
+    )
+    reach = 1
+    while reach <= last:
+        here = exits.join(known.select("ctx_id", "slice"), ["ctx_id", "slice"], "left_semi")
+        entered = paired(known, here).applyInPandas(enter, known.schema)
+        ahead = entered.withColumn("slice", F.col("slice") + reach).join(
+            slices, ["ctx_id", "slice"], "left_semi"
+        )
+        known = materialise(known.unionByName(ahead), "entries")
+        if 2 * reach <= last:
+            far = exits.withColumn("slice", F.col("slice") - reach).where("slice >= 0")
+            exits = materialise(paired(exits, far).applyInPandas(lengthen, exit_schema), "exits")
+        reach *= 2
+    return known

@@ -136,12 +136,15 @@ def batch_complete(
     _start_messages(questions, system).select(*HISTORY_COLUMNS).write.parquet(
         f"{store}/history/round=0"
     )
-    iterations = None
+
+    def rounds(kind: str, schema, first: int, last: int) -> DataFrame:
+        """All rounds so far in one scan, so that plans stay the same size however many there are."""
+        paths = [f"{store}/{kind}/round={n}" for n in range(first, last + 1)]
+        return spark.read.schema(schema).parquet(*paths)
+
     active = questions
     for turn in range(max_iterations):
-        history = spark.read.schema(history_schema).parquet(
-            *(f"{store}/history/round={n}" for n in range(turn + 1))
-        )
+        history = rounds("history", history_schema, 0, turn)
         due = active.select(
             "run_id",
             F.lit(turn + 1).cast("long").alias("iteration"),
@@ -166,15 +169,16 @@ def batch_complete(
             .withColumn("final_answer", F.col("_final.content"))
             .select(*ITERATION_COLUMNS)
         )
-        path = f"{store}/iterations/round={turn + 1}"
-        rows.write.parquet(path)
-        rows = spark.read.schema(rows.schema).parquet(path)
-        iterations = rows if iterations is None else iterations.unionByName(rows)
-        open_rows = rows.where(F.col("final_kind").isNull())
-        active = still_active(active, rows.where(F.col("final_kind").isNotNull()), "run_id")
+        rows.write.parquet(f"{store}/iterations/round={turn + 1}")
+        iterations = rounds("iterations", rows.schema, 1, turn + 1)
+        open_rows = rounds("iterations", rows.schema, turn + 1, turn + 1).where(
+            F.col("final_kind").isNull()
+        )
         if open_rows.isEmpty():
             active = None
             break
+        finished = iterations.where(F.col("final_kind").isNotNull())
+        active = still_active(questions, finished, "run_id")
         history_of(open_rows, output_limit).select(*HISTORY_COLUMNS).write.parquet(
             f"{store}/history/round={turn + 1}"
         )
@@ -186,9 +190,7 @@ def batch_complete(
     )
     answers = _resolved(finals, iterations)
     if active is not None:
-        history = spark.read.schema(history_schema).parquet(
-            *(f"{store}/history/round={n}" for n in range(max_iterations + 1))
-        )
+        history = rounds("history", history_schema, 0, max_iterations)
         closing = default_answers(active, history, max_iterations, client, model, **options)
         answers = answers.unionByName(
             closing.select(

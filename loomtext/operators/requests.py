@@ -62,25 +62,18 @@ def match_responses(
     in time, the last response seen is the earliest one still ahead, so no request meets more than one
     response and a key with very many events costs no more than its rows.
     """
-    no_response = F.lit(None).cast("struct<response_id:bigint,ts:timestamp_ntz>")
     response = responses.select(
         key,
         "ts",
         F.lit(0).alias("_kind"),
-        F.col("response_id").cast("long").alias("_id"),
-        F.struct(F.col("response_id").cast("long").alias("response_id"), F.col("ts")).alias("_r"),
-    )
-    request = requests.select(
-        key,
-        "ts",
-        F.lit(1).alias("_kind"),
-        F.col("request_id").cast("long").alias("_id"),
-        no_response.alias("_r"),
+        F.col("response_id").alias("_response"),
+        F.struct("response_id", "ts").alias("_r"),
     )
+    request = requests.select(key, "ts", F.lit(1).alias("_kind"), F.col("request_id").alias("_request"))
     scanned = ordered_scan(
-        request.unionByName(response),
+        request.unionByName(response, allowMissingColumns=True),
         [key],
-        ["-ts", "_kind", "-_id"],
+        ["-ts", "_kind", "-_response", "_request"],
         {"_ahead": last_seen("_r")},
         slice_rows,
     )
@@ -89,7 +82,7 @@ def match_responses(
     matched = scanned.where(F.col("_kind") == 1)
     return matched.select(
         key,
-        F.col("_id").alias("request_id"),
+        F.col("_request").alias("request_id"),
         F.col("ts").alias("request_ts"),
         F.when(in_time, F.col("_ahead.response_id")).alias("response_id"),
         F.when(in_time, F.col("_ahead.ts")).alias("response_ts"),

@@ -189,9 +189,12 @@ def read_trajectories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def run_config(configs: DataFrame, runs: DataFrame) -> DataFrame:
-    """One config row per run of ``runs``; the last metadata record wins, a run without one has NULLs."""
+    """One config row per run of ``runs``; the last metadata record wins, a run without one has NULLs.
+
+    The ordering is a struct so that a record without a timestamp still counts.
+    """
     fields = [c for c in configs.columns if c != "run_id"]
-    latest = configs.groupBy("run_id").agg(F.max_by(F.struct(*fields), "ts").alias("config"))
+    latest = configs.groupBy("run_id").agg(F.max_by(F.struct(*fields), F.struct("ts")).alias("config"))
     return runs.select("run_id").join(latest, "run_id", "left").select("run_id", "config.*")
 
 
@@ -203,7 +206,9 @@ def log_lines(configs: DataFrame, iterations: DataFrame, packed: bool = False) -
     """
     named = ["run_id"] if packed else []
     once = configs.groupBy("run_id").agg(
-        F.min_by(F.struct(*[c for c in configs.columns if c != "run_id"]), "ts").alias("c")
+        F.min_by(
+            F.struct(*[c for c in configs.columns if c != "run_id"]), F.struct("ts")
+        ).alias("c")
     )
     head = F.struct(
         *named,

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loomtext.session import ship_package
 
-PROGRESS = "run_id long, n_iterations long, n_errors long, answered boolean, ended boolean"
+COUNTS = "n_iterations long, n_errors long, answered boolean, ended boolean"
 
 
 class RunProgress(StatefulProcessor):
@@ -22,9 +22,7 @@ class RunProgress(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getValueState(
-            "counts", "n_iterations long, n_errors long, answered boolean, ended boolean"
-        )
+        self.counts = handle.getValueState("counts", COUNTS)
 
     def _row(self, key, iterations, errors, answered, ended) -> pd.DataFrame:
         return pd.DataFrame(
@@ -73,9 +71,10 @@ def run_progress(
     query running, so it suits a continuous trigger and not one that stops when the input is used up.
     """
     ship_package(iterations.sparkSession)
+    run_type = iterations.schema["run_id"].dataType.simpleString()
     return iterations.groupBy("run_id").transformWithStateInPandas(
         RunProgress(max_iterations, idle_seconds),
-        PROGRESS,
+        f"run_id {run_type}, {COUNTS}",
         "Append",
         "ProcessingTime" if idle_seconds else "None",
     )

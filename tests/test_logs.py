@@ -147,6 +147,8 @@ def test_reading(spark, logs):
     config = {r["run_id"]: r for r in run_config(configs, iterations.select("run_id").distinct()).collect()}
     assert config[A]["root_model"] == "new" and config[A]["max_iterations"] == 30
     assert config[B]["root_model"] is None
+    undated = configs.where("root_model = 'new'").withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    assert run_config(undated, configs.select("run_id").distinct()).first()["root_model"] == "new"
 
 
 def test_identity(spark, logs):

@@ -105,17 +105,17 @@ def rocksdb(spark):
 
 
 def test_progress_over_batches(spark, rocksdb):
-    feed = Feed(spark, "run_id long, has_error boolean, has_final boolean")
-    feed.add((1, True, False), (1, False, False), (2, False, True))
-    feed.add((1, True, False), (3, False, False))
+    feed = Feed(spark, "run_id string, has_error boolean, has_final boolean")
+    feed.add(("1", True, False), ("1", False, False), ("2", False, True))
+    feed.add(("1", True, False), ("3", False, False))
     emitted, _ = drain(run_progress(feed.stream(), max_iterations=3), 120)
     latest = emitted.groupBy("run_id").agg(
         F.max_by(F.struct("n_iterations", "n_errors", "answered", "ended"), "n_iterations").alias("s")
     )
     assert {r["run_id"]: tuple(r["s"]) for r in latest.collect()} == {
-        1: (3, 2, False, True),
-        2: (1, 0, True, True),
-        3: (1, 0, False, False),
+        "1": (3, 2, False, True),
+        "2": (1, 0, True, True),
+        "3": (1, 0, False, False),
     }
 
 

@@ -198,11 +198,12 @@ def errors_as_values(
 
 def completion_records(df: DataFrame, batch: str, seconds: str = "seconds") -> DataFrame:
     """Replace each call's time by an even share of its batch's time."""
-    shares = df.groupBy(batch).agg(
+    shares = df.groupBy(F.col(batch).alias("_batch")).agg(
         (F.sum(seconds) / F.count(F.lit(1))).alias("execution_time"),
         F.count(F.lit(1)).alias("batch_calls"),
     )
-    return df.drop(seconds).join(shares, batch)
+    same = F.col(batch).eqNullSafe(F.col("_batch"))
+    return df.drop(seconds).join(shares, same).drop("_batch")
 
 
 def completion_struct(prompt: Column) -> Column:

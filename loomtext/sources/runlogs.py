@@ -288,14 +288,22 @@ def write_trajectories(
         ordered.select("run_id", "line").write.partitionBy("run_id").mode("append").text(path)
 
 
+def latest_runs(runs: DataFrame, keys: list[str], sequence: str) -> DataFrame:
+    """The row with the highest ``sequence`` for each key.
+
+    ``max_by`` combines on the map side, so a key loaded very often does not pile up in one task.
+    """
+    fields = [c for c in runs.columns if c not in keys]
+    latest = runs.groupBy(*keys).agg(F.max_by(F.struct(*fields), sequence).alias("_latest"))
+    return latest.select(*keys, *(F.col(f"_latest.{c}").alias(c) for c in fields))
+
+
 def upsert_runs(
     existing: DataFrame, new: DataFrame, keys: list[str], sequence: str
 ) -> DataFrame:
-    """Runs after a reload: for equal keys the row with the highest ``sequence`` replaces the rest.
+    """Runs after a reload: a loaded run replaces the one with equal keys, others are added.
 
-    ``max_by`` combines on the map side, so a key loaded very often does not pile up in one task.
+    A stream appends its rows to a table instead (``start_to_table``) and readers take ``latest_runs``
+    of it, so no batch rewrites the table.
     """
-    fields = [c for c in existing.columns if c not in keys]
-    both = existing.unionByName(new)
-    latest = both.groupBy(*keys).agg(F.max_by(F.struct(*fields), sequence).alias("_latest"))
-    return latest.select(*keys, *(F.col(f"_latest.{c}").alias(c) for c in fields))
+    return latest_runs(existing.unionByName(new), keys, sequence)

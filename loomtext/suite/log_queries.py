@@ -197,13 +197,13 @@ def prj11(t):
     )
 
 
-@query(
-    "snk2_upsert_runs",
-    """
+UPSERT_SQL = """
     SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, round(arg_max(value, event_id), 4) AS value
     FROM events GROUP BY 1, 2
-    """,
-)
+"""
+
+
+@query("snk2_upsert_runs", UPSERT_SQL)
 def snk2(t):
     rows = t.events.select("user_id", "event_type", "event_id", F.round("value", 4).alias("value"))
     half = rows.agg(F.max("event_id")).first()[0] // 2

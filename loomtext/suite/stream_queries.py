@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from loomtext.operators.trajectories import iteration_stats
 from loomtext.scratch import scratch_path
+from loomtext.sources.runlogs import latest_runs
 from loomtext.streaming.logs import metadata_once, stream_trajectories
 from loomtext.streaming.progress import run_progress
 from loomtext.streaming.requests import stream_ask, stream_match_timeouts
 from loomtext.streaming.runner import drain
 from loomtext.streaming.usage import stream_usage
 from loomtext.suite.fixtures import CALLS_SQL, RUN_FILE_SQL, echo_sql, with_ctes
-from loomtext.suite.log_queries import STATS_SQL, write_logs
+from loomtext.suite.log_queries import STATS_SQL, UPSERT_SQL, write_logs
 from loomtext.suite.registry import query
 
 
@@ -131,6 +132,15 @@ def str5(t):
     )
 
 
+@query("snk2_stream_upsert", UPSERT_SQL)
+def snk2_stream(t):
+    rows = t.stream("events").select(
+        "user_id", "event_type", "event_id", F.round("value", 4).alias("value")
+    )
+    appended, _ = drain(rows)
+    return latest_runs(appended, ["user_id", "event_type"], "event_id")
+
+
 @query("str6_metadata_once", "SELECT DISTINCT user_id AS run_id FROM events")
 def str6(t):
     records = t.stream("events").select(F.col("user_id").alias("run_id"), zoned("ts").alias("ts"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,29 @@ MESSAGE = "struct<role:string,content:string>"
 MESSAGES = f"array<{MESSAGE}>"
 
 
+# Wording of the messages a model sees.
+FIRST_TURN = "You have not interacted with the REPL environment or seen your prompt / context yet. Your next action should be to look through and figure out how to answer the prompt, so don't just provide a final answer yet.\n\n"
+LATER_TURN = "The history before is your previous interactions with the REPL environment. "
+GENERAL_PROMPT = "Think step-by-step on what to do using the REPL environment (which contains the context) to answer the prompt.\n\nContinue using the REPL environment, which has the `context` variable, and querying sub-LLMs by writing to ```repl``` tags, and determine your answer. Your next action:"
+QUESTION_PROMPT = 'Think step-by-step on what to do using the REPL environment (which contains the context) to answer the original prompt: "{question}".\n\nContinue using the REPL environment, which has the `context` variable, and querying sub-LLMs by writing to ```repl``` tags, and determine your answer. Your next action:'
+CLOSING_PROMPT = "Please provide a final answer to the user's question based on the information provided."
+EXECUTION_MESSAGE = "Code executed:\n```python\n{code}\n```\n\nREPL output:\n{output}"
+NO_OUTPUT = "No output"
+
+
+def render_prompt(template: str, **values: Column | str) -> Column:
+    """Fill ``{name}`` places of a template from columns; plain strings are literals, not columns."""
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name is not None:
+            value = values[name] if name in values else F.col(name)
+            value = F.lit(value) if isinstance(value, str) else value
+            parts.append(F.coalesce(value.cast("string"), F.lit("")))
+    return F.concat(*parts)
+
+
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
@@ -58,18 +83,13 @@ def render_execution(stdout: Column, stderr: Column, names: Column) -> Column:
             listing,
         )
     )
-    return F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")).otherwise("No output")
+    return F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")).otherwise(NO_OUTPUT)
 
 
 def execution_message(code: Column, rendered: Column, limit: int = 20_000) -> Column:
     """The user message that shows a code block and its (cut) output to the model."""
-    content = F.concat(
-        F.lit("Code executed:\n```python\n"),
-        code,
-        F.lit("\n```\n\nREPL output:\n"),
-        truncate_text(rendered, limit, "counted"),
-    )
-    return message("user", content)
+    shown = truncate_text(rendered, limit, "counted")
+    return message("user", render_prompt(EXECUTION_MESSAGE, code=code, output=shown))
 
 
 def iteration_messages(response: Column, blocks: Column, limit: int = 20_000) -> Column:
@@ -86,31 +106,9 @@ def iteration_messages(response: Column, blocks: Column, limit: int = 20_000) ->
     return F.concat(answer, shown_blocks)
 
 
-# Wording of the per-turn user message.
-FIRST_TURN = (
-    "You have not interacted with the REPL environment or seen your prompt / context yet. "
-    "Your next action should be to look through and figure out how to answer the prompt, "
-    "so don't just provide a final answer yet.\n\n"
-)
-LATER_TURN = "The history before is your previous interactions with the REPL environment. "
-THINK = (
-    "Think step-by-step on what to do using the REPL environment (which contains the context) "
-    "to answer the "
-)
-ACT = (
-    ".\n\nContinue using the REPL environment, which has the `context` variable, and querying "
-    "sub-LLMs by writing to ```repl``` tags, and determine your answer. Your next action:"
-)
-CLOSING_PROMPT = (
-    "Please provide a final answer to the user's question based on the information provided."
-)
-
-
 def turn_prompt(turn: Column, question: Column) -> Column:
     """User message of a turn (0-based); a NULL or empty question gives the general wording."""
     asked = F.when(
-        F.coalesce(question, F.lit("")) != "",
-        F.concat(F.lit('original prompt: "'), question, F.lit('"')),
-    ).otherwise("prompt")
-    opening = F.when(turn == 0, FIRST_TURN).otherwise(LATER_TURN)
-    return F.concat(opening, F.lit(THINK), asked, F.lit(ACT))
+        F.coalesce(question, F.lit("")) != "", render_prompt(QUESTION_PROMPT, question=question)
+    ).otherwise(GENERAL_PROMPT)
+    return F.concat(F.when(turn == 0, FIRST_TURN).otherwise(LATER_TURN), asked)

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions.messages import render_prompt
+
+# The sentence that describes a context, and how many part lengths it names.
+PROFILE_LINE = (
+    "Your context is a {context_type} with {context_total_length} total characters, "
+    "and is broken up into chunks of char lengths: {lengths}."
+)
 SHOWN_PARTS = 100
 
 
@@ -68,14 +75,5 @@ def profile_line(parts: DataFrame) -> DataFrame:
             F.lit("... ["), (F.col("n_parts") - SHOWN_PARTS).cast("string"), F.lit(" others]")
         ),
     ).otherwise("")
-    line = F.concat(
-        F.lit("Your context is a "),
-        "context_type",
-        F.lit(" with "),
-        F.col("context_total_length").cast("string"),
-        F.lit(" total characters, and is broken up into chunks of char lengths: "),
-        lengths,
-        others,
-        F.lit("."),
-    )
+    line = render_prompt(PROFILE_LINE, lengths=F.concat(lengths, others))
     return joined.select("ctx_id", "n_parts", "context_total_length", line.alias("line"))

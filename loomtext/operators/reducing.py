@@ -7,12 +7,12 @@ not fit one prompt are reduced in budget-sized pieces, so no row grows with a co
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from string import Formatter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.functions.messages import render_prompt
 from loomtext.functions.text import whole_division
 from loomtext.models import ClientFactory, EchoClient
 from loomtext.operators.asking import ask, errors_as_values
@@ -46,19 +46,6 @@ LAST_PROMPT = (
 BUDGET = 500_000
 
 
-def render_prompt(template: str, **values: Column | str) -> Column:
-    """Fill ``{name}`` places of a template from columns; plain strings are literals, not columns."""
-    parts = []
-    for literal, name, _, _ in Formatter().parse(template):
-        if literal:
-            parts.append(F.lit(literal))
-        if name is not None:
-            value = values.get(name, F.col(name) if name not in values else None)
-            value = F.lit(value) if isinstance(value, str) else value
-            parts.append(F.coalesce(value.cast("string"), F.lit("")))
-    return F.concat(*parts)
-
-
 def _answers(df: DataFrame, client: ClientFactory, options: dict) -> DataFrame:
     """Ask, turn errors into text, and write the round."""
     asked = errors_as_values(ask(df, client, **options))

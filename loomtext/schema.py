@@ -1,4 +1,4 @@
-"""Schemas of run-log records."""
+"""Schemas of run-log records. Field names are fixed values: they are those of the log lines."""
 
 USAGE = "struct<total_calls:bigint,total_input_tokens:bigint,total_output_tokens:bigint>"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions.messages import MESSAGES
+from loomtext.functions.messages import MESSAGES, user_prompt
 
 PART_COLUMNS = ["ctx_id", "part_idx", "part_key", "role", "text"]
 
@@ -150,9 +150,7 @@ def to_messages(df: DataFrame, prompt: str) -> DataFrame:
         listed = F.try_variant_get(column, "$", MESSAGES)
     else:
         text, listed = F.lit(None).cast("string"), column.cast(MESSAGES)
-    plain = F.when(
-        text.isNotNull(), F.array(F.struct(F.lit("user").alias("role"), text.alias("content")))
-    ).cast(MESSAGES)
+    plain = F.when(text.isNotNull(), user_prompt(text)).cast(MESSAGES)
     messages = F.coalesce(plain, listed)
     return df.withColumn("messages", messages).withColumn(
         "error", F.when(F.col("messages").isNull(), "Invalid prompt type")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.functions.messages import turn_prompt
+from loomtext.functions.messages import render_prompt, turn_prompt
 from loomtext.models import AsyncEchoClient, Completion, EchoClient, FailingClient, RuleClient, prompt_text
 from loomtext.operators.asking import (
     ask,
@@ -17,7 +17,6 @@ from loomtext.operators.chunking import chunk_fixed, section_position
 from loomtext.operators.reducing import (
     fold_sections,
     map_reduce_answer,
-    render_prompt,
     section_summaries,
     tree_reduce,
 )

@@ -7,7 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from loomtext.functions.messages import CLOSING_PROMPT
+from loomtext.functions.messages import CLOSING_PROMPT, render_prompt
 from loomtext.models import Completion, EchoClient, FailingClient, RuleClient, prompt_text
 from loomtext.operators.asking import NO_RESULT, ask, ask_stored, errors_as_values
 from loomtext.operators.history import assemble_prompts
@@ -15,7 +15,6 @@ from loomtext.operators.reducing import (
     fold_sections,
     map_reduce_answer,
     reduce_answers,
-    render_prompt,
     tree_reduce,
 )
 from loomtext.operators.requests import route_model, validate_requests, zip_results

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from loomtext.session import ship_package
+# Spark starts the processor once on the driver too, in a worker that shipped packages do not reach.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COUNTS = "n_iterations long, n_errors long, answered boolean, ended boolean"
 
@@ -70,7 +73,6 @@ def run_progress(
     With ``idle_seconds`` a run also ends after that long without an iteration. Its timers keep the
     query running, so it suits a continuous trigger and not one that stops when the input is used up.
     """
-    ship_package(iterations.sparkSession)
     run_type = iterations.schema["run_id"].dataType.simpleString()
     return iterations.groupBy("run_id").transformWithStateInPandas(
         RunProgress(max_iterations, idle_seconds),

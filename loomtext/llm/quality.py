@@ -36,9 +36,9 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Guards: texts with fewer characters or words are not judged by distance.
 MIN_CLASS_CHARS = 300
-MIN_HISTOGRAM_WORDS = 80
-MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.55
+MIN_HISTOGRAM_WORDS = 100
+MAX_CLASS_DISTANCE = 0.28
+MAX_WORD_DISTANCE = 0.26
 
 
 def _measured(rows: DataFrame, text: str, lang: str, keep: list[str]) -> DataFrame:

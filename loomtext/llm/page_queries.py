@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.registry import query
 from loomtext.llm.url_rules import filter_urls, rule_table
+from loomtext.llm.warc import read_warc, write_warc
+from loomtext.scratch import scratch_path
 from loomtext.suite import Tables
 
 #: Host and path rules; each fits its host with all subdomains, from the start of the path.
@@ -75,3 +77,32 @@ def op9_url_filters(tables: Tables) -> DataFrame:
     judged = filter_urls(tables.pages, rule_table(tables.spark, rules), keep=["page_id"])
     site = F.when(F.col("priority") == 1, F.expr("substring(rule, 3)"))
     return judged.select("page_id", "host", "path", site.alias("rule"), "verdict")
+
+
+@query(
+    "op7_warc",
+    """
+    WITH body AS (
+      SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+             sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS html FROM pages),
+    first AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS target FROM body)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> target THEN 'revisit'
+                ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> target THEN target END AS refers_to
+    FROM first
+    """,
+)
+def op7_warc(tables: Tables) -> DataFrame:
+    archive = scratch_path(tables.spark, "warc")
+    write_warc(tables.pages, archive)
+    records = read_warc(tables.spark, archive)
+    whole = F.col("record_type") == "response"
+    return records.select(
+        F.expr("try_cast(record_id AS bigint)").alias("page_id"),
+        F.when(whole, F.length("payload")).otherwise(F.col("payload_length")).cast("long")
+        .alias("payload_bytes"),
+        F.when(whole, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )

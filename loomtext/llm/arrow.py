@@ -11,6 +11,7 @@ from pyspark.sql.types import StructField, StructType
 
 from loomtext.session import ship_package
 
+SLICE_BYTES = 4_000_000
 #: Takes the batches' columns of one task, yields the result columns of each batch in turn.
 Compute = Callable[[Iterator[list[pa.Array]]], Iterator[list[pa.Array]]]
 
@@ -41,8 +42,12 @@ def add_columns(
 
         def columns():
             for batch in batches:
-                kept.append(batch.columns[:n])
-                yield batch.columns[n:]
+                # Small slices keep the Python objects of a batch from piling up.
+                step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    kept.append(part.columns[:n])
+                    yield part.columns[n:]
 
         for arrays in compute(columns()):
             all_columns = [*kept.pop(0), *arrays]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.merge_pieces import decode_pieces, encode_pieces
+from loomtext.llm.merge_pieces import encode_pieces
 from loomtext.llm.quality import judge_quality
 from loomtext.llm.registry import query
 from loomtext.llm.token_counts import count_tokens
@@ -23,16 +23,6 @@ def op1_token_counts(tables: Tables) -> DataFrame:
 
 @query("op6_merge_pieces")
 def op6_merge_pieces(tables: Tables) -> DataFrame:
-    encoded = encode_pieces(tables.documents, PIECES, keep=["doc_id", "text"], dropout=0.1, seed=1)
-    decoded = decode_pieces(encoded, PIECES, keep=["doc_id", "text", "ids"])
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_pieces"),
-        "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
-    )
-
-
-@query("op10_quality_rules")
-def op10_quality_rules(tables: Tables) -> DataFrame:
-    return judge_quality(tables.documents, keep=["doc_id"])
+    encoded = encode_pieces(tables.documents, PIECES, keep=["doc_id"], dropout=0.1, seed=1)
+    n_pieces = F.size("ids").cast("long").alias("n_pieces")
+    return encoded.select("doc_id", n_pieces, "ids", "lossless")

@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from loomtext.llm.arrow import add_columns, kept_in_worker, texts
 from loomtext.llm.pieces import SPACE, Vocabulary, read_vocabulary
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 CACHED_LENGTH = 200
 MASK = (1 << 64) - 1
 #: Odd multipliers of the keyed hash.
@@ -166,7 +166,7 @@ class Joiner:
         for byte, i in enumerate(vocabulary.bytes_):
             self.spelled[i] = bytes([byte])
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The text; the space that encoding put in front is taken off."""
         joined = b"".join(map(self.spelled.__getitem__, ids))
         return joined.decode(errors="replace").removeprefix(" ")
@@ -182,7 +182,8 @@ def encode_pieces(
     seed: int = 0,
     variants: int = 1,
 ) -> DataFrame:
-    """The ``keep`` columns of every row with ``ids``. ``vocabulary``: path of the model file."""
+    """The ``keep`` columns of every row with ``ids``, and with ``lossless``: whether decoding them
+    gave the text back (NULL as empty). ``vocabulary``: path of the model file."""
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def compute(batches: Iterator[list[pa.Array]]) -> Iterator[list[pa.Array]]:
@@ -190,16 +191,21 @@ def encode_pieces(
             ("merge", vocabulary, dropout, seed, variants),
             lambda: Segmenter(shared.value, dropout, seed, variants),
         )
+        joiner = Joiner(shared.value)
         for (column,) in batches:
-            rows = [segmenter.encode(t) for t in texts(column)]
+            rows, lossless = [], []
+            for t in texts(column):
+                rows.append(segmenter.encode(t))
+                lossless.append(joiner.decode(array("i", rows[-1])) == t)
             ends = np.cumsum([0] + [len(r) // 4 for r in rows])
             yield [
                 pa.ListArray.from_arrays(
                     pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32))
-                )
+                ),
+                pa.array(lossless, pa.bool_()),
             ]
 
-    return add_columns(docs, keep, [text], "ids array<int>", compute)
+    return add_columns(docs, keep, [text], "ids array<int>, lossless boolean", compute)
 
 
 def decode_pieces(

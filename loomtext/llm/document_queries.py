@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.decontamination import find_contamination
 from loomtext.llm.merge_pieces import encode_pieces
 from loomtext.llm.quality import judge_quality
 from loomtext.llm.registry import query
@@ -26,3 +27,18 @@ def op6_merge_pieces(tables: Tables) -> DataFrame:
     encoded = encode_pieces(tables.documents, PIECES, keep=["doc_id"], dropout=0.1, seed=1)
     n_pieces = F.size("ids").cast("long").alias("n_pieces")
     return encoded.select("doc_id", n_pieces, "ids", "lossless")
+
+
+@query("op5_decontamination")
+def op5_decontamination(tables: Tables) -> DataFrame:
+    found = find_contamination(tables.documents, tables.benchmark, keep=["doc_id"])
+    lengths = F.transform("spans", lambda s: s["end"] - s["start"])
+    n_hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n)
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.decontamination import find_contamination
+from loomtext.llm.lattice_lm import score_texts
 from loomtext.llm.merge_pieces import encode_pieces
 from loomtext.llm.quality import judge_quality
 from loomtext.llm.registry import query
@@ -42,3 +43,8 @@ def op5_decontamination(tables: Tables) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+@query("op8_lm_scoring")
+def op8_lm_scoring(tables: Tables) -> DataFrame:
+    return score_texts(tables.documents, PIECES)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.decontamination import find_contamination
 from loomtext.llm.lattice_lm import score_texts
+from loomtext.llm.line_dedup import drop_repeated_lines
 from loomtext.llm.merge_pieces import encode_pieces
 from loomtext.llm.quality import judge_quality
 from loomtext.llm.registry import query
@@ -48,3 +49,8 @@ def op5_decontamination(tables: Tables) -> DataFrame:
 @query("op8_lm_scoring")
 def op8_lm_scoring(tables: Tables) -> DataFrame:
     return score_texts(tables.documents, PIECES)
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(tables: Tables) -> DataFrame:
+    return drop_repeated_lines(tables.documents, keep=["doc_id"])

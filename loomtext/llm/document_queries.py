@@ -9,6 +9,7 @@ from loomtext.llm.decontamination import find_contamination
 from loomtext.llm.lattice_lm import score_texts
 from loomtext.llm.line_dedup import drop_repeated_lines
 from loomtext.llm.merge_pieces import encode_pieces
+from loomtext.llm.near_dedup import near_duplicates
 from loomtext.llm.quality import judge_quality
 from loomtext.llm.registry import query
 from loomtext.llm.token_counts import count_tokens
@@ -54,3 +55,8 @@ def op8_lm_scoring(tables: Tables) -> DataFrame:
 @query("op2_line_dedup")
 def op2_line_dedup(tables: Tables) -> DataFrame:
     return drop_repeated_lines(tables.documents, keep=["doc_id"])
+
+
+@query("op4_near_dedup")
+def op4_near_dedup(tables: Tables) -> DataFrame:
+    return near_duplicates(tables.documents, keep=["doc_id"])

@@ -21,11 +21,10 @@ def add_columns(
 ) -> DataFrame:
     """The ``keep`` columns of every row, in order, beside what ``compute`` makes of ``inputs``.
 
-    ``results`` is a DDL schema. A kept column with the name of a result is refused.
+    ``results`` is a DDL schema. A kept column with the name of a result gives way.
     """
     made = StructType.fromDDL(results)
-    if clash := set(keep) & set(made.names):
-        raise ValueError(f"columns named like results: {sorted(clash)}")
+    keep = [c for c in keep if c not in made.names]
     ship_package(df.sparkSession)
     rows = df.select(
         *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)],

@@ -11,11 +11,13 @@ the shortest window with no other word left are not indexed; no occurrence is lo
 Defined cases: words are ASCII letters (lower-cased), digits and all non-ASCII characters; NULL, empty
 and word-less texts and items have no words and hit nothing. An item shorter than a window is one
 window itself. Repeated items and rows each count by themselves; items with equal ids count as one. An
-empty benchmark hits nothing. Item ids are compared as text. Columns not in ``keep`` are ignored.
+empty benchmark hits nothing. Item ids are compared as text. Columns not in
+``keep`` are ignored; a kept column with the name of a result gives way to it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -318,6 +320,7 @@ def find_contamination(
                     pa.array([i for _, _, i in rows], types[2]),
                 ]
 
+        keep = [c for c in keep if c not in ("n_words", "spans", "items")]
         wanted = list(dict.fromkeys([*keep, text])) if k < blocks - 1 else keep
         rows = add_columns(rows, [*wanted, *carried], [text], result, compute)
         names = {n: f"_{n}{k}" for n in ("n_words", "spans", "items")}
@@ -348,3 +351,41 @@ def find_contamination(
     return rows.select(
         *keep, F.col("_n_words0").alias("n_words"), union.alias("spans"), F.array_sort(named).alias("items")
     )
+
+
+_WORD = re.compile(rb"[^ ]+")
+
+
+def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the spans and what lies between them."""
+    places = [m.span() for m in _WORD.finditer(text.translate(WORD_BYTES))]
+    kept, at = [], 0
+    for first, end in spans:
+        kept.append(text[at : places[first][0]])
+        at = places[end - 1][1]
+    return b"".join([*kept, text[at:]])
+
+
+def remove_contamination(
+    docs: DataFrame, items: DataFrame, *, text: str = "text", keep: list[str], width: int = WINDOW_WORDS
+) -> DataFrame:
+    """The ``keep`` columns of every row with ``n_removed`` words and ``remaining``, the text."""
+    wanted = list(dict.fromkeys([*keep, text]))
+    found = find_contamination(
+        docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns}), items,
+        text=f"_own_{text}", keep=[f"_own_{c}" for c in wanted], width=width,
+    )
+
+    def compute(batches: Iterator[list[pa.Array]]) -> Iterator[list[pa.Array]]:
+        for bodies, spans in batches:
+            texts, removed = [], []
+            for body, found in zip(bodies.to_pylist(), spans.to_pylist(), strict=True):
+                pairs = [(s["start"], s["end"]) for s in found]
+                removed.append(sum(b - a for a, b in pairs))
+                texts.append(without_spans(body.encode(), pairs).decode() if pairs else body)
+            yield [pa.array(removed, pa.int64()), pa.array(texts, pa.string())]
+
+    kept = [f"_own_{c}" for c in keep if c not in ("n_removed", "remaining")]
+    made = "n_removed bigint, remaining string"
+    out = add_columns(found, kept, [f"_own_{text}", "spans"], made, compute)
+    return out.withColumnsRenamed({c: c.removeprefix("_own_") for c in kept})

@@ -14,7 +14,7 @@ Earlier means a smaller id (NULL last), then a smaller hash of the text, then a
 Defined cases: NULL and empty texts stay as they are. Rows with equal id and text are one document and
 are treated alike. Copies within one text count, also overlapping ones. Lines are cut at line feeds and
 compared exactly; words are cut at ASCII white space. An empty table gives no rows. Columns not in
-``keep`` are ignored.
+``keep`` are ignored; a kept column with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -192,8 +192,7 @@ def drop_repeated_lines(
     min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """The ``keep`` columns of every row with ``n_lines``, ``n_deleted`` and ``remaining``, the text."""
-    if clash := set(keep) & {"n_lines", "n_deleted", "remaining"}:
-        raise ValueError(f"columns named like results: {sorted(clash)}")
+    keep = [c for c in keep if c not in ("n_lines", "n_deleted", "remaining")]
     runs = materialise(repeated_lines(docs, doc_id=doc_id, text=text, min_words=min_words), "runs")
     rows = docs.select(
         *[F.col(c).alias(f"_kept{i}") for i, c in enumerate(keep)],

@@ -16,7 +16,7 @@ at the threshold with probability 5e-6, at similarity 0.85 with 1e-10.
 Defined cases: NULL, empty and word-less texts have no shingles and are linked with nothing. With fewer
 words than a shingle the whole sequence is one. Component ids are least document ids, NULL ids not
 counted unless all are NULL. Rows with equal ids get equal results. An empty table gives no rows.
-Columns not in ``keep`` are ignored.
+Columns not in ``keep`` are ignored; a kept column with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -265,8 +265,7 @@ def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str]
 ) -> DataFrame:
     """One row per row: ``keep``, with n_shingles, component_id and kept (the component's least id)."""
-    if clash := set(keep) & {"n_shingles", "component_id", "kept"}:
-        raise ValueError(f"columns named like results: {sorted(clash)}")
+    keep = [c for c in keep if c not in ("n_shingles", "component_id", "kept")]
     ship_package(docs.sparkSession)
     signed = materialise(_signatures(docs, doc_id, text), "signatures")
     classes = materialise(signed.where("n > 0").drop("id").dropDuplicates(["class"]), "classes")

@@ -9,7 +9,7 @@ Defined cases: a NULL or blank text has no words and fails. Texts shorter than t
 not judged by distance. A NULL or unlisted language has no common words, so only character classes
 are judged, against the pooled reference of that language value (NULL is a value of its own).
 Repeated rows are judged alike, one result each. Columns not named here are ignored unless they are
-listed in ``keep``; a kept column with the name of a result is refused.
+listed in ``keep``; a kept column with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -198,8 +198,7 @@ def judge_quality(
 
     The measured rows are written once, so references and verdicts come from one pass over the texts.
     """
-    if clash := set(keep) & set(RESULTS):
-        raise ValueError(f"columns named like results: {sorted(clash)}")
+    keep = [c for c in keep if c not in RESULTS]
     measured = materialise(_measured(docs, text, lang, keep), "quality")
     references = materialise(_pooled(measured), "quality-reference")
     judged = measured.join(

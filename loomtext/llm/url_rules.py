@@ -9,7 +9,8 @@ rules filed under them, and only those run their regular expression. A rule with
 Defined cases: a NULL URL, or one without ``://``, has an empty host and path, fits no rule and takes
 the default. Of the rules that fit, the highest priority wins, then the longest pattern, then allow,
 then the pattern last in order. Repeated URLs are judged once and joined back. An empty rule table
-gives every URL the default. Columns not in ``keep`` are ignored.
+gives every URL the default. Columns not in ``keep`` are ignored;
+a kept column with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -107,8 +108,7 @@ def filter_urls(
     default: str = "allow",
 ) -> DataFrame:
     """The ``keep`` columns of every row, with host, path, winning rule, its priority and verdict."""
-    if clash := set(keep) & set(RESULTS):
-        raise ValueError(f"columns named like results: {sorted(clash)}")
+    keep = [c for c in keep if c not in RESULTS]
     kept = F.struct(*keep).alias("_kept")
     rows = pages.select(kept, F.col(url).alias("_url"))
     once = rows.select(F.col("_url").alias("url")).where("url is not null").distinct()

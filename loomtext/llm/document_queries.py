@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.decontamination import find_contamination
 from loomtext.llm.lattice_lm import score_texts
+from loomtext.llm.licences import scan_licences
 from loomtext.llm.line_dedup import drop_repeated_lines
 from loomtext.llm.merge_pieces import encode_pieces
 from loomtext.llm.near_dedup import near_duplicates
@@ -60,3 +61,10 @@ def op2_line_dedup(tables: Tables) -> DataFrame:
 @query("op4_near_dedup")
 def op4_near_dedup(tables: Tables) -> DataFrame:
     return near_duplicates(tables.documents, keep=["doc_id"])
+
+
+@query("op3_license_scan")
+def op3_license_scan(tables: Tables) -> DataFrame:
+    found = scan_licences(tables.documents, keep=["doc_id"])
+    families = F.array_sort(F.array_distinct(F.col("licences.family")))
+    return found.select("doc_id", "n_paragraphs", families.alias("families"), "licences")

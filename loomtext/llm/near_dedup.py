@@ -200,7 +200,8 @@ def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame | None:
         return components(links)
     ends = _labelled(_labelled(links, comps, "a"), comps, "b")
     higher = components(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-    raised = comps.join(higher.withColumnsRenamed({"node": "label", "label": "top"}), "label", "left")
+    tops = higher.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    raised = comps.join(tops, "label", "left")
     fresh = higher.join(comps, "node", "left_anti")
     return materialise(
         raised.select("node", F.coalesce("top", "label").alias("label")).unionByName(fresh), "components"

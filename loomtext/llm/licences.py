@@ -82,12 +82,14 @@ def terms(paragraph: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Weights of words and word pairs for each class; scores are means over a paragraph's terms."""
+    """Weights of words and word pairs for each class; scores are means over a paragraph's
+    known terms."""
 
     number: dict[str, int]
     weights: np.ndarray
     pairs: np.ndarray  # number of first word * words + number of second word, sorted
     pair_rows: np.ndarray
+    is_term: np.ndarray  # per row of weights; words that only occur in pairs are none
     bias: np.ndarray
     temperature: float
 
@@ -99,20 +101,22 @@ class Model:
         get = self.number.get
         ids = np.fromiter((get(w, -1) for ws in words for w in ws), np.int64, int(counts.sum()))
         total = np.zeros((len(words), len(self.bias)))
+        sizes = np.zeros(len(words))
         known = ids >= 0
-        self._add(total, owner[known], ids[known])
+        self._add(total, sizes, owner[known], ids[known])
         together = (owner[:-1] == owner[1:]) & known[:-1] & known[1:]
         if len(self.pairs) and together.any():
             key = ids[:-1][together] * len(self.number) + ids[1:][together]
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             hit = self.pairs[at] == key
-            self._add(total, owner[1:][together][hit], self.pair_rows[at[hit]])
-        sizes = np.maximum(2 * counts - 1, 1)[:, None]
-        z = (total / sizes + self.bias) / self.temperature
+            self._add(total, sizes, owner[1:][together][hit], self.pair_rows[at[hit]])
+        z = (total / np.maximum(sizes, 1)[:, None] + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def _add(self, total: np.ndarray, owner: np.ndarray, rows: np.ndarray) -> None:
+    def _add(self, total: np.ndarray, sizes: np.ndarray, owner: np.ndarray, rows: np.ndarray) -> None:
+        terms = self.is_term[rows]
+        sizes += np.bincount(owner, terms, len(total))
         for k in range(total.shape[1]):
             total[:, k] += np.bincount(owner, self.weights[rows, k], len(total))
 
@@ -154,11 +158,11 @@ def train(docs: DataFrame, *, text: str = "text") -> Model:
     place = {t: k for k, t in enumerate(features)}
 
     def vector(paragraph: str) -> SparseVector:
-        found, size = {}, 0
+        found: dict[int, int] = {}
         for term in terms(paragraph):
-            size += 1
             if term in place:
                 found[place[term]] = found.get(place[term], 0) + 1
+        size = sum(found.values())
         return SparseVector(len(place), {k: n / size for k, n in found.items()})
 
     data = [(vector(p), float(CLASSES.index(c))) for p, c in rows]
@@ -183,7 +187,9 @@ def train(docs: DataFrame, *, text: str = "text") -> Model:
     keys = np.array([number[a] * len(number) + number[b] for (a, b), _ in pairs], np.int64)
     by = np.argsort(keys)
     table = np.concatenate([table, weights[[k for _, k in pairs]].reshape(-1, len(bias))])
-    model = Model(number, table, keys[by], (len(number) + np.arange(len(pairs)))[by], bias, 1.0)
+    is_term = np.array([w in place for w in number] + [True] * len(pairs), float)
+    pair_rows = (len(number) + np.arange(len(pairs)))[by]
+    model = Model(number, table, keys[by], pair_rows, is_term, bias, 1.0)
     held = [r for k, r in enumerate(rows) if k % 5 == 0]
     truth = np.array([CLASSES.index(c) for _, c in held])
     losses = {}

@@ -34,7 +34,7 @@ from loomtext.scratch import materialise
 from loomtext.session import ship_package
 
 #: Words with broadcast counts; a fixed number, whatever the input.
-HEAD_WORDS = 60_000
+HEAD_WORDS = 150_000
 #: Different words counted before a task hands them on.
 COUNTED_WORDS = 300_000
 #: The end of a text as a token: no word is empty.
@@ -128,6 +128,21 @@ def token_counts(docs: DataFrame, text: str, held_out: Column) -> DataFrame:
     return partial.groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def commonest(counts: DataFrame) -> int:
+    """The least count at which no more than ``HEAD_WORDS`` tokens are as common; at least 1.
+
+    Found from a histogram over powers of 2 ** (1 / 16), a bounded number of bins.
+    """
+    bins = counts.where("c > 0").groupBy(F.floor(16 * F.log2("c")).cast("int").alias("bin")).count()
+    least, total = None, 0
+    for r in sorted(bins.collect(), reverse=True):
+        total += r["count"]
+        if total > HEAD_WORDS:
+            break
+        least = r["bin"]
+    return max(1, math.ceil(2 ** (least / 16))) if least is not None else 1 << 62
+
+
 def score_texts(
     docs: DataFrame,
     vocabulary: str,
@@ -169,11 +184,8 @@ def score_texts(
         F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("base"),
         F.when((F.col("c") == 0), tiny).otherwise(F.log10(share)).alias("term"),
     )
-    head = terms.orderBy(F.desc("c"), "token").limit(HEAD_WORDS)
-    head_rows = head.collect()
-    shared = spark.sparkContext.broadcast(
-        {bytes(r.token): (r.base, r.term, r.c > 0) for r in head_rows}
-    )
+    head = terms.where(F.col("c") >= commonest(counts)).drop("c").collect()
+    shared = spark.sparkContext.broadcast({bytes(r.token): (r.base, r.term) for r in head})
 
     def measured(batches: Iterator[list[pa.Array]]) -> Iterator[list[pa.Array]]:
         known = shared.value
@@ -185,7 +197,7 @@ def score_texts(
                 words.append(END)
                 found = [x for x in map(get, words) if x is not None]
                 out["n"].append(len(words))
-                out["known"].append(sum(x[2] for x in found))
+                out["known"].append(len(found))  # all of the head occur in training texts
                 out["base"].append(math.fsum(x[0] for x in found))
                 out["term"].append(math.fsum(x[1] for x in found))
                 rare = Counter(w for w in words if w not in known) if len(found) < len(words) else {}
@@ -194,11 +206,12 @@ def score_texts(
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type]
             yield [pa.array(x, t) for x, t in zip(out.values(), types, strict=True)]
 
-    key = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
     rows = docs.select(
-        F.col(doc_id).alias("_id"), held_out.alias("_held"), F.substring(key, 1, 32).alias("_key"),
+        F.col(doc_id).alias("_id"),
+        held_out.alias("_held"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"),  # told apart within an id
         F.col(text).alias("_text"),
-    )
+    )
     scored = materialise(
         add_columns(
             rows, ["_id", "_held", "_key"], ["_text"],

@@ -145,7 +145,7 @@ def ask_stored(
     rounds: int = 1,
     **options,
 ) -> DataFrame:
-    """Ask each ``request_id`` once and keep the answers in a Parquet table.
+    """Ask each ``request_id`` once, also a repeated one, and keep the answers in a Parquet table.
 
     A second run over the same store asks only what is missing, so a failed job resumes. With
     ``rounds`` above 1 the requests are asked and committed in that many jobs, which bounds what a
@@ -154,10 +154,11 @@ def ask_stored(
     spark = df.sparkSession
     resumed = store is not None
     store = store or scratch_path(spark, "answers")
+    once = df.dropDuplicates([request_id])
     for number in range(rounds):
-        due = df
+        due = once
         if rounds > 1:
-            due = df.where(F.pmod(F.xxhash64(request_id), F.lit(rounds)) == number)
+            due = once.where(F.pmod(F.xxhash64(request_id), F.lit(rounds)) == number)
         if resumed and path_exists(spark, store):
             due = due.join(spark.read.parquet(store).select(request_id), request_id, "left_anti")
         answers = ask(due, **options)

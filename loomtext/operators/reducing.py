@@ -46,8 +46,16 @@ LAST_PROMPT = (
 BUDGET = 500_000
 
 
-def _answers(df: DataFrame, client: ClientFactory, options: dict) -> DataFrame:
-    """Ask, turn errors into text, and write the round."""
+def _answers(
+    df: DataFrame, client: ClientFactory, options: dict, spread: bool = False
+) -> DataFrame:
+    """Ask, turn errors into text, and write the round.
+
+    ``spread`` deals prompts that come out of a shuffle to as many tasks as the cluster has cores:
+    they are few bytes and dear in time, so adaptive execution would put them into one task.
+    """
+    if spread:
+        options = {"partitions": df.sparkSession.sparkContext.defaultParallelism, **options}
     asked = errors_as_values(ask(df, client, **options))
     kept = [c for c in df.columns if c != "prompt"]
     return materialise(asked.select(*kept, "answer"), "answers")
@@ -76,7 +84,7 @@ def reduce_answers(
         pieces = join_ordered(
             remaining, keys, order, "answer", separator, budget, slice_rows
         ).withColumn("prompt", render_prompt(template, query=query, answers=F.col("text")))
-        asked = _answers(pieces.select(*keys, "piece_idx", "prompt"), client, options)
+        asked = _answers(pieces.select(*keys, "piece_idx", "prompt"), client, options, spread=True)
         split = asked.where(F.col("piece_idx") > 0).select(*keys).distinct()
         count = asked.join(split, keys, "left_semi").count()
         done = asked if count == 0 else asked.join(split, keys, "left_anti")
@@ -195,7 +203,7 @@ def tree_reduce(
                 template, query=query, answers=F.array_join(F.col("_items.answer"), "\n")
             ).alias("prompt"),
         )
-        asked = _answers(prompts, client, options)
+        asked = _answers(prompts, client, options, spread=True)
         open_keys = asked.where(F.col("_idx") > 0).select(*keys).distinct()
         done = asked.join(open_keys, keys, "left_anti").select(
             *keys, "answer", F.lit(depth).cast("long").alias("depth")
@@ -279,7 +287,9 @@ def fold_sections(
             rows = rows.withColumn("_held", F.lit(None).cast("string"))
         else:
             rows = rows.join(held.select("_key", F.col("buffer").alias("_held")), "_key", "left")
-        ordered = rows.repartition("_key").sortWithinPartitions("_key", "section_no")
+        # A stated number is kept, where adaptive execution would serve all texts in one task.
+        tasks = spark.sparkContext.defaultParallelism
+        ordered = rows.repartition(tasks, "_key").sortWithinPartitions("_key", "section_no")
         held = materialise(
             ordered.mapInPandas(
                 fold, f"_key {key_type}, n_sections long, ended boolean, buffer string"

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _totals() -> list:
+def _totals(calls: DataFrame) -> list:
+    """Sums of a calls table; a row stands for ``total_calls`` calls where it has them, else for one."""
+    number = F.coalesce("total_calls", F.lit(1)) if "total_calls" in calls.columns else F.lit(1)
     return [
-        F.count(F.lit(1)).alias("total_calls"),
+        F.sum(number.cast("long")).alias("total_calls"),
         F.sum("input_tokens").alias("total_input_tokens"),
         F.sum("output_tokens").alias("total_output_tokens"),
         (F.sum("input_tokens") + F.sum("output_tokens")).alias("total_tokens"),
@@ -16,7 +18,7 @@ def _totals() -> list:
 
 
 def usage_by_model(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("model").agg(*_totals())
+    return calls.groupBy("model").agg(*_totals(calls))
 
 
 def usage_totals(calls: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ def usage_totals(calls: DataFrame) -> DataFrame:
 
     Calls are summed per (run, model) before the rollup, which would otherwise triple them.
     """
-    summed = calls.groupBy("run_id", "model").agg(*_totals())
+    summed = calls.groupBy("run_id", "model").agg(*_totals(calls))
     return summed.rollup("run_id", "model").agg(
         F.grouping_id().cast("long").alias("level"),
         *(
@@ -63,19 +65,26 @@ def merge_usage(first: DataFrame, second: DataFrame, mode: str = "sum") -> DataF
 
 
 def usage_of_subcalls(subcalls: DataFrame) -> DataFrame:
-    """Calls-table rows from exploded sub-calls, one per model named in a call's usage."""
+    """Calls-table rows from exploded sub-calls, one per model named in a call's usage.
+
+    A call without usage stands for one call of its ``root_model``.
+    """
+    named = [c for c in ("root_model",) if c in subcalls.columns]
+    model = [F.coalesce("model", *named).alias("model")]
     return subcalls.select(
         "run_id",
         "iteration",
         "block_idx",
         "call_idx",
+        *named,
         F.explode_outer("usage").alias("model", "_usage"),
     ).select(
         "run_id",
         "iteration",
         "block_idx",
         "call_idx",
-        "model",
+        *model,
+        F.col("_usage.total_calls").alias("total_calls"),
         F.col("_usage.total_input_tokens").alias("input_tokens"),
         F.col("_usage.total_output_tokens").alias("output_tokens"),
     )

@@ -142,6 +142,8 @@ def batch_complete(
         paths = [f"{store}/{kind}/round={n}" for n in range(first, last + 1)]
         return spark.read.schema(schema).parquet(*paths)
 
+    # Prompts are few bytes and dear in time: deal them to all cores, not by size.
+    options = {"partitions": spark.sparkContext.defaultParallelism, **options}
     active = questions
     for turn in range(max_iterations):
         history = rounds("history", history_schema, 0, turn)
@@ -258,7 +260,8 @@ def complete_or_direct(
     direct = questions.where(F.col("depth") >= max_depth).select(
         "run_id", F.col(prompt).alias("prompt")
     )
-    answered = materialise(errors_as_values(ask(direct, client)), "direct").select(
+    shared = {k: v for k, v in options.items() if k in ("model", "concurrency", "partitions", "setup")}
+    answered = materialise(errors_as_values(ask(direct, client, **shared)), "direct").select(
         "run_id", F.lit("DIRECT").alias("kind"), "answer"
     )
     deep = questions.where(F.col("depth") < max_depth)

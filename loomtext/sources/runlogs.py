@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from loomtext.functions.messages import MESSAGES
 from loomtext.schema import RAW_RECORD, USAGE
 
+#: Variables hold whole contexts, so strings of a log line may be of any length.
+ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 # Fixed value: run file names are {name}_{date}_{time}_{8 hex digits}.jsonl.
 RUN_FILE = r"(?:^|[/=])([^/=]+)_(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})_([0-9a-f]{8})\.jsonl"
 
@@ -20,7 +22,7 @@ def _log_files(reader, path: str) -> DataFrame:
     lines = reader.option("recursiveFileLookup", "true").text(path)
     file_path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
     return lines.select(F.col("value").alias("line"), file_path.alias("file_path")).where(
-        F.contains("file_path", F.lit(".jsonl"))
+        F.col("file_path").rlike(r"\.jsonl(/[^/]*)?$")
     )
 
 
@@ -56,7 +58,9 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
     """
     filled = lines.where(F.trim("line") != "")
     record = F.from_json(
-        "line", RAW_RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+        "line",
+        RAW_RECORD,
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", **ANY_LENGTH},
     )
     parsed = filled.select("file_path", "line", record.alias("record")).select(
         F.coalesce("record.run_id", run_identity(F.col("file_path"))["run_id"]).alias("run_id"),
@@ -65,10 +69,8 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
         "record",
     )
     # The second parse runs for flagged lines only.
-    is_object = F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT")
-    bad = F.when(
-        F.col("record._corrupt").isNotNull(), ~F.coalesce(is_object, F.lit(False))
-    ).otherwise(False)
+    is_object = F.from_json("line", "map<string,string>", ANY_LENGTH).isNotNull()
+    bad = F.when(F.col("record._corrupt").isNotNull(), ~is_object).otherwise(False)
     return parsed.withColumn("bad", bad)
 
 

@@ -309,3 +309,29 @@ def test_loop_survives_a_failing_model(spark):
 def test_completion_defaults():
     assert Completion("x").calls == 1
     assert EchoClient().complete("a" * 60, None).response == "Mock response to: " + "a" * 50
+
+
+def test_reduced_prompts_are_dealt_to_many_tasks(spark):
+    """Few bytes, dear in time: adaptive execution must not put all model calls into one task."""
+    from pyspark import TaskContext
+
+    from loomtext.models import Completion
+
+    class WhichTask:
+        def complete(self, prompt, model=None):
+            return Completion(str(TaskContext.get().partitionId()))
+
+    chunks = spark.range(200).select(
+        F.col("id").cast("string").alias("ctx_id"), F.lit(0).alias("chunk_idx"), F.lit("x").alias("chunk")
+    )
+    answers = map_reduce_answer(chunks, "q", WhichTask)
+    assert answers.select("answer").distinct().count() >= 4
+    folded = fold_sections(
+        chunks.select("ctx_id", F.col("chunk_idx").alias("part_idx"), F.col("chunk").alias("text")), "q", WhichTask
+    )
+    assert folded.select("buffer").distinct().count() >= 3
+
+
+def test_stored_answers_are_asked_once_per_id(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id long, prompt string")
+    assert ask_stored(rows, "id").count() == 2

@@ -327,3 +327,21 @@ def test_context_files(spark, tmp_path):
     assert (text["text"], text["kind"]) == ("line 1\nline 2\n", "str")
     parts = read_context_json(spark, str(tmp_path / "b.json")).orderBy("part_idx").collect()
     assert [(r["part_key"], r["text"]) for r in parts] == [("z", "1"), ("a", "2")]
+
+
+def test_log_lines_of_any_length(spark, tmp_path):
+    """A variable beyond the JSON reader's default string limit is read whole."""
+    long = "v" * 20_001_000
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    record = {
+        "type": "iteration", "iteration": 1, "timestamp": "2024-01-01T00:00:00", "prompt": [], "response": "r",
+        "code_blocks": [{"code": "c", "result": {"stdout": long, "stderr": "", "locals": {}, "execution_time": 0.1, "rlm_calls": []}}],
+        "final_answer": None, "iteration_time": 1.0,
+    }
+    (folder / "a.jsonl").write_text(json.dumps(record))
+    (folder / "a.jsonl.bak").write_text(json.dumps(record))
+    _, iterations, bad = read_trajectories(spark, str(folder))
+    assert bad.count() == 0
+    found = iterations.select(F.length(F.col("code_blocks")[0]["result"]["stdout"]).alias("n")).collect()
+    assert [r.n for r in found] == [len(long)]

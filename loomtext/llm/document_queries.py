@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.decontamination import find_contamination
+from loomtext.llm.document_sql import DECONTAMINATION, NEAR_DEDUP
 from loomtext.llm.lattice_lm import score_texts
 from loomtext.llm.licences import scan_licences
 from loomtext.llm.line_dedup import drop_repeated_lines
@@ -33,7 +34,7 @@ def op6_merge_pieces(tables: Tables) -> DataFrame:
     return encoded.select("doc_id", n_pieces, "ids", "lossless")
 
 
-@query("op5_decontamination")
+@query("op5_decontamination", DECONTAMINATION)
 def op5_decontamination(tables: Tables) -> DataFrame:
     found = find_contamination(tables.documents, tables.benchmark, keep=["doc_id"])
     lengths = F.transform("spans", lambda s: s["end"] - s["start"])
@@ -58,7 +59,7 @@ def op2_line_dedup(tables: Tables) -> DataFrame:
     return drop_repeated_lines(tables.documents, keep=["doc_id"])
 
 
-@query("op4_near_dedup")
+@query("op4_near_dedup", NEAR_DEDUP)
 def op4_near_dedup(tables: Tables) -> DataFrame:
     return near_duplicates(tables.documents, keep=["doc_id"])
 

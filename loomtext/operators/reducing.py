@@ -6,7 +6,10 @@ not fit one prompt are reduced in budget-sized pieces, so no row grows with a co
 
 from __future__ import annotations
 
+import asyncio
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,33 +18,22 @@ from pyspark.sql import functions as F
 from loomtext.functions.messages import render_prompt
 from loomtext.functions.text import whole_division
 from loomtext.models import ClientFactory, EchoClient
-from loomtext.operators.asking import ask, errors_as_values
+from loomtext.operators.asking import NO_RESULT, ask, errors_as_values
 from loomtext.operators.chunking import chunk_by_header, section_position
 from loomtext.operators.ordering import SLICE_ROWS, join_ordered, ordered_scan, row_number
 from loomtext.scratch import materialise, scratch_path
 from loomtext.session import ship_package
 
-# Prompt wordings of the reduction strategies.
-CHUNK_PROMPT = (
-    "Try to answer the following query: {query}. Here are the documents:\n{chunk}. "
-    "Only answer if you are confident in your answer based on the evidence."
-)
-COMBINE_PROMPT = (
-    "Aggregating all the answers per chunk, answer the original query: {query}\n\nAnswers:\n{answers}"
-)
-SECTION_PROMPT = "Summarize this {header} section: {body}"
-SUMMARIES_PROMPT = (
-    "Based on these summaries, answer the original query: {query}\n\nSummaries:\n{answers}"
-)
+# Default prompts; every operator takes its own instead.
+CHUNK_PROMPT = "Question: {query}\n\nPart of the material:\n{chunk}\n\nSay what this part tells about it."
+COMBINE_PROMPT = "Question: {query}\n\nFindings, part by part:\n{answers}\n\nGive one answer."
+SECTION_PROMPT = "Section {header}:\n{body}\n\nState its main points."
+SUMMARIES_PROMPT = "Question: {query}\n\nMain points by section:\n{answers}\n\nGive one answer."
 STEP_PROMPT = (
-    "You are iteratively looking through a book, and are on section {section_no} of {n_sections}. "
-    "So far you know that: {buffer}. Gather information to help answer {query}. "
-    "Here is the section: {section}"
-)
-LAST_PROMPT = (
-    "You are on the last section of the book. So far you know that: {buffer}. "
-    "Gather from this last section to answer {query}. Here is the section: {section}"
+    "Question: {query}\nNotes so far: {buffer}\n"
+    "Section {section_no} of {n_sections}:\n{section}\n\nBring the notes up to date."
 )
+LAST_PROMPT = "Question: {query}\nNotes: {buffer}\nFinal section:\n{section}\n\nGive the answer."
 
 BUDGET = 500_000
 
@@ -61,6 +53,13 @@ def _answers(
     return materialise(asked.select(*kept, "answer"), "answers")
 
 
+def _with_keys(rows: DataFrame, chosen: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join on keys that may be NULL."""
+    other = chosen.select(*[F.col(k).alias(f"_other_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys])
+    return rows.join(other, same, how)
+
+
 def reduce_answers(
     answers: DataFrame,
     keys: Sequence[str],
@@ -86,8 +85,8 @@ def reduce_answers(
         ).withColumn("prompt", render_prompt(template, query=query, answers=F.col("text")))
         asked = _answers(pieces.select(*keys, "piece_idx", "prompt"), client, options, spread=True)
         split = asked.where(F.col("piece_idx") > 0).select(*keys).distinct()
-        count = asked.join(split, keys, "left_semi").count()
-        done = asked if count == 0 else asked.join(split, keys, "left_anti")
+        count = _with_keys(asked, split, keys, "left_semi").count()
+        done = asked if count == 0 else _with_keys(asked, split, keys, "left_anti")
         done = done.select(*keys, "answer")
         finished = done if finished is None else finished.unionByName(done)
         if count == 0:
@@ -95,7 +94,7 @@ def reduce_answers(
         if previous is not None and count >= previous:
             raise ValueError("Answers do not shrink below the budget; raise it.")
         previous = count
-        remaining = asked.join(split, keys, "left_semi").withColumnRenamed("piece_idx", "_part")
+        remaining = _with_keys(asked, split, keys, "left_semi").withColumnRenamed("piece_idx", "_part")
         order = ["_part"]
 
 
@@ -205,13 +204,13 @@ def tree_reduce(
         )
         asked = _answers(prompts, client, options, spread=True)
         open_keys = asked.where(F.col("_idx") > 0).select(*keys).distinct()
-        done = asked.join(open_keys, keys, "left_anti").select(
+        done = _with_keys(asked, open_keys, keys, "left_anti").select(
             *keys, "answer", F.lit(depth).cast("long").alias("depth")
         )
         finished = done if finished is None else finished.unionByName(done)
         if asked.where(F.col("_idx") > 0).isEmpty():
             return finished
-        level = asked.join(open_keys, keys, "left_semi")
+        level = _with_keys(asked, open_keys, keys, "left_semi")
     direct = reduce_answers(
         level, keys, ["_idx"], template, query, client, budget, slice_rows=slice_rows, **options
     ).withColumn("depth", F.lit(max_depth + 1).cast("long"))
@@ -241,7 +240,10 @@ def fold_sections(
     spark = sections.sparkSession
     ship_package(spark)
     placed = section_position(
-        sections.select(key, *order, F.col(text).alias("_section")), [key], list(order), slice_rows
+        sections.select(key, *order, F.coalesce(F.col(text), F.lit("")).alias("_section")),
+        [key],
+        list(order),
+        slice_rows,
     ).select(
         F.col(key).alias("_key"),
         "section_no",
@@ -258,6 +260,9 @@ def fold_sections(
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         service, current, buffer, done = client(), None, "", None
+        complete = getattr(service, "complete", None) or (
+            lambda prompt, model: asyncio.run(service.acomplete(prompt, model))
+        )
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False):
@@ -271,7 +276,8 @@ def fold_sections(
                     section_no=number, n_sections=total, buffer=buffer, query=query, section=section
                 )
                 try:
-                    buffer = service.complete(prompt, model).response
+                    answered = complete(prompt, model).response
+                    buffer = f"Error: {NO_RESULT}" if answered is None else answered
                 except Exception as failure:
                     buffer = f"Error: {failure}"
                 done = (current, total, bool(is_last), buffer)

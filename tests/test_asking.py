@@ -335,3 +335,23 @@ def test_reduced_prompts_are_dealt_to_many_tasks(spark):
 def test_stored_answers_are_asked_once_per_id(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id long, prompt string")
     assert ask_stored(rows, "id").count() == 2
+
+
+def test_reductions_keep_null_keys_and_texts(spark):
+    rows = [(k, i, f"text {i}" if i != 2 else None) for k in ("a", None) for i in range(4)]
+    parts = spark.createDataFrame(rows, "ctx_id string, part_idx long, text string")
+    reduced = tree_reduce(parts, 2, 3, "q").collect()
+    assert sorted((str(r["ctx_id"]), r["depth"]) for r in reduced) == [("None", 2), ("a", 2)]
+    chunks = parts.select("ctx_id", F.col("part_idx").alias("chunk_idx"), F.col("text").alias("chunk"))
+    assert map_reduce_answer(chunks, "q", budget=70).count() == 2
+    folded = fold_sections(parts.where("ctx_id = 'a'"), "q", step_template="{buffer}|{section}", last_template="{buffer}|{section}")
+    assert "None" not in folded.first()["buffer"]
+
+
+def test_fold_takes_an_async_client(spark):
+    class Later:
+        async def acomplete(self, prompt, model=None):
+            return Completion(f"<{len(prompt)}>")
+
+    parts = spark.createDataFrame([("a", 0, "x")], "ctx_id string, part_idx long, text string")
+    assert fold_sections(parts, "q", Later).first()["buffer"].startswith("<")

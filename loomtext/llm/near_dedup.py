@@ -221,8 +221,9 @@ def _across(
 ) -> DataFrame:
     """Likely pairs across components within groups that hold several, searched in blocks.
 
-    Each class gives its ``most`` likeliest partners in a block. Few are tried first, as one link joins
-    two components whole; the pairs they leave apart follow with a greater ``most``.
+    Each class gives its ``most`` likeliest partners in a block, and ``more`` says whether some class of
+    the block has further ones. Few are tried first, as one link joins two components whole; the pairs
+    they leave apart follow with a greater ``most``.
     """
     members = (
         buckets.withColumn("label", F.col("class")) if comps is None
@@ -250,7 +251,7 @@ def _across(
         left = rows if same else rows[rows["slot"] == rows["i"]]
         right = rows if same else rows[rows["slot"] == rows["j"]]
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
+            return pd.DataFrame({"a": [], "b": [], "more": []})
         x, y = np.stack(left["sketch"].to_list()), np.stack(right["sketch"].to_list())
         bits = np.zeros((len(x), len(y)), np.int64)
         for k in range(x.shape[1]):
@@ -263,11 +264,16 @@ def _across(
         likely &= one[:, None] != two[None, :]
         rank = np.argsort(np.argsort(np.where(likely, -similar, 2.0), axis=1, kind="stable"), axis=1)
         at, to = np.nonzero(likely & (rank < most))
+        more = bool((likely.sum(axis=1) > most).any())
         a, b = left["class"].to_numpy()[at], right["class"].to_numpy()[to]
         ordered = [(p, q) if p < q else (q, p) for p, q in zip(a, b, strict=True)]
-        return pd.DataFrame(sorted(set(ordered)), columns=["a", "b"])
+        out = pd.DataFrame(sorted(set(ordered)), columns=["a", "b"])
+        return out.assign(more=more)
 
-    return placed.groupBy("bucket", "i", "j").applyInPandas(block, "a binary, b binary").distinct()
+    # A stated number of tasks: the blocks are few bytes, but each takes its time.
+    tasks = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j")
+    return dealt.applyInPandas(block, "a binary, b binary, more boolean")
 
 
 def near_duplicates(
@@ -310,11 +316,14 @@ def near_duplicates(
             comps = _joined(comps, _confirmed(rest, texts))
         tested = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         for most in (4, 32, 2 * BLOCK_CLASSES):  # the last is all that a block holds
-            across = _across(buckets, classes, comps, most).join(tested, ["a", "b"], "left_anti")
-            across = materialise(across, "across")
-            if not across.isEmpty():
-                comps = _joined(comps, _confirmed(across, _texts_of(across, classes, docs, text)))
-                tested = tested.unionByName(across)
+            found = materialise(_across(buckets, classes, comps, most), "across")
+            fresh = found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+            fresh = materialise(fresh, "across-fresh")
+            if not fresh.isEmpty():
+                comps = _joined(comps, _confirmed(fresh, _texts_of(fresh, classes, docs, text)))
+                tested = tested.unionByName(fresh)
+            if found.where("more").isEmpty():  # no class had further likely partners
+                break
     least = signed.where("n > 0").groupBy("class").agg(F.min("id").alias("least"))
     if comps is not None:
         label = comps.withColumnRenamed("node", "class")

@@ -295,11 +295,13 @@ def near_duplicates(
     centres = materialise(
         classes.select(first.alias("first"), F.explode("bands").alias("bucket"))
         .groupBy("bucket").agg(F.min("first").alias("first"), F.count("*").alias("size"))
-        .where("size > 1").select("bucket", F.col("first.class").alias("a")),
+        .where("size > 1").select("bucket", "size", F.col("first.class").alias("a")),
         "band-groups",
     )
-    stars = buckets.join(centres, "bucket").where("a <> class")
-    stars = stars.select("a", F.col("class").alias("b")).distinct()
+    # Most band keys occur once; from here on only shared ones are moved.
+    shared = materialise(buckets.join(centres, "bucket"), "band-members")
+    stars = shared.where("a <> class").select("a", F.col("class").alias("b")).distinct()
+    larger = shared.where("size > 2").select("class", "bucket")
     likely = materialise(_likely(stars, classes), "likely")
     comps = None
     if not likely.isEmpty():
@@ -316,7 +318,7 @@ def near_duplicates(
             comps = _joined(comps, _confirmed(rest, texts))
         tested = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         for most in (4, 32, 2 * BLOCK_CLASSES):  # the last is all that a block holds
-            found = materialise(_across(buckets, classes, comps, most), "across")
+            found = materialise(_across(larger, classes, comps, most), "across")
             fresh = found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
             fresh = materialise(fresh, "across-fresh")
             if not fresh.isEmpty():

@@ -38,7 +38,7 @@ def _changed(rows: DataFrame, changed: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return judge_quality(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
+    return judge_quality(docs, source="source", keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

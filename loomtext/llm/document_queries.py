@@ -73,4 +73,4 @@ def op3_license_scan(tables: Tables) -> DataFrame:
 
 @query("op10_quality_rules")
 def op10_quality_rules(tables: Tables) -> DataFrame:
-    return judge_quality(tables.documents, keep=["doc_id"])
+    return judge_quality(tables.documents, source="source", keep=["doc_id"])

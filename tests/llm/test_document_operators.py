@@ -156,6 +156,24 @@ def test_quality_distances(spark):
     assert found[30].word_distance > max(found[i].word_distance for i in range(30))
 
 
+@pytest.mark.parametrize(("n_junk", "sources"), [(30, 6), (60, 6), (25, 2)])
+def test_quality_references_are_not_moved_by_a_source_of_junk(spark, n_junk, sources):
+    rng = random.Random(11)
+    letters = ["".join(rng.choice("aeinrst") for _ in range(6)) for _ in range(2000)]
+    common = ["the", "of", "and", "to", "in"]
+
+    def clean():
+        return " ".join(rng.choice(common if rng.random() < 0.3 else letters) for _ in range(200)) + "."
+
+    rows = [(i, clean(), "en", f"s{1 + i % (sources - 1)}") for i in range(60)]
+    rows += [(100 + i, " ".join(f"{w}$$#%%" for w in clean().split()), "en", "s0") for i in range(n_junk)]
+    rows += [(500, rows[-1][1], "xx", "s1"), (501, rows[0][1], "xx", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = judge_quality(df, source="source", keep=["doc_id"]).collect()
+    assert not any(r.base_failed for r in found)
+    assert {r.doc_id for r in found if r.kept} == {*range(60), 501}
+
+
 # --- line dedup ----------------------------------------------------------------------------------
 
 

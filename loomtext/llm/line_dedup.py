@@ -9,6 +9,11 @@ goes if it lies in a window that occurred earlier; windows that reach forward fr
 or any later one, or backward, cover the run entirely, so maximal repeated runs are deleted to their
 ends without ever pairing two later copies.
 
+Shorter runs count where their lines are common: a line with a word in it that ``min_documents`` or more
+different documents hold goes everywhere but at its earliest place, whatever its length. Documents are
+counted exactly per 64-bit line hash. What stays are repeats of fewer words than ``min_words`` whose lines
+fewer documents hold, and lines without words.
+
 Earlier means a smaller id (NULL last), then a smaller hash of the text, then a smaller line number.
 
 Defined cases: NULL and empty texts stay as they are. Rows with equal id and text are one document and
@@ -32,6 +37,8 @@ from loomtext.scratch import materialise
 from loomtext.session import ship_package
 
 MIN_WORDS = 40
+#: Lines of any length that so many documents hold are common.
+MIN_DOCUMENTS = 30
 MASK = (1 << 64) - 1
 
 
@@ -117,6 +124,65 @@ def _positions(lines: DataFrame, min_words: int) -> DataFrame:
     )
 
 
+def _worded(lines: DataFrame) -> DataFrame:
+    """One row per document and different line with a word: hash, first place, all places."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows, hashes, places = [], [], []
+                for k in range(part.num_rows):
+                    h = part.column(2)[k].values.to_numpy()
+                    worded = np.flatnonzero(part.column(3)[k].values.to_numpy())
+                    order = worded[np.argsort(h[worded], kind="stable")]
+                    rows.append(np.full(len(order), k))
+                    hashes.append(h[order])
+                    places.append(order)
+                rows, hashes, places = map(np.concatenate, (rows, hashes, places))
+                starts = np.flatnonzero(
+                    np.concatenate([[True], (np.diff(hashes) != 0) | (np.diff(rows) != 0)])[: len(rows)]
+                )
+                take = pa.array(rows[starts], pa.int64())
+                ends = np.concatenate([starts, [len(rows)]])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(take), part.column(1).take(take),
+                     pa.array(hashes[starts], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int64()))],
+                    names=["id", "key", "line", "places"],
+                )
+
+    kind = lines.schema["id"].dataType.simpleString()
+    return lines.select("id", "key", "hashes", "words").mapInArrow(
+        compute, f"id {kind}, key string, line bigint, places array<bigint>"
+    )
+
+
+def _common_lines(lines: DataFrame, min_documents: int) -> DataFrame:
+    """Later places of lines that many documents hold: id, key, first and last, which are the same."""
+    common = materialise(
+        _worded(lines).groupBy("line").agg(F.count("*").alias("n"))
+        .where(F.col("n") >= min_documents).select("line"),
+        "common-lines",
+    )
+    held = materialise(_worded(lines).join(common, "line", "left_semi"), "common-places")
+    place = F.struct(
+        F.col("id").isNull().alias("no_id"), "id", "key", F.get("places", F.lit(0)).alias("first")
+    )
+    firsts = materialise(held.groupBy("line").agg(F.min(place).alias("earliest")), "first-lines")
+    placed = held.join(firsts, "line").select(
+        "id", "key", "earliest", F.explode("places").alias("first")
+    )
+    later = placed.where(
+        ~(
+            F.col("id").eqNullSafe(F.col("earliest.id"))
+            & (F.col("key") == F.col("earliest.key"))
+            & (F.col("first") == F.col("earliest.first"))
+        )
+    )
+    return later.select("id", "key", "first", F.col("first").alias("last"))
+
+
 def _extended(seeded: DataFrame, min_words: int) -> DataFrame:
     """One row per window over a seed: its hashes and its lines."""
 
@@ -148,7 +214,12 @@ def _extended(seeded: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_lines(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    min_words: int = MIN_WORDS,
+    min_documents: int = MIN_DOCUMENTS,
 ) -> DataFrame:
     """One row per document with something to delete: id, key of its text, windows of lines."""
     ship_package(docs.sparkSession)
@@ -180,6 +251,7 @@ def repeated_lines(
             & (F.col("first") == F.col("earliest.first"))
         )
     )
+    later = later.select("id", "key", "first", "last").unionByName(_common_lines(lines, min_documents))
     return later.groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
@@ -190,10 +262,14 @@ def drop_repeated_lines(
     text: str = "text",
     keep: list[str],
     min_words: int = MIN_WORDS,
+    min_documents: int = MIN_DOCUMENTS,
 ) -> DataFrame:
     """The ``keep`` columns of every row with ``n_lines``, ``n_deleted`` and ``remaining``, the text."""
     keep = [c for c in keep if c not in ("n_lines", "n_deleted", "remaining")]
-    runs = materialise(repeated_lines(docs, doc_id=doc_id, text=text, min_words=min_words), "runs")
+    found = repeated_lines(
+        docs, doc_id=doc_id, text=text, min_words=min_words, min_documents=min_documents
+    )
+    runs = materialise(found, "runs")
     rows = docs.select(
         *[F.col(c).alias(f"_kept{i}") for i, c in enumerate(keep)],
         F.col(doc_id).alias("_id"),

@@ -217,6 +217,19 @@ def test_line_dedup(spark, seed):
         assert (r.remaining or "") == expected[r.doc_id, r.text or ""]
 
 
+def test_short_lines_of_many_documents_go(spark):
+    rows = [(i, f"own {i}\nshort line\n\nshort line\nrare {i // 4}") for i in range(8)] + [(None, "short line")]
+    rows.append(rows[3])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = drop_repeated_lines(df, keep=["doc_id"], min_documents=5).collect()
+    expected = {i: (f"own {i}\n\nrare {i // 4}", 2) for i in range(1, 8)}
+    expected |= {0: ("own 0\nshort line\n\nrare 0", 1), None: ("", 1)}
+    assert len(found) == len(rows)
+    assert {r.doc_id: (r.remaining, r.n_deleted) for r in found} == expected
+    whole = drop_repeated_lines(df, keep=["doc_id"], min_documents=10).collect()
+    assert all(r.n_deleted == 0 for r in whole if r.doc_id != 3)
+
+
 # --- near-dedup ----------------------------------------------------------------------------------
 
 

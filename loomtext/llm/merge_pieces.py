@@ -1,11 +1,15 @@
 """SentencePiece encoding with seeded merge dropout, and decoding.
 
 Symbols are merged by an agenda, best piece first and leftmost first among equals, as the tokenizer
-does. A keyed hash of the seed, the variant, the word and the place of the candidate decides whether a
-candidate taken from the agenda is skipped, so a segmentation is varied but the same on every run and
-every executor; a lost task repeats it exactly. Without dropout the ids are the tokenizer's own.
-Other seeds, one per epoch for instance, give other segmentations; with more than one of ``variants``
-texts are dealt to that many segmentations of each word by hash.
+does. Every candidate taken from the agenda is skipped with the probability ``dropout``. Draws come from
+a keyed hash of the seed, the text and the place of the word in it, so every occurrence of a word is
+segmented for itself, yet the same on every run and every executor; a lost task repeats it exactly.
+Without dropout the ids are the tokenizer's own. Other seeds, one per epoch for instance, give other
+segmentations. With a number of ``variants``, occurrences are dealt to that many segmentations of each
+word instead.
+
+A draw is the list of candidates to skip, by their number in the order in which they are taken, and
+segmentations are kept by word and skipped candidates, so common ones are found again.
 
 Encoding is lossless: characters that are no piece become their UTF-8 bytes, and so does a literal
 U+2581, which the tokenizer would turn into a space.
@@ -19,6 +23,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,8 +37,12 @@ from loomtext.llm.pieces import SPACE, Vocabulary, read_vocabulary
 CACHED_WORDS = 300_000
 CACHED_LENGTH = 200
 MASK = (1 << 64) - 1
-#: Odd multipliers of the keyed hash.
+#: Multipliers of the keyed hash.
 LEFT, SIZE, MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9
+MIX_AGAIN = 0x94D049BB133111EB
+#: More candidates than any word has.
+NEVER = 1 << 60
+LONGEST_GAP = 400_000
 NO_PAIR = 1 << 70
 #: Words up to this length are merged by scanning a short list, which gives the agenda's result faster.
 SCANNED_LENGTH = 64
@@ -48,7 +57,7 @@ class Segmenter:
     move up again when they are met and are forgotten otherwise.
     """
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, variants: int):
+    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, variants: int | None):
         pieces = list(zip(vocabulary.pieces, vocabulary.scores, vocabulary.ids, strict=True))
         self.id = {p: i for p, _, i in pieces}
         place = {score: k for k, score in enumerate(sorted({s for _, s, _ in pieces}, reverse=True))}
@@ -65,47 +74,84 @@ class Segmenter:
         self.scanned_length = SCANNED_LENGTH if len(set(worded)) == len(worded) else 0
         self.of_character = {" " if p == SPACE else p: i for p, i in self.id.items() if len(p) == 1}
         self.bytes = vocabulary.bytes_
-        self.skipped_below = int(dropout * (1 << 64))
+        self.dropout = dropout
+        # Of 2**53 equally likely draws, those that let so many candidates by at least; rising.
+        below, self.below = 1 << 53, []
+        while 0 < dropout and (below := int(below * (1 - dropout))) and len(self.below) < LONGEST_GAP:
+            self.below.append(below)
+        self.below.reverse()
+        self.below_array = np.array(self.below, np.uint64)
         self.seed = seed
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.variants = variants
+        # By word, or word and skipped candidates: the number of candidates taken, and the ids.
+        self.known: dict[str | tuple, tuple[int, bytes]] = {}
+        self.older: dict[str | tuple, tuple[int, bytes]] = {}
         # No piece holds a space after another character, so words are segmented alone.
         self.unit = re.compile(" *[^ \n]+|\n+| +" if vocabulary.cuts_at_newline else " *[^ ]+| +")
 
-    def key(self, unit: str, variant: int) -> int:
-        return xxhash.xxh3_64_intdigest(unit.encode(), (self.seed * 1_000_003 + variant) & MASK)
+    def firsts(self, states: np.ndarray) -> list[int]:
+        """The first of ``skips`` of every state."""
+        if self.dropout <= 0:
+            return [NEVER] * len(states)
+        x = (states ^ (states >> np.uint64(30))) * np.uint64(MIX)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_AGAIN)
+        x = (x ^ (x >> np.uint64(31))) >> np.uint64(11)
+        return (len(self.below) - np.searchsorted(self.below_array, x, side="right")).tolist()
+
+    def skips(self, state: int) -> Iterator[int]:
+        """The numbers of the candidates to skip, rising."""
+        at, below = -1, self.below
+        if self.dropout <= 0:
+            yield NEVER
+        while True:
+            x = (state ^ (state >> 30)) * MIX & MASK
+            x = (x ^ (x >> 27)) * MIX_AGAIN & MASK
+            at += len(below) - bisect_right(below, (x ^ (x >> 31)) >> 11) + 1
+            yield at
+            state = (state * LEFT + SIZE) & MASK
 
-    def ids(self, unit: str, variant: int) -> list[int]:
+    def ids(self, unit: str, state: int) -> list[int]:
         """Ids of one word with its spaces."""
+        return self.segmented(unit, self.skips(state))[2]
+
+    def ids_by_heap(self, unit: str, state: int) -> list[int]:
+        return self.segmented_by_heap(unit, self.skips(state))[2]
+
+    def segmented(self, unit: str, skips: Iterator[int]) -> tuple[int, tuple[int, ...], list[int]]:
+        """How many candidates were taken, which were skipped, and the ids."""
         symbols = list(map(self.of_character.get, unit))
         if None in symbols or "  " in unit or len(unit) > self.scanned_length:
-            return self.ids_by_heap(unit, variant)
-        merged, key, skipped_below = self.merged, self.key(unit, variant), self.skipped_below
-        starts = list(range(len(symbols) + 1))
+            return self.segmented_by_heap(unit, skips)
+        merged, taken, skipped, skip = self.merged, -1, [], next(skips)
         pairs = [merged.get(p, NO_PAIR) for p in zip(symbols, symbols[1:], strict=False)]
         while pairs:
             best = min(pairs)
             if best == NO_PAIR:
                 break
             at = pairs.index(best)
-            size = starts[at + 2] - starts[at]
-            if ((key ^ (starts[at] * LEFT + size * SIZE)) * MIX & MASK) < skipped_below:
+            taken += 1
+            if taken == skip:
+                skipped.append(skip)
+                skip = next(skips)
                 pairs[at] = NO_PAIR
                 continue
             symbols[at] = piece = best & 0xFFFFFFFF
-            del symbols[at + 1], starts[at + 1], pairs[at]
+            del symbols[at + 1], pairs[at]
             if at < len(pairs):
                 pairs[at] = merged.get((piece, symbols[at + 1]), NO_PAIR)
             if at:
                 pairs[at - 1] = merged.get((symbols[at - 1], piece), NO_PAIR)
-        return symbols
+        return taken + 1, tuple(skipped), symbols
 
-    def ids_by_heap(self, unit: str, variant: int) -> list[int]:
+    def segmented_by_heap(
+        self, unit: str, skips: Iterator[int]
+    ) -> tuple[int, tuple[int, ...], list[int]]:
         """The same for words of any length and with characters that are no piece."""
         symbols = [SPACE if c == " " else LITERAL if c == SPACE else c for c in unit]
         n = len(symbols)
         before, after, sizes = list(range(-1, n - 1)), [*range(1, n), -1], [1] * n
-        rank, agenda, key = self.rank, [], self.key(unit, variant)
+        rank, agenda = self.rank, []
+        taken, skipped, skip = -1, [], next(skips)
 
         def offer(left: int, right: int) -> None:
             pair = symbols[left] + symbols[right]
@@ -119,7 +165,10 @@ class Segmenter:
             _, left, right, size = heapq.heappop(agenda)
             if not sizes[left] or not sizes[right] or sizes[left] + sizes[right] != size:
                 continue
-            if ((key ^ (left * LEFT + size * SIZE)) * MIX & MASK) < self.skipped_below:
+            taken += 1
+            if taken == skip:
+                skipped.append(skip)
+                skip = next(skips)
                 continue
             symbols[left] += symbols[right]
             sizes[left], sizes[right], symbols[right] = size, 0, ""
@@ -136,23 +185,54 @@ class Segmenter:
             else:
                 spelled = SPACE if symbol == LITERAL else symbol
                 out.extend(self.bytes[b] for b in spelled.encode())
-        return out
+        return taken + 1, tuple(skipped), out
+
+    def states(self, text: str, units: list[str]) -> np.ndarray:
+        """One per occurrence of a word, or one per word and variant."""
+        base = xxhash.xxh3_64_intdigest(text.encode(), self.seed & MASK)
+        states = np.uint64(base) + np.arange(len(units), dtype=np.uint64) * np.uint64(LEFT)
+        if self.variants is None:
+            return states
+        dealt = (((states ^ (states >> np.uint64(29))) * np.uint64(MIX)) >> np.uint64(33)) % np.uint64(self.variants)
+        keys = [
+            xxhash.xxh3_64_intdigest(unit.encode(), (self.seed * 1_000_003 + variant) & MASK)
+            for unit, variant in zip(units, dealt.tolist(), strict=True)
+        ]
+        return np.array(keys, np.uint64)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers."""
         if not text:
             return b""
-        variant = xxhash.xxh3_64_intdigest(text.encode()) % len(self.known)
-        known, older, found = self.known[variant], self.older[variant], []
-        for unit in self.unit.findall(" " + text):
-            ids = known.get(unit)
-            if ids is None:
-                ids = older.get(unit) or array("i", self.ids(unit, variant)).tobytes()
-                if len(unit) <= CACHED_LENGTH:
-                    known[unit] = ids
-            found.append(ids)
-        if len(known) * len(self.known) >= CACHED_WORDS // 2:
-            self.known[variant], self.older[variant] = {}, known
+        known, older, found = self.known, self.older, []
+        units = self.unit.findall(" " + text)
+        states = self.states(text, units)
+        firsts = self.firsts(states)
+        for k, (unit, skip) in enumerate(zip(units, firsts, strict=True)):
+            key, gaps = unit, None
+            while True:
+                entry = known.get(key)
+                if entry is None:
+                    entry = older.get(key)
+                    if entry is None:
+                        drawn = self.skips(int(states[k]))
+                        taken, skipped, ids = self.segmented(unit, drawn)
+                        entry = taken, array("i", ids).tobytes()
+                        key, skip = (unit, *skipped) if skipped else unit, taken
+                    if len(unit) <= CACHED_LENGTH:
+                        known[key] = entry
+                if skip >= entry[0]:
+                    break
+                if gaps is None:
+                    gaps = self.skips(int(states[k]))
+                    next(gaps)
+                    key = (unit, skip)
+                else:
+                    key = (*key, skip)
+                skip = next(gaps)
+            found.append(entry[1])
+        if len(known) >= CACHED_WORDS // 2:
+            self.known, self.older = {}, known
         return b"".join(found)
 
 
@@ -180,7 +260,7 @@ def encode_pieces(
     keep: list[str],
     dropout: float = 0.1,
     seed: int = 0,
-    variants: int = 1,
+    variants: int | None = None,
 ) -> DataFrame:
     """The ``keep`` columns of every row with ``ids``, and with ``lossless``: whether decoding them
     gave the text back (NULL as empty). ``vocabulary``: path of the model file."""

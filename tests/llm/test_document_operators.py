@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,24 @@ def test_scanned_words_equal_the_agenda(vocabulary):
         assert segmenter.ids(unit, 0) == segmenter.ids_by_heap(unit, 0)
 
 
+def test_occurrences_of_a_word_are_segmented_for_themselves(spark, vocabulary):
+    texts = ["nationality " * 400, "nationality " * 300]
+    found = encode_pieces(table(spark, texts), PIECES, keep=["doc_id"], dropout=0.1, seed=1).collect()
+    assert all(r.lossless for r in found)
+    segmenter = Segmenter(vocabulary, 0.1, 1, None)
+    encoded = [segmenter.encode(t) for t in texts]
+    assert {r.doc_id: r.ids for r in found} == {i: memoryview(e).cast("i").tolist() for i, e in enumerate(encoded)}
+    taken, _, _ = segmenter.segmented(" nationality", iter([1 << 60]))
+    states = segmenter.states(texts[0], [" nationality"] * 400).tolist()
+    ways = [tuple(segmenter.ids(" nationality", s)) for s in states]
+    assert len(set(ways)) > 5
+    unskipped = [s for s in states if not segmenter.segmented(" nationality", segmenter.skips(s))[1]]
+    assert abs(len(unskipped) / 400 - 0.9**taken) < 0.1
+    assert segmenter.firsts(np.array(states, np.uint64)) == [next(segmenter.skips(s)) for s in states]
+    ids = memoryview(encoded[0]).cast("i").tolist()
+    assert ids[: len(ids) - 1] == [i for w in ways for i in w][: len(ids) - 1]
+
+
 # --- quality rules -------------------------------------------------------------------------------
 
 

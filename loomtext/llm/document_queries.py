@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.byte_bpe import decode_byte_bpe, encode_byte_bpe
 from loomtext.llm.decontamination import find_contamination
-from loomtext.llm.document_sql import DECONTAMINATION, NEAR_DEDUP
+from loomtext.llm.document_sql import BYTE_BPE, DECONTAMINATION, NEAR_DEDUP
 from loomtext.llm.lattice_lm import score_texts
 from loomtext.llm.licences import scan_licences
 from loomtext.llm.line_dedup import drop_repeated_lines
@@ -20,6 +21,8 @@ from loomtext.suite import Tables
 #: Folder of public tokenizer files.
 TOKENIZERS = "/opt/tokenizers"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: File of byte tokens and their ranks.
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 @query("op1_token_counts")
@@ -74,3 +77,21 @@ def op3_license_scan(tables: Tables) -> DataFrame:
 @query("op10_quality_rules")
 def op10_quality_rules(tables: Tables) -> DataFrame:
     return judge_quality(tables.documents, source="source", keep=["doc_id"])
+
+
+@query("op11_byte_bpe", BYTE_BPE)
+def op11_byte_bpe(tables: Tables) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path(BYTE_RANKS)
+    encoded = encode_byte_bpe(
+        tables.documents, ranks, public_tokenizers.PATTERN, keep=["doc_id"]
+    )
+    decoded = decode_byte_bpe(encoded, ranks, keep=["doc_id", "ids"])
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -49,3 +49,59 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+#: White space of the tokenizer's pattern, as RE2 spells it.
+_BLANK = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+"
+_WORD = _WORD.replace("'", "''")
+#: RE2 looks at nothing ahead: a mark is put before the last blank of every run that text follows.
+_MARK = "chr(1114109)"
+BYTE_BPE = f"""
+WITH RECURSIVE tokens AS MATERIALIZED (
+  SELECT from_base64(split_part(line, ' ', 1)) AS spelled, split_part(line, ' ', 2)::INTEGER AS id
+  FROM read_csv('/opt/tokenizers/byte_bpe_multi_50k.tiktoken', header = false, delim = chr(9),
+                quote = '', escape = '', columns = {{'line': 'VARCHAR'}})),
+hexed AS MATERIALIZED (SELECT hex(spelled) AS h, id FROM tokens),
+merges AS MATERIALIZED (
+  SELECT a.id AS first, b.id AS second, t.id AS merged
+  FROM (SELECT h, id, unnest(range(1, length(h) // 2)) AS cut FROM hexed) t
+  JOIN hexed a ON a.h = substr(t.h, 1, 2 * cut) JOIN hexed b ON b.h = substr(t.h, 2 * cut + 1)),
+parts AS (
+  SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''),
+    '([{_BLANK}])([^{_BLANK}])', {_MARK} || '\\1\\2', 'g'), {_MARK})) AS part,
+    generate_subscripts(string_split(regexp_replace(coalesce(text, ''),
+    '([{_BLANK}])([^{_BLANK}])', {_MARK} || '\\1\\2', 'g'), {_MARK}), 1) AS part_no
+  FROM documents),
+words AS MATERIALIZED (
+  SELECT doc_id, part_no, unnest(regexp_extract_all(part, '{_WORD}')) AS word,
+         generate_subscripts(regexp_extract_all(part, '{_WORD}'), 1) AS word_no
+  FROM parts),
+different AS MATERIALIZED (
+  SELECT word, row_number() OVER () AS w, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words)),
+steps(w, pos, token, step) AS (
+  SELECT w, pos, id, 0 FROM (
+    SELECT w, h, unnest(range(0, length(h) // 2)) AS pos FROM different
+    WHERE h NOT IN (SELECT h FROM hexed)) s
+  JOIN hexed ON hexed.h = substr(s.h, 2 * pos + 1, 2)
+  UNION ALL (
+    WITH pairs AS (
+      SELECT *, lead(token) OVER p AS following, lead(pos) OVER p AS next_pos
+      FROM steps WINDOW p AS (PARTITION BY w ORDER BY pos)),
+    best AS (
+      SELECT w, min_by(struct_pack(merged := merged, pos := pos, next_pos := next_pos),
+                       merged::BIGINT * 4294967296 + pos) AS pick
+      FROM pairs JOIN merges ON first = token AND second = following GROUP BY w)
+    SELECT p.w, p.pos, CASE WHEN p.pos = pick.pos THEN pick.merged ELSE token END, step + 1
+    FROM pairs p JOIN best USING (w) WHERE p.pos <> pick.next_pos)),
+pieces AS (
+  SELECT w, list(token ORDER BY pos) AS ids
+  FROM steps JOIN (SELECT w, max(step) AS step FROM steps GROUP BY w) USING (w, step) GROUP BY w
+  UNION ALL SELECT w, [id] FROM different JOIN hexed USING (h)),
+texts AS (
+  SELECT doc_id, flatten(list(ids ORDER BY part_no, word_no)) AS ids
+  FROM words JOIN different USING (word) JOIN pieces USING (w) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(ids), 0) AS n_tokens,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS ids_sha256,
+       sha256(coalesce(d.text, '')) AS decoded_sha256
+FROM documents d LEFT JOIN texts USING (doc_id)
+"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from loomtext.llm.centroids import cluster_vectors
 from loomtext.llm.registry import query
+from loomtext.llm.whitening import whiten
 from loomtext.suite import Tables
 
 _ROUNDS = 5
@@ -52,3 +53,8 @@ CENTROIDS = f"""
 @query("op12_centroid_clustering", CENTROIDS)
 def op12_centroid_clustering(tables: Tables) -> DataFrame:
     return cluster_vectors(tables.embeddings)
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(tables: Tables) -> DataFrame:
+    return whiten(tables.embeddings)

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from loomtext.functions.messages import MESSAGES, user_prompt
+from loomtext.session import ship_package
+from loomtext.sources.json_items import NotJson, as_text, field, items, opens_json
+
+#: Parts that leave a task at a time.
+BATCH_CHARS = 4_000_000
+BATCH_ROWS = 10_000
 
 PART_COLUMNS = ["ctx_id", "part_idx", "part_key", "role", "text"]
 
@@ -29,95 +40,100 @@ def read_context_json(
     """List and dict contexts with their parts numbered in file order.
 
     One JSON document per file, or with ``lines`` one per line, which splits large files. ``ctx_id``
-    then names a top-level string field that identifies the context and is not one of its parts.
+    then names a top-level field that identifies the context and is not one of its parts. A list or a dict
+    that is no JSON gives one row of kind ``error`` with ``error``, and none of its parts; so does a
+    line without the ``ctx_id`` field, or one that is neither a list nor a dict.
     """
     if lines and ctx_id is None:
         raise ValueError("One context per line needs ctx_id, the field that identifies it.")
     raw = spark.read.options(**options).text(path, wholetext=not lines)
-    if lines:
-        raw = raw.select(
-            F.get_json_object("value", f"$.{ctx_id}").alias("ctx_id"), F.col("value").alias("raw")
-        )
-        return context_parts(raw, "ctx_id", "raw").where(
-            F.col("part_key").isNull() | (F.col("part_key") != ctx_id)
-        )
-    raw = raw.select(F.col("_metadata.file_path").alias("ctx_id"), F.col("value").alias("raw"))
-    return context_parts(raw, "ctx_id", "raw")
+    found = F.lit(None).cast("string") if lines else F.col("_metadata.file_path")
+    return _split(raw.select(found.alias("ctx_id"), F.col("value").alias("raw")), True, ctx_id)
 
 
 def context_parts(df: DataFrame, ctx_id: str, raw: str) -> DataFrame:
     """Parts of raw contexts: plain text, or JSON text of a list, a message list or a dict.
 
     A message list (first item has ``content``) gives its contents, an empty text where one is
-    missing. Other items are kept as they are, in JSON form when they are not text. A MAP is used for
-    dicts because it keeps key order.
+    missing. Other items are kept as they are, in JSON form when they are not text. Dicts keep the
+    order of their keys. A text that starts like JSON but is none is plain text, whatever its size.
     """
-    trimmed = F.ltrim(F.col(raw))
-    looks_json = F.when(F.substring(trimmed, 1, 1).isin("[", "{"), trimmed)
-    value = F.try_parse_json(looks_json)
-    kind = (
-        F.when(F.schema_of_variant(value).startswith("ARRAY"), "list")
-        .when(F.schema_of_variant(value).startswith("OBJECT"), "dict")
-        .otherwise("str")
-    )
-    entry = "struct<key:string,role:string,text:string>"
-    items = F.try_variant_get(value, "$", "array<variant>")
-    is_messages = F.try_variant_get(value, "$[0].content", "variant").isNotNull()
-
-    def as_text(item: Column) -> Column:
-        return F.coalesce(F.try_variant_get(item, "$", "string"), F.lit(""))
-
-    def message_part(item: Column) -> Column:
-        return F.struct(
-            F.lit(None).cast("string").alias("key"),
-            F.try_variant_get(item, "$.role", "string").alias("role"),
-            F.coalesce(F.try_variant_get(item, "$.content", "string"), F.lit("")).alias("text"),
-        )
-
-    def list_part(item: Column) -> Column:
-        return F.struct(
-            F.lit(None).cast("string").alias("key"),
-            F.lit(None).cast("string").alias("role"),
-            as_text(item).alias("text"),
-        )
-
-    def dict_part(pair: Column) -> Column:
-        return F.struct(
-            pair["key"].alias("key"),
-            F.lit(None).cast("string").alias("role"),
-            as_text(pair["value"]).alias("text"),
-        )
-
-    whole = F.array(
-        F.struct(
-            F.lit(None).cast("string").alias("key"),
-            F.lit(None).cast("string").alias("role"),
-            F.col(raw).alias("text"),
-        )
-    ).cast(f"array<{entry}>")
-    pairs = F.map_entries(F.from_json(looks_json, "map<string,variant>"))
-    parts = (
-        F.when(
-            F.col("kind") == "list",
-            F.when(is_messages, F.transform(items, message_part)).otherwise(
-                F.transform(items, list_part)
-            ),
-        )
-        .when(F.col("kind") == "dict", F.transform(pairs, dict_part))
-        .otherwise(whole)
-    )
-    return (
-        df.select(F.col(ctx_id).alias("ctx_id"), F.col(raw), kind.alias("kind"))
-        .select("ctx_id", "kind", F.posexplode(parts).alias("part_idx", "part"))
-        .select(
-            "ctx_id",
-            F.col("part_idx").cast("long").alias("part_idx"),
-            F.col("part.key").alias("part_key"),
-            F.col("part.role").alias("role"),
-            F.col("part.text").alias("text"),
-            "kind",
-        )
+    rows = df.select(F.col(ctx_id).alias("ctx_id"), F.col(raw).alias("raw"))
+    return _split(rows, False, None).drop("error")
+
+
+def _split(rows: DataFrame, strict: bool, id_field: str | None) -> DataFrame:
+    """Parts of (ctx_id, raw) rows. Texts are taken item by item, so none is too long; they are gone
+    through once to see whether they are JSON, and once more for the parts."""
+    ship_package(rows.sparkSession)
+    schema = StructType(
+        [
+            rows.schema["ctx_id"],
+            *StructType.fromDDL(
+                "part_idx long, part_key string, role string, text string, kind string, error string"
+            ).fields,
+        ]
     )
+    names = schema.names
+
+    def parts(ctx_id, raw: str | None) -> Iterator[tuple]:
+        whole = raw or ""
+        opened = opens_json(whole)
+        problem = "neither a list nor a dict" if strict and id_field else None
+        if opened:
+            first, problem = None, None
+            try:
+                for number, (key, value, source) in enumerate(items(whole)):
+                    if number == 0:
+                        first = value
+                    if id_field is not None and key == id_field:
+                        ctx_id = as_text(value, source)
+                if id_field is not None and ctx_id is None:
+                    problem = f"no field {id_field}"
+            except NotJson as error:
+                opened, problem = "", str(error) if strict else None
+        if problem is not None:
+            yield ctx_id, 0, None, None, None, "error", problem
+            return
+        if not opened:
+            yield ctx_id, 0, None, None, raw, "str", None
+            return
+        kind = "list" if opened == "[" else "dict"
+        messages = kind == "list" and isinstance(first, dict) and "content" in first
+        for number, (key, value, source) in enumerate(items(whole)):
+            if id_field is not None and key == id_field:
+                continue
+            role, text = None, None
+            if not messages:
+                text = as_text(value, source)
+            elif isinstance(value, dict):
+                role = field(source, "role") if value.get("role") is not None else None
+                text = field(source, "content")
+            yield ctx_id, number, key, role, text or "", kind, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(schema)
+        held: list[tuple] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            columns = zip(*held, strict=True)
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, types, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        for rows_ in batches:
+            for at in range(rows_.num_rows):
+                ctx_id, raw = (c[at].as_py() for c in rows_.columns)
+                for part in parts(ctx_id, raw):
+                    held.append(part)
+                    size += len(part[4] or "")
+                    if size >= BATCH_CHARS or len(held) >= BATCH_ROWS:
+                        yield batch()
+                        held, size = [], 0
+        if held:
+            yield batch()
+
+    return rows.mapInArrow(run, schema)
 
 
 def context_from_table(

@@ -79,6 +79,49 @@ def src2(t):
     )
 
 
+#: Documents that share one list.
+LIST_ITEMS = 2_000
+
+
+@query(
+    "src2_large_list",
+    f"""
+    SELECT concat(source, '-', doc_id // {LIST_ITEMS}) AS ctx_id,
+           row_number() OVER (PARTITION BY source, doc_id // {LIST_ITEMS} ORDER BY doc_id) - 1 AS part_idx,
+           length(text) AS n_chars, md5(text) AS digest, 'list' AS kind, CAST(NULL AS VARCHAR) AS error
+    FROM documents
+    """,
+)
+def src2_large(t):
+    """Every list is a file of its own, pretty-printed or not makes no difference to the reader."""
+    path = scratch_path(t.spark, "lists")
+    name = F.concat_ws("-", "source", F.expr(f"doc_id div {LIST_ITEMS}"))
+    item = F.regexp_extract(F.to_json(F.array("text")), r"(?s)^\[(.*)\]$", 1)
+    rows = t.documents.select(name.alias("list"), "doc_id", item.alias("value"))
+    # An item is followed by a comma unless it is the last of its list, which the bounds of a list tell.
+    bounds = rows.groupBy("list").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
+    marked = rows.join(bounds, "list").select(
+        "list",
+        "doc_id",
+        F.concat(
+            F.when(F.col("doc_id") == F.col("_first"), "[").otherwise(""),
+            "value",
+            F.when(F.col("doc_id") == F.col("_last"), "]").otherwise(","),
+        ).alias("value"),
+    )
+    whole = marked.repartition("list").sortWithinPartitions("list", "doc_id")
+    whole.select("list", "value").write.partitionBy("list").text(path)
+    parts = read_context_json(t.spark, path)
+    return parts.select(
+        F.regexp_extract("ctx_id", "list=([^/]+)/", 1).alias("ctx_id"),
+        "part_idx",
+        F.length("text").cast("long").alias("n_chars"),
+        F.md5("text").alias("digest"),
+        "kind",
+        "error",
+    )
+
+
 @query(
     "src3_context_from_table",
     """

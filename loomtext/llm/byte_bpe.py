@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ LONG_WORD = 64
 #: Rows that a query starts with, unless one word or text alone has more.
 QUERY_ROWS = 400_000
 #: Words kept with their ids, and the length up to which they are.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 CACHED_LENGTH = 100
 #: Characters up to which a text is cut into words at once, and words taken from longer ones at a time.
 CUT_AT_ONCE = 1_000_000
@@ -44,21 +44,19 @@ MEMORY = "250MB"
 
 #: A key is rank and position in one number, so its minimum is the leftmost pair of least rank.
 LEFTMOST = """
-WITH RECURSIVE steps(word, pos, token) USING KEY (word, pos) AS (
-  SELECT word, pos, token FROM start
+WITH RECURSIVE steps(word, ids) USING KEY (word) AS (
+  SELECT word, list(token ORDER BY pos) FROM start GROUP BY word
   UNION ALL (
-    WITH pairs AS MATERIALIZED (
-      SELECT word, pos, token, lead(token) OVER w AS following, lead(pos) OVER w AS next_pos
-      FROM steps WHERE token IS NOT NULL WINDOW w AS (PARTITION BY word ORDER BY pos)),
+    WITH pairs AS (
+      SELECT word, generate_subscripts(ids, 1) AS pos, unnest(ids) AS token,
+             unnest(ids[2:] || [NULL]) AS following
+      FROM steps),
     best AS (
-      SELECT word, min((merged::BIGINT << 32) | pos) AS key,
-             arg_min(next_pos, (merged::BIGINT << 32) | pos) AS next_pos
+      SELECT word, min((merged::BIGINT << 32) | pos) AS key
       FROM pairs JOIN merges ON first = token AND second = following GROUP BY word)
-    SELECT p.word, p.pos, CASE WHEN p.pos = (key & 4294967295) THEN (key >> 32)::INTEGER
-                               WHEN p.pos = b.next_pos THEN NULL ELSE token END
-    FROM pairs p JOIN best b USING (word)))
-SELECT word, list(token ORDER BY pos) AS ids, false AS again
-FROM steps WHERE token IS NOT NULL GROUP BY word
+    SELECT word, ids[: (key & 4294967295) - 1] || [(key >> 32)::INTEGER] || ids[(key & 4294967295) + 2 :]
+    FROM best JOIN steps USING (word)))
+SELECT word, ids, false AS again FROM steps
 """
 #: All occurrences of the least pair; of overlapping ones every other, from the left.
 EVERY = """
@@ -219,7 +217,7 @@ class Encoder:
             if ids is not None:
                 found[word] = ids
         found |= self.learn(met - found.keys())
-        out = [b"".join(found[w] for block in blocks for w in block) for blocks in cut]
+        out = [b"".join(map(found.__getitem__, chain.from_iterable(blocks))) for blocks in cut]
         if len(self.known) >= CACHED_WORDS // 2:
             self.known, self.older = {}, self.known
         return out

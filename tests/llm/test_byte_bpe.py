@@ -33,7 +33,7 @@ def ids(found):
 
 def test_texts_equal_the_tokenizer(encoder, monkeypatch):
     rng = random.Random(2)
-    texts = HARD + ["".join(rng.choice("abé ☃\n'1.") for _ in range(rng.randrange(300))) for _ in range(200)]
+    texts = HARD + ["".join(rng.choice("abé ☃\n'1.") for _ in range(rng.randrange(300))) for _ in range(60)]
     expected = [TOKENIZER.encode_ordinary(t) for t in texts]
     assert [ids(e) for e in encoder.encode(texts)] == expected
     # The same when every limit is met: cuts of long texts, rows of a query, kept words.
@@ -44,7 +44,7 @@ def test_texts_equal_the_tokenizer(encoder, monkeypatch):
 
 
 def test_characters_of_all_kinds_are_cut_alike(encoder):
-    points = [c for c in range(1, 0x30000, 7) if not 0xD800 <= c < 0xE000]
+    points = [c for c in range(1, 0x30000, 23) if not 0xD800 <= c < 0xE000]
     points += [*range(0x2000, 0x2070), *range(0x80, 0x100), 0x85, 0x1680, 0x180E, 0x3000, 0xFEFF]
     texts = [f"x{chr(c)}y 1{chr(c)}2 {chr(c)}{chr(c)}\n{chr(c)} " for c in points]
     assert [ids(e) for e in encoder.encode(texts)] == [TOKENIZER.encode_ordinary(t) for t in texts]

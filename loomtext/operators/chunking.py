@@ -12,6 +12,7 @@ from loomtext.operators.ordering import (
     SLICE_ROWS,
     group_size,
     join_ordered,
+    joined_back,
     ordered_scan,
     row_number,
     running_sum,
@@ -19,9 +20,8 @@ from loomtext.operators.ordering import (
 from loomtext.scratch import materialise
 from loomtext.session import ship_package
 
-# Above this many chunks per text, one regex pass beats a substring per chunk, whose cost grows with
-# the distance from the start of the text.
-SUBSTRING_CHUNKS = 32
+#: Parts of a context that one task packs at a time.
+PACK_ROWS = 200_000
 
 # Fixed value: a section header line.
 HEADER = "### (.+)"
@@ -32,18 +32,18 @@ def chunk_fixed(df: DataFrame, n_chars: int, text: str = "text") -> DataFrame:
 
     Replaces ``text`` by (chunk_idx, chunk), chunk_idx from 0.
     """
-    short = F.length(text) <= n_chars * SUBSTRING_CHUNKS
-    starts = F.sequence(F.lit(0), whole_division(F.length(text) - 1, n_chars).cast("int"))
-    pieces = (
-        F.when(F.length(text) == 0, F.array().cast("array<string>"))
-        .when(
-            short,
-            F.transform(starts, lambda i: F.substring(F.col(text), i * n_chars + 1, F.lit(n_chars))),
-        )
-        .otherwise(
-            F.regexp_extract_all(F.col(text), F.lit(rf"(?s).{{1,{n_chars}}}"), F.lit(0))
-        )
-    )
+    # The cost of a substring grows with its distance from the start, so a text is cut into about as many
+    # blocks as a block is into chunks. Bytes that are no characters stay as they are.
+    n_chunks = F.ceil(F.length(text) / F.lit(n_chars))
+    block = F.ceil(F.sqrt(n_chunks)).cast("int") * n_chars
+    starts = F.sequence(F.lit(0), F.ceil(F.length(text) / block).cast("int") - 1)
+    blocks = F.transform(starts, lambda b: F.substring(F.col(text), b * block + 1, block))
+
+    def cut(piece):
+        within = F.sequence(F.lit(0), whole_division(F.length(piece) - 1, n_chars).cast("int"))
+        return F.transform(within, lambda i: F.substring(piece, i * n_chars + 1, F.lit(n_chars)))
+
+    pieces = F.when(F.length(text) > 0, F.flatten(F.transform(blocks, cut)))
     others = [c for c in df.columns if c != text]
     return df.select(*others, F.posexplode(pieces).alias("chunk_idx", "chunk")).withColumn(
         "chunk_idx", F.col("chunk_idx").cast("long")
@@ -51,7 +51,7 @@ def chunk_fixed(df: DataFrame, n_chars: int, text: str = "text") -> DataFrame:
 
 
 def assign_equal(
-    parts: DataFrame, groups: int, slice_rows: int = SLICE_ROWS
+    parts: DataFrame, groups: int, slice_rows: int | None = SLICE_ROWS
 ) -> DataFrame:
     """Add ``chunk_idx``: ``groups`` runs of n div groups parts, the last taking the remainder.
 
@@ -73,7 +73,7 @@ def chunk_equal(
     groups: int,
     separator: str = "\n",
     piece_chars: int = 500_000,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = SLICE_ROWS,
 ) -> DataFrame:
     """Texts of the equal groups as (ctx_id, chunk_idx, piece_idx, n_items, text)."""
     assigned = assign_equal(parts, groups, slice_rows)
@@ -111,7 +111,7 @@ def section_position(
     sections: DataFrame,
     keys: list[str],
     order: list[str],
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = SLICE_ROWS,
 ) -> DataFrame:
     """Add section number (from 0), number of sections, and whether it is the last."""
     scanned = ordered_scan(
@@ -125,7 +125,7 @@ def section_position(
 
 
 def pack_docs(
-    parts: DataFrame, per_call: int = 10, separator: str = "\n", slice_rows: int = SLICE_ROWS
+    parts: DataFrame, per_call: int = 10, separator: str = "\n", slice_rows: int | None = SLICE_ROWS
 ) -> DataFrame:
     """``per_call`` parts per sub-call, in order: (ctx_id, call_idx, n_items, text)."""
     scanned = ordered_scan(parts, ["ctx_id"], ["part_idx"], {"_rn": row_number()}, slice_rows)
@@ -144,15 +144,20 @@ def pack_docs(
     )
 
 
+def _length():
+    """Characters of a part; a NULL text has none."""
+    return F.coalesce(F.length("text"), F.lit(0)).cast("long")
+
+
 def pack_spans(
-    parts: DataFrame, budget: int = 500_000, slice_rows: int = SLICE_ROWS
+    parts: DataFrame, budget: int = 500_000, slice_rows: int | None = SLICE_ROWS
 ) -> DataFrame:
     """Add ``call_idx`` by prefix sums: a part joins the call in whose span of ``budget`` it starts.
 
     Needs no sequential pass. A call may pass the budget by part of its last item; ``pack_chars`` does
     not.
     """
-    sized = parts.withColumn("_length", F.length("text").cast("long"))
+    sized = parts.withColumn("_length", _length())
     scanned = ordered_scan(
         sized, ["ctx_id"], ["part_idx"], {"_upto": running_sum("_length")}, slice_rows
     )
@@ -171,11 +176,12 @@ def _bin_starts(before: np.ndarray, upto: np.ndarray, budget: int, limit: int) -
 
 
 def pack_chars(
-    parts: DataFrame, budget: int = 500_000, slice_rows: int = SLICE_ROWS
+    parts: DataFrame, budget: int = 500_000, slice_rows: int = PACK_ROWS
 ) -> DataFrame:
     """Add ``call_idx``: fill each call up to ``budget`` characters, parts whole and in order.
 
-    A part longer than the budget gets a call of its own. A call's extent depends on where the one
+    A part longer than the budget gets a call of its own. NULL contexts are a context, NULL texts have no
+    characters, and parts of one number follow each other by length. A call's extent depends on where the one
     before it ended, so a context's parts form a chain. Only three numbers per part travel to Python;
     a chain longer than ``slice_rows`` parts is cut into slices. Each slice is first walked from every
     start it could be entered at (the parts within one budget of its beginning) and hands on the
@@ -183,34 +189,36 @@ def pack_chars(
     from its true entry.
     """
     ship_package(parts.sparkSession)
-    sized = parts.select("ctx_id", "part_idx", F.length("text").cast("long").alias("_length"))
-    sizes = parts.groupBy("ctx_id").count().agg(F.max("count")).first()[0] or 0
+    sized = parts.select("ctx_id", "part_idx", _length().alias("_length"))
     scanned = ordered_scan(
         sized,
         ["ctx_id"],
         ["part_idx"],
         {"_upto": running_sum("_length"), "_rn": row_number()},
-        slice_rows,
-        largest_key=sizes,
+        max(slice_rows, 1),
     )
     spans = scanned.select(
         "ctx_id",
         "part_idx",
         (F.col("_upto") - F.col("_length")).alias("before"),
         F.col("_upto").alias("upto"),
+        F.col("_rn").alias("place"),
         whole_division(F.col("_rn") - 1, slice_rows).alias("slice"),
     )
+    spans = materialise(spans, "spans")
     id_type = sized.schema["ctx_id"].dataType.simpleString()
+    part_type = sized.schema["part_idx"].dataType.simpleString()
 
     def number(rows: pd.DataFrame, limit: int, first_call: int) -> pd.DataFrame:
-        rows = rows.sort_values("part_idx")
+        rows = rows.sort_values("place")
         starts = _bin_starts(rows["before"].values, rows["upto"].values, budget, limit)
         opened = np.searchsorted(np.asarray(starts), np.arange(len(rows)), side="right")
         rows["call_idx"] = first_call + opened
-        return rows[["ctx_id", "part_idx", "call_idx"]]
+        rows["_length"] = rows["upto"] - rows["before"]
+        return rows[["ctx_id", "part_idx", "_length", "call_idx"]]
 
-    schema = f"ctx_id {id_type}, part_idx long, call_idx long"
-    if sizes <= slice_rows:
+    schema = f"ctx_id {id_type}, part_idx {part_type}, _length long, call_idx long"
+    if (spans.agg(F.max("slice")).first()[0] or 0) == 0:
         numbered = spans.groupBy("ctx_id").applyInPandas(
             lambda rows: number(rows, -1, -1), schema
         )
@@ -226,7 +234,11 @@ def pack_chars(
                 schema,
             )
         )
-    return parts.join(numbered, ["ctx_id", "part_idx"])
+    sized_parts = parts.withColumn("_length", _length())
+    placed = joined_back(
+        sized_parts, numbered, ["ctx_id", "part_idx"], ["_length"], ["call_idx"]
+    )
+    return placed.drop("_length")
 
 
 def _slice_entries(spans: DataFrame, budget: int, id_type: str) -> DataFrame:
@@ -242,7 +254,7 @@ def _slice_entries(spans: DataFrame, budget: int, id_type: str) -> DataFrame:
     )
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part_idx")
+        rows = rows.sort_values("place")
         before, upto = rows["before"].values, rows["upto"].values
         # Next start of every row, then, from the back, the last start of the chain and its length.
         following = np.maximum(
@@ -305,6 +317,12 @@ def _slice_entries(spans: DataFrame, budget: int, id_type: str) -> DataFrame:
         renamed = right.withColumnsRenamed({"ctx_id": "_ctx_id", "slice": "_slice"})
         return left.groupBy("ctx_id", "slice").cogroup(renamed.groupBy("_ctx_id", "_slice"))
 
+    def of_slices(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+        """Rows of the chosen (ctx_id, slice), of which ctx_id may be NULL."""
+        keys = chosen.select(F.col("ctx_id").alias("_ctx_id"), F.col("slice").alias("_slice"))
+        same = F.col("ctx_id").eqNullSafe(F.col("_ctx_id")) & (F.col("slice") == F.col("_slice"))
+        return rows.join(keys, same, "left_semi")
+
     exits = materialise(
         spans.groupBy("ctx_id", "slice").applyInPandas(walk, exit_schema), "exits"
     )
@@ -315,11 +333,9 @@ def _slice_entries(spans: DataFrame, budget: int, id_type: str) -> DataFrame:
     )
     reach = 1
     while reach <= last:
-        here = exits.join(known.select("ctx_id", "slice"), ["ctx_id", "slice"], "left_semi")
+        here = of_slices(exits, known)
         entered = paired(known, here).applyInPandas(enter, known.schema)
-        ahead = entered.withColumn("slice", F.col("slice") + reach).join(
-            slices, ["ctx_id", "slice"], "left_semi"
-        )
+        ahead = of_slices(entered.withColumn("slice", F.col("slice") + reach), slices)
         known = materialise(known.unionByName(ahead), "entries")
         if 2 * reach <= last:
             far = exits.withColumn("slice", F.col("slice") - reach).where("slice >= 0")

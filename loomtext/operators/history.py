@@ -37,7 +37,7 @@ def append_history(history: DataFrame, new: DataFrame) -> DataFrame:
     return history.unionByName(new)
 
 
-def prompt_growth(history: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def prompt_growth(history: DataFrame, slice_rows: int | None = SLICE_ROWS) -> DataFrame:
     """Per iteration, messages and characters of all earlier iterations, without building any text."""
     added = history.groupBy("run_id", "iteration").agg(
         F.count(F.lit(1)).alias("_messages"),

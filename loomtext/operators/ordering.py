@@ -1,27 +1,28 @@
 """Ordered scans within a key (numbering, running sums, last value seen) that survive a hot key.
 
-A window over ``partitionBy(key)`` sorts a whole key in one task. When the largest key is small that
-is the right plan, and it is used. When one key holds more than ``slice_rows`` rows, the rows are cut
-into slices along the order column, scanned per (key, slice), and the totals of earlier slices are
-added. Cut points come from one quantile pass and enter the plan as constants, so the slicing is the
-same in every stage and on every retry.
+A window over ``partitionBy(key)`` sorts a whole key in one task, with all columns of its rows. Here the rows
+are cut to the columns the scan reads, range-partitioned on the whole (key, order) tuple and written once, so
+a key with any share of the rows spreads over as many partitions as its size asks for, whatever the type of
+the order columns and however often one value repeats. Every partition scans its own part of a key; of the keys
+that reach over a boundary, at most two a partition, the totals of earlier parts are added. Then the outputs
+are joined to the full rows by their tuples. There is one plan for all sizes.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType, VariantType
 
 from loomtext.functions.text import whole_division
+from loomtext.scratch import materialise
 
-# Rows of one key that a task may sort, and the most slices the order column is cut into.
-SLICE_ROWS = 200_000
-MAX_SLICES = 16_384
+#: Rows that a partition of a scan should have; None leaves their number to the session's settings.
+SLICE_ROWS: int | None = None
+WIDE = (StringType, BinaryType, ArrayType, MapType, StructType, VariantType)
 
 
 @dataclass(frozen=True)
@@ -79,102 +80,143 @@ def ordered_scan(
     keys: Sequence[str],
     order: Sequence[str],
     outputs: dict[str, Scan],
-    slice_rows: int = SLICE_ROWS,
-    largest_key: int | None = None,
+    slice_rows: int | None = SLICE_ROWS,
+    carry: bool = False,
 ) -> DataFrame:
     """Add ``outputs`` to every row of ``df``.
 
-    ``order`` names columns, ``-name`` for descending; together they must be unique within a key, and
-    the first must be numeric or a timestamp. ``largest_key`` is a known upper bound on the rows of a
-    key; without it one grouped count (partial aggregation, counts only) finds it.
+    ``order`` names columns of any sortable type, ``-name`` for descending. Rows with one key and equal order
+    columns follow each other by the scanned columns, or in any order if these are equal too. NULL keys are
+    a key of their own. Columns beside these stay out of the scan if one of them may be long; ``carry`` says
+    that all are short.
     """
     keys, order = list(keys), list(order)
-    total = None
-    if largest_key is None:
-        sizes = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-        largest_key, total = sizes[0] or 0, sizes[1] or 0
-    if largest_key <= slice_rows:
-        running = Window.partitionBy(*keys).orderBy(*map(_sort_column, order))
-        whole = Window.partitionBy(*keys)
-        return df.select(
-            "*", *(_evaluate(scan, running, whole).alias(name) for name, scan in outputs.items())
-        )
-    if total is None:
-        total = df.count()
-    return _sliced_scan(df, keys, order, outputs, slice_rows, total)
-
-
-def _with_slice(df: DataFrame, order: list[str], slice_rows: int, total: int) -> DataFrame:
-    descending = order[0].startswith("-")
-    lead = order[0].lstrip("-")
-    position = F.col(lead)
-    if dict(df.dtypes)[lead].startswith("timestamp"):
-        position = position.cast("timestamp")
-    placed = df.withColumn("_position", position.cast("double"))
-    slices = max(2, min(MAX_SLICES, math.ceil(2 * total / slice_rows)))
-    cuts = placed.approxQuantile(
-        "_position", [i / slices for i in range(1, slices)], 1 / (4 * slices)
-    )
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    bucketed = Bucketizer(
-        splits=splits, inputCol="_position", outputCol="_bucket", handleInvalid="keep"
-    ).transform(placed)
-    # Nulls sort first ascending and last descending, as in a window.
-    bucket = F.when(F.col("_position").isNull(), F.lit(-1)).otherwise(F.col("_bucket").cast("int"))
-    return bucketed.withColumn("_slice", -bucket if descending else bucket).drop(
-        "_position", "_bucket"
-    )
+    lead = [name.lstrip("-") for name in order]
+    scanned = list(dict.fromkeys(s.column for s in outputs.values() if s.column))
+    narrow = list(dict.fromkeys([*keys, *lead, *scanned]))
+    others = [c for c in df.columns if c not in narrow]
+    if carry or not any(isinstance(df.schema[c].dataType, WIDE) for c in others):
+        return _scan(df, keys, order, scanned, outputs, slice_rows).select(*df.columns, *outputs)
+    found = _scan(df.select(*narrow), keys, order, scanned, outputs, slice_rows)
+    return joined_back(df, found, [*keys, *lead], _sortable(df, scanned), list(outputs))
 
 
-def _sliced_scan(
-    df: DataFrame,
+def _sortable(df: DataFrame, columns: list[str]) -> list[str]:
+    def sortable(kind: DataType) -> bool:
+        if isinstance(kind, StructType):
+            return all(sortable(f.dataType) for f in kind.fields)
+        if isinstance(kind, ArrayType):
+            return sortable(kind.elementType)
+        return not isinstance(kind, MapType | VariantType)
+
+    return [c for c in columns if sortable(df.schema[c].dataType)]
+
+
+def _scan(
+    rows: DataFrame,
     keys: list[str],
     order: list[str],
+    scanned: list[str],
     outputs: dict[str, Scan],
-    slice_rows: int,
-    total: int,
+    slice_rows: int | None,
 ) -> DataFrame:
+    within = [_sort_column(c) for c in [*order, *_sortable(rows, scanned)]]
+    along = [*map(_sort_column, keys), *within]
+    if slice_rows is None:
+        dealt = rows.repartitionByRange(*along)
+    else:
+        dealt = rows.repartitionByRange(max(1, -(-rows.count() // slice_rows)), *along)
+    # Written, so that a lost task or a second reader meets the same boundaries.
+    written = materialise(dealt.withColumn("_part", F.spark_partition_id()), "scan")
     # A struct compares null fields as equal, so a null key stays one group in the join below.
-    sliced = _with_slice(df, order, slice_rows, total).withColumn("_key", F.struct(*keys))
-    running = Window.partitionBy("_key", "_slice").orderBy(*map(_sort_column, order))
-    whole = Window.partitionBy("_key", "_slice")
+    parted = written.withColumn("_key", F.struct(*keys))
+    running = Window.partitionBy("_key", "_part").orderBy(*within)
+    whole = Window.partitionBy("_key", "_part")
     names = {name: f"_local_{name}" for name in outputs}
-    local = sliced.withColumn("_rank", F.row_number().over(running)).select(
-        "*",
-        *(_evaluate(scan, running, whole).alias(names[name]) for name, scan in outputs.items()),
+    local = parted.select(
+        "*", *(_evaluate(scan, running, whole).alias(names[name]) for name, scan in outputs.items())
     )
-    # The values on a slice's last row are what the slice hands on to later slices.
-    ends = local.groupBy("_key", "_slice").agg(
-        F.max_by(F.struct(*names.values()), "_rank").alias("_end")
-    )
-    earlier = (
-        Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    every = Window.partitionBy("_key")
-    carried = []
-    for name, scan in outputs.items():
-        end = F.col(f"_end.{names[name]}")
-        if scan.kind == "last":
-            carried.append(F.last(end, ignorenulls=True).over(earlier).alias(f"_carry_{name}"))
-        elif scan.kind in ("size", "total"):
-            carried.append(F.sum(end).over(every).alias(f"_carry_{name}"))
-        else:
-            carried.append(F.sum(end).over(earlier).alias(f"_carry_{name}"))
-    carry = ends.select("_key", "_slice", *carried)
-    joined = local.join(carry, ["_key", "_slice"], "left")
+    carry = _carried(parted, running, outputs)
+    joined = local.join(F.broadcast(carry), ["_key", "_part"], "left")
     combined = []
     for name, scan in outputs.items():
         here, before = F.col(names[name]), F.col(f"_carry_{name}")
         if scan.kind == "last":
             value = F.coalesce(here, before)
         elif scan.kind in ("size", "total"):
-            value = before
+            value = F.coalesce(before, here)
         elif scan.kind == "number":
             value = here + F.coalesce(before, F.lit(0))
         else:
             value = F.when(here.isNull(), before).otherwise(here + F.coalesce(before, F.lit(0)))
         combined.append(value.alias(name))
-    return joined.select(*df.columns, *combined)
+    return joined.select(*rows.columns, *combined)
+
+
+def _carried(parted: DataFrame, running, outputs: dict[str, Scan]) -> DataFrame:
+    """(_key, _part, a column for every output) of the keys that lie in several partitions: what earlier parts
+    hand on, or the total of all parts. At most two keys of a partition reach beyond it."""
+    last = [name for name, scan in outputs.items() if scan.kind == "last"]
+    # Only the last value seen needs an order within the part.
+    seen = parted
+    if last:
+        seen = parted.select(
+            "*",
+            F.row_number().over(running).alias("_rank"),
+            *(_evaluate(outputs[name], running, None).alias(f"_seen_{name}") for name in last),
+        )
+    ends = []
+    for name, scan in outputs.items():
+        if scan.kind == "last":
+            # In a struct, as max_by passes over rows of which the value is NULL in no other way.
+            end = F.max_by(F.struct(f"_seen_{name}"), "_rank")[f"_seen_{name}"]
+        elif scan.kind in ("number", "size"):
+            end = F.count(F.lit(1))
+        else:
+            end = F.sum(scan.column)
+        ends.append(end.alias(f"_end_{name}"))
+    every = Window.partitionBy("_key")
+    parts = (
+        seen.groupBy("_key", "_part").agg(*ends)
+        .withColumn("_parts", F.count(F.lit(1)).over(every))
+        .where("_parts > 1")
+    )
+    earlier = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = []
+    for name, scan in outputs.items():
+        end = F.col(f"_end_{name}")
+        if scan.kind == "last":
+            value = F.last(end, ignorenulls=True).over(earlier)
+        elif scan.kind in ("size", "total"):
+            value = F.sum(end).over(every)
+        else:
+            value = F.sum(end).over(earlier)
+        carried.append(value.alias(f"_carry_{name}"))
+    return parts.select("_key", "_part", *carried)
+
+
+def joined_back(
+    df: DataFrame, found: DataFrame, tuple_: list[str], ties: list[str], outputs: list[str]
+) -> DataFrame:
+    """The rows of ``df`` with the outputs that ``found`` has for their tuples."""
+    found = materialise(found, "scanned")
+    most = found.groupBy(*tuple_).count().agg(F.max("count")).first()[0] or 0
+    on = ["_tuple"]
+    left = df.withColumn("_tuple", F.struct(*tuple_))
+    right = found.withColumn("_tuple", F.struct(*tuple_))
+    if most > 1:
+        # Rows of one tuple are told apart by their place among them, the same on both sides.
+        on.append("_place")
+        own = Window.partitionBy("_tuple")
+        left = left.withColumn("_place", F.row_number().over(own.orderBy(*(ties or [F.lit(0)]))))
+        by = [*ties, *outputs]
+        right = right.withColumn("_place", F.row_number().over(own.orderBy(*_orderable(found, by))))
+    joined = left.join(right.select(*on, *outputs), on)
+    return joined.select(*df.columns, *outputs)
+
+
+def _orderable(df: DataFrame, columns: list[str]) -> list:
+    return _sortable(df, columns) or [F.lit(0)]
 
 
 def join_ordered(
@@ -184,7 +226,7 @@ def join_ordered(
     text: str,
     separator: str = "\n",
     piece_chars: int = 500_000,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = SLICE_ROWS,
 ) -> DataFrame:
     """Join the texts of a key in order into pieces: rows (keys, piece_idx, n_items, text).
 

@@ -66,8 +66,10 @@ def profile_line(parts: DataFrame) -> DataFrame:
         first_parts(parts)
         .groupBy("ctx_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "length"))).alias("_shown"))
+        .withColumnRenamed("ctx_id", "_ctx_id")
     )
-    joined = context_profile(parts).join(shown, "ctx_id")
+    # NULL is a context like any other.
+    joined = context_profile(parts).join(shown, F.col("ctx_id").eqNullSafe(F.col("_ctx_id")))
     lengths = F.concat(F.lit("["), F.array_join(F.col("_shown.length"), ", "), F.lit("]"))
     others = F.when(
         F.col("n_parts") > SHOWN_PARTS,

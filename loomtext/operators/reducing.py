@@ -69,7 +69,7 @@ def reduce_answers(
     client: ClientFactory,
     budget: int = BUDGET,
     separator: str = "\n",
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = SLICE_ROWS,
     **options,
 ) -> DataFrame:
     """Join each key's ``answer`` texts in order and ask once more: (keys, answer).
@@ -108,7 +108,7 @@ def map_reduce_answer(
     chunk_template: str = CHUNK_PROMPT,
     combine_template: str = COMBINE_PROMPT,
     budget: int = BUDGET,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = SLICE_ROWS,
     **options,
 ) -> DataFrame:
     """Ask about every chunk, join the answers in order, ask once more per key: (keys, answer)."""
@@ -140,7 +140,7 @@ def section_summaries(
     section_template: str = SECTION_PROMPT,
     combine_template: str = SUMMARIES_PROMPT,
     budget: int = BUDGET,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = SLICE_ROWS,
     **options,
 ) -> DataFrame:
     """Summarise every Markdown section, join ``header: summary`` lines, ask once per text."""
@@ -175,7 +175,7 @@ def tree_reduce(
     text: str = "text",
     template: str = COMBINE_PROMPT,
     budget: int = BUDGET,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = SLICE_ROWS,
     **options,
 ) -> DataFrame:
     """Reduce ``fan_in`` neighbours at a time until one answer per key is left: (keys, answer, depth).
@@ -227,7 +227,7 @@ def fold_sections(
     step_template: str = STEP_PROMPT,
     last_template: str = LAST_PROMPT,
     segment: int = 1000,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = SLICE_ROWS,
     model: str | None = None,
 ) -> DataFrame:
     """Refine a buffer section by section, in order: (key, n_sections, buffer).

@@ -54,7 +54,7 @@ def match_responses(
     responses: DataFrame,
     key: str = "key",
     timeout_seconds: int = TIMEOUT_SECONDS,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = SLICE_ROWS,
 ) -> DataFrame:
     """Earliest response at or after each request and within the time limit, else a time-out row.
 
@@ -76,6 +76,7 @@ def match_responses(
         ["-ts", "_kind", "-_response", "_request"],
         {"_ahead": last_seen("_r")},
         slice_rows,
+        carry=True,
     )
     limit = F.col("ts") + F.make_dt_interval(secs=F.lit(timeout_seconds))
     in_time = F.col("_ahead.ts") <= limit

@@ -250,7 +250,7 @@ def recent_runs(summaries: DataFrame, started: str, n: int = 10) -> DataFrame:
 
 
 def number_iterations(
-    df: DataFrame, run: str, order: list[str], slice_rows: int = SLICE_ROWS
+    df: DataFrame, run: str, order: list[str], slice_rows: int | None = SLICE_ROWS
 ) -> DataFrame:
     """Add the 1-based iteration number of each row within its run."""
     return ordered_scan(df, [run], order, {"iteration": row_number()}, slice_rows)

@@ -28,7 +28,7 @@ def variables_as_of(
     moments: DataFrame,
     name: str,
     order: list[str],
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = SLICE_ROWS,
 ) -> DataFrame:
     """For every row of ``moments`` (run_id and the order columns), the value ``name`` holds then.
 

@@ -368,25 +368,33 @@ def chk4_spans(t):
     return pack_spans(doc_parts(t), 20_000).select("ctx_id", "part_idx", "call_idx")
 
 
-@query(
-    "chk4_pack_chars",
-    """
+def _next_fit_sql(key: str, budget: int) -> str:
+    return f"""
     WITH RECURSIVE p AS (
-      SELECT source AS ctx_id, doc_id AS part_idx, length(text) AS n,
-             row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+      SELECT {key} AS ctx_id, doc_id AS part_idx, length(text) AS n,
+             row_number() OVER (PARTITION BY {key} ORDER BY doc_id) AS rn FROM documents),
     f AS (
       SELECT ctx_id, part_idx, rn, n AS used, CAST(0 AS BIGINT) AS call_idx FROM p WHERE rn = 1
       UNION ALL
-      SELECT p.ctx_id, p.part_idx, p.rn, CASE WHEN f.used + p.n > 20000 THEN p.n ELSE f.used + p.n END,
-             f.call_idx + CASE WHEN f.used + p.n > 20000 THEN 1 ELSE 0 END
+      SELECT p.ctx_id, p.part_idx, p.rn, CASE WHEN f.used + p.n > {budget} THEN p.n ELSE f.used + p.n END,
+             f.call_idx + CASE WHEN f.used + p.n > {budget} THEN 1 ELSE 0 END
       FROM f JOIN p ON p.ctx_id = f.ctx_id AND p.rn = f.rn + 1)
     SELECT ctx_id, part_idx, call_idx FROM f
-    """,
-)
+    """
+
+
+@query("chk4_pack_chars", _next_fit_sql("source", 20_000))
 def chk4(t):
     return pack_chars(doc_parts(t), 20_000).select("ctx_id", "part_idx", "call_idx")
 
 
+@query("chk4_pack_chars_sliced", _next_fit_sql("lang", 9_000))
+def chk4_sliced(t):
+    """Few long contexts: each is packed in slices that are linked afterwards."""
+    parts = context_from_table(t.documents, "lang", "doc_id", "text")
+    return pack_chars(parts, 9_000, slice_rows=100).select("ctx_id", "part_idx", "call_idx")
+
+
 @query(
     "chk5_pack_docs",
     PARTS_SQL

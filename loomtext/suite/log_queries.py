@@ -536,6 +536,21 @@ def win2(t):
     return number_iterations(turns, "conv_id", ["turn"])
 
 
+@query(
+    "win2_sliced",
+    """
+    SELECT event_type, event_id, row_number() OVER (
+             PARTITION BY event_type ORDER BY props DESC, ts, event_id) AS iteration
+    FROM events
+    """,
+)
+def win2_sliced(t):
+    """Five long runs, ordered by a text that repeats, then a time: every run lies in several partitions."""
+    events = t.events.select("event_type", "props", "ts", "event_id")
+    numbered = number_iterations(events, "event_type", ["-props", "ts", "event_id"], slice_rows=1_000)
+    return numbered.select("event_type", "event_id", "iteration")
+
+
 @query(
     "set2_append_history",
     """

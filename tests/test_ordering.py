@@ -1,8 +1,9 @@
-"""Hot keys take another plan than small ones; both must give the same rows."""
+"""Ordered scans over one partition and many, beside each other and beside plain windows."""
 
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomtext.operators.chunking import (
@@ -12,6 +13,7 @@ from loomtext.operators.chunking import (
     chunk_fixed,
     pack_chars,
     pack_docs,
+    pack_spans,
 )
 from loomtext.operators.ordering import (
     group_size,
@@ -207,3 +209,85 @@ def test_match_responses_hot_key(spark):
         ).collect()
         assert {r["request_id"]: r["response_id"] for r in matched} == expected
         assert all((r["error"] is None) == (r["response_id"] is not None) for r in matched)
+
+
+def windowed(df, keys, order, tie):
+    """The same outputs by one window per key."""
+    by = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in [*order, *tie]]
+    running = Window.partitionBy(*keys).orderBy(*by)
+    return df.select(
+        "*",
+        F.row_number().over(running).cast("long").alias("rn"),
+        F.sum("v").over(running.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+        F.count("*").over(Window.partitionBy(*keys)).alias("n"),
+    )
+
+
+@pytest.mark.parametrize("slice_rows", [None, 15, 100_000])
+@pytest.mark.parametrize("order", [["name"], ["-name"], ["tied", "name"], ["-tied", "-name"], ["bin", "day", "-name"]])
+def test_scan_by_any_order_with_texts(spark, order, slice_rows):
+    """Strings, dates and binary, a first column of which one value holds nearly all rows, long payloads."""
+    df = spark.range(700).select(
+        F.expr("CASE WHEN id % 3 > 0 THEN 'hot' WHEN id % 5 > 0 THEN concat('k', id % 9) END").alias("k"),
+        F.concat(F.lit("n"), F.xxhash64("id").cast("string")).alias("name"),
+        F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(7).alias("tied"),
+        F.lit("x").cast("binary").alias("bin"),
+        F.when(F.col("id") % 4 > 0, F.expr("date '2024-01-01' + int(id % 3)")).alias("day"),
+        (F.col("id") % 13).alias("v"),
+        F.repeat(F.col("id").cast("string"), 50).alias("text"),
+    )
+    outputs = {"rn": row_number(), "upto": running_sum("v"), "n": group_size()}
+    found = ordered_scan(df, ["k"], order, outputs, slice_rows)
+    assert rows(found) == rows(windowed(df, ["k"], order, []))
+    assert found.columns == [*df.columns, "rn", "upto", "n"]
+
+
+@pytest.mark.parametrize("slice_rows", [None, 10])
+def test_rows_with_one_tuple_all_stay(spark, slice_rows):
+    df = spark.range(90).select(
+        F.lit("a").alias("k"), (F.col("id") % 4).alias("o"), (F.col("id") % 3).alias("v"),
+        F.concat(F.lit("text "), (F.col("id") % 3).cast("string")).alias("text"),
+    )
+    outputs = {"rn": row_number(), "upto": running_sum("v"), "n": group_size()}
+    found = ordered_scan(df, ["k"], ["o"], outputs, slice_rows)
+    assert rows(found) == rows(windowed(df, ["k"], ["o"], ["v"]))
+
+
+def test_no_text_in_a_window(parts, capsys):
+    """Windows and range partitions see keys, order and lengths only."""
+    pack_spans(parts, 100).explain("formatted")
+    plan = capsys.readouterr().out
+    for node in plan.split("\n\n"):
+        if ") Window" in node.split("\n")[0]:
+            assert "text" not in node
+
+
+def test_null_contexts_and_texts_stay(spark):
+    data = [(None, i, "x" * (i % 5)) for i in range(30)] + [("a", 1, None), ("a", 2, "yy"), ("a", 2, "y"), ("a", 2, "y")]
+    df = spark.createDataFrame(data, "ctx_id string, part_idx long, text string")
+    by_hand = packed_by_hand(df.fillna("", "text").where("ctx_id IS NULL").fillna("none", "ctx_id"), 9)
+    for slice_rows in (4, 200_000):
+        packed = pack_chars(df, 9, slice_rows).collect()
+        assert len(packed) == len(data)
+        assert {("none", r.part_idx): r.call_idx for r in packed if r.ctx_id is None} == by_hand
+        assert [r.call_idx for r in packed if r.ctx_id == "a"] == [0] * 4
+    spans = pack_spans(df, 9).collect()
+    assert len(spans) == len(data) and all(r.call_idx is not None for r in spans)
+    assert len(pack_docs(df, 7).where("ctx_id IS NULL").collect()) == 5
+    lines = profile_line(df.withColumn("kind", F.lit("list"))).collect()
+    assert {r.ctx_id: r.n_parts for r in lines} == {None: 30, "a": 4}
+
+
+@pytest.mark.parametrize("n_chars", [1, 3, 7, 1000])
+def test_chunks_of_any_number_keep_bytes(spark, n_chars):
+    """Bytes that are no characters stay, in few chunks and in many."""
+    texts = ["", "a", "é" * 10, "ab\n" * 700, "😀x" * 333]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "i int, text string")
+    found = chunk_fixed(df, n_chars).collect()
+    for i, t in enumerate(texts):
+        own = [r.chunk for r in sorted((r for r in found if r.i == i), key=lambda r: r.chunk_idx)]
+        assert own == [t[k : k + n_chars] for k in range(0, len(t), n_chars)]
+    assert all(r.i != 9 for r in found)
+    raw = spark.sql("SELECT CAST(unhex(repeat('FF61', 400)) AS STRING) AS text")
+    chunks = chunk_fixed(raw, n_chars).orderBy("chunk_idx").select(F.hex(F.col("chunk").cast("binary")).alias("h"))
+    assert "".join(r.h for r in chunks.collect()) == "FF61" * 400

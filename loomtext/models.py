@@ -8,6 +8,7 @@ be lost.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -44,6 +45,21 @@ class EchoClient:
         return Completion(f"Mock response to: {prompt_text(prompt)[:50]}", 10, 10)
 
 
+class DigestClient:
+    """Stand-in that answers with the length and MD5 of the whole prompt."""
+
+    def complete(self, prompt: Prompt, model: str | None) -> Completion:
+        text = prompt_text(prompt)
+        return Completion(f"{len(text)}:{hashlib.md5(text.encode()).hexdigest()}", 10, 10)
+
+
+class AsyncDigestClient:
+    """The digest client as a coroutine."""
+
+    async def acomplete(self, prompt: Prompt, model: str | None) -> Completion:
+        return DigestClient().complete(prompt, model)
+
+
 class AsyncEchoClient:
     """The echo client as a coroutine."""
 
@@ -52,15 +68,15 @@ class AsyncEchoClient:
 
 
 class FailingClient:
-    """Echo client that raises on prompts holding ``marker``."""
+    """Raises on prompts holding ``marker`` and leaves others to another client, an echo by default."""
 
-    def __init__(self, marker: str):
-        self.marker = marker
+    def __init__(self, marker: str, other: Client | None = None):
+        self.marker, self.other = marker, other or EchoClient()
 
     def complete(self, prompt: Prompt, model: str | None) -> Completion:
         if self.marker in prompt_text(prompt):
             raise ValueError("failed")
-        return EchoClient().complete(prompt, model)
+        return self.other.complete(prompt, model)
 
 
 class RuleClient:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import asyncio
+import itertools
+import queue
+import threading
 import time
+import zlib
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from itertools import batched
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,60 +37,194 @@ ANSWER_TYPES = [pa.string()] * 3 + [pa.int64()] * 3 + [pa.float64()]
 NO_RESULT = "No chat completion or error provided."
 
 
+#: Seconds that a call may take. Fixed value.
+TIMEOUT_SECONDS = 300.0
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a task allows its calls: ``timeout`` seconds for an attempt, ``retries`` further attempts after a
+    failed one, each after twice the pause of the one before (from ``backoff`` seconds, by half more or less
+    as the prompt's hash says), and ``per_second`` attempts begun by the task."""
+
+    timeout: float | None = TIMEOUT_SECONDS
+    retries: int = 0
+    backoff: float = 1.0
+    per_second: float | None = None
+
+    def pause(self, prompt, attempt: int) -> float:
+        """Seconds before attempt number ``attempt`` (from 1), the same on every run of a task."""
+        drawn = zlib.crc32(f"{attempt}:{prompt}".encode(errors="replace")) / 2**32
+        return self.backoff * 2 ** (attempt - 1) * (0.5 + drawn)
+
+
+class _Pace:
+    """Deals out start times at a rate."""
+
+    def __init__(self, per_second: float | None):
+        self.gap, self.next, self.lock = 1 / per_second if per_second else 0.0, 0.0, threading.Lock()
+
+    def wait(self) -> float:
+        """Seconds until the start that is taken by this."""
+        if not self.gap:
+            return 0.0
+        with self.lock:
+            now = time.monotonic()
+            start = max(self.next, now)
+            self.next = start + self.gap
+            return start - now
+
+
 def _answered(model: str | None, done: Completion, started: float) -> tuple:
     error = NO_RESULT if done.response is None else None
     usage = (done.calls, done.input_tokens, done.output_tokens)
     return (model, done.response, error, *usage, time.perf_counter() - started)
 
 
-def _failed(model: str | None, failure: Exception, started: float) -> tuple:
+def _failed(model: str | None, failure: Exception | str, started: float) -> tuple:
     text = str(failure) or type(failure).__name__
     return (model, None, text, None, None, None, time.perf_counter() - started)
 
 
-@contextmanager
-def _answering(service: Client, concurrency: int):
-    """A function from (prompt, model) pairs to answer rows, with ``concurrency`` calls in flight.
+def _late(limits: Limits) -> str:
+    return f"No answer within {limits.timeout:g} seconds."
+
+
+class _Threads:
+    """Runs the calls of a client without a coroutine in ``concurrency`` threads.
 
-    A client with an ``acomplete`` coroutine is awaited on one event loop, any other runs in threads.
+    A thread cannot be stopped, so one whose call is late is left behind, its call fails, and another
+    thread takes its place. Threads are daemons, so none keeps the worker from ending.
     """
 
-    def one(call) -> tuple:
-        prompt, model = call
-        started = time.perf_counter()
+    def __init__(self, service: Client, concurrency: int, limits: Limits):
+        self.service, self.limits, self.pace = service, limits, _Pace(limits.per_second)
+        self.todo: queue.SimpleQueue = queue.SimpleQueue()
+        self.done: queue.SimpleQueue = queue.SimpleQueue()
+        self.tick = None if limits.timeout is None else max(0.01, min(1.0, limits.timeout / 10))
+        self.running: dict[int, tuple] = {}
+        self.names = itertools.count()
+        for _ in range(concurrency):
+            self._start()
+
+    def _start(self) -> None:
+        threading.Thread(target=self._work, args=(next(self.names),), daemon=True).start()
+
+    def _work(self, name: int) -> None:
+        while (item := self.todo.get()) is not None:
+            _, (prompt, model), attempt = item
+            if attempt:
+                time.sleep(self.limits.pause(prompt, attempt))
+            if wait := self.pace.wait():
+                time.sleep(wait)
+            started = time.perf_counter()
+            self.running[name] = (time.monotonic(), item)
+            try:
+                row = _answered(model, self.service.complete(prompt, model), started)
+            except Exception as failure:
+                row = _failed(model, failure, started)
+            if self.running.pop(name, None) is None:
+                return  # Given up meanwhile.
+            self._finish(item, row)
+
+    def _finish(self, item: tuple, row: tuple) -> None:
+        place, call, attempt = item
+        if row[2] is not None and attempt < self.limits.retries:
+            self.todo.put((place, call, attempt + 1))
+        else:
+            self.done.put((place, row))
+
+    def _give_up_late(self) -> None:
+        for name, (since, item) in list(self.running.items()):
+            if time.monotonic() - since > self.limits.timeout and self.running.pop(name, None):
+                self._start()
+                started = time.perf_counter() - (time.monotonic() - since)
+                self._finish(item, _failed(item[1][1], _late(self.limits), started))
+
+    def submit(self, place: int, call: tuple) -> None:
+        self.todo.put((place, call, 0))
+
+    def result(self) -> tuple[int, tuple]:
+        """Place and answer row of some call that has ended."""
+        while True:
+            try:
+                return self.done.get(timeout=self.tick)
+            except queue.Empty:
+                self._give_up_late()
+
+    def close(self) -> None:
+        for _ in range(next(self.names)):
+            self.todo.put(None)
+
+
+class _Coroutines:
+    """Awaits the calls of a client with a coroutine on one event loop, ``concurrency`` at a time."""
+
+    def __init__(self, service: Client, concurrency: int, limits: Limits):
+        self.service, self.limits, self.pace = service, limits, _Pace(limits.per_second)
+        self.runner, self.gate = asyncio.Runner(), asyncio.Semaphore(concurrency)
+        self.open: set[asyncio.Task] = set()
+        self.ended: list[tuple[int, tuple]] = []
+
+    def submit(self, place: int, call: tuple) -> None:
+        self.open.add(self.runner.get_loop().create_task(self._answer(place, call)))
+
+    def result(self) -> tuple[int, tuple]:
+        """Place and answer row of some call that has ended."""
+        if not self.ended:
+            self.runner.run(self._some())
+        return self.ended.pop()
+
+    async def _some(self) -> None:
+        ended, self.open = await asyncio.wait(self.open, return_when=asyncio.FIRST_COMPLETED)
+        self.ended.extend(task.result() for task in ended)
+
+    async def _answer(self, place: int, call: tuple) -> tuple[int, tuple]:
+        async with self.gate:
+            for attempt in range(self.limits.retries + 1):
+                if attempt:
+                    await asyncio.sleep(self.limits.pause(call[0], attempt))
+                if wait := self.pace.wait():
+                    await asyncio.sleep(wait)
+                row = await self._attempt(*call)
+                if row[2] is None:
+                    break
+        return place, row
+
+    async def _attempt(self, prompt, model: str | None) -> tuple:
+        started, limit = time.perf_counter(), self.limits.timeout
         try:
-            return _answered(model, service.complete(prompt, model), started)
+            async with asyncio.timeout(limit) as deadline:
+                return _answered(model, await self.service.acomplete(prompt, model), started)
         except Exception as failure:
-            return _failed(model, failure, started)
+            # A client may raise TimeoutError of its own accord.
+            late = isinstance(failure, TimeoutError) and deadline.expired()
+            return _failed(model, _late(self.limits) if late else failure, started)
 
-    async def gathered(calls) -> list[tuple]:
-        gate = asyncio.Semaphore(concurrency)
+    def close(self) -> None:
+        self.runner.close()
 
-        async def awaited(prompt, model) -> tuple:
-            async with gate:
-                started = time.perf_counter()
-                try:
-                    return _answered(model, await service.acomplete(prompt, model), started)
-                except Exception as failure:
-                    return _failed(model, failure, started)
 
-        return await asyncio.gather(*(awaited(*call) for call in calls))
-
-    if hasattr(service, "acomplete"):
-        with asyncio.Runner() as runner:
-            yield lambda calls: runner.run(gathered(calls))
-    elif concurrency == 1:
-        yield lambda calls: [one(call) for call in calls]
-    else:
-        with ThreadPoolExecutor(concurrency) as pool:
-
-            def pooled(calls) -> list[tuple]:
-                # A few groups per worker: no future per row, and little waiting at the end.
-                size = max(1, len(calls) // (concurrency * 8))
-                groups = pool.map(lambda group: [one(c) for c in group], batched(calls, size))
-                return [row for group in groups for row in group]
-
-            yield pooled
+@contextmanager
+def answering(service: Client, concurrency: int, limits: Limits):
+    """Calls with ``concurrency`` of them in flight: ``submit(place, (prompt, model))`` and ``result()``."""
+    kind = _Coroutines if hasattr(service, "acomplete") else _Threads
+    calls = kind(service, concurrency, limits)
+    try:
+        yield calls
+    finally:
+        calls.close()
+
+
+def _answer_all(calls, batch: list[tuple]) -> list[tuple]:
+    """The answer rows of a batch, in its order."""
+    for place, call in enumerate(batch):
+        calls.submit(place, call)
+    rows: list = [None] * len(batch)
+    for _ in batch:
+        place, row = calls.result()
+        rows[place] = row
+    return rows
 
 
 def ask(
@@ -100,11 +237,13 @@ def ask(
     partitions: int | None = None,
     setup: Callable[[], None] | None = None,
     where: Column | None = None,
+    limits: Limits = Limits(),
 ) -> DataFrame:
     """One model call per row. Keeps ``keep`` (default: every column but the prompt).
 
-    A failing call becomes an ``error`` text and leaves its neighbours alone. ``concurrency`` calls are
-    in flight per task. Row order carries no meaning; carry a position column instead. Filters on input
+    A failing call becomes an ``error`` text and leaves its neighbours alone, and so does one that takes
+    longer than ``limits`` allow, after the retries they allow; tokens and time are the last attempt's.
+    ``concurrency`` calls are in flight per task. Row order carries no meaning; carry a position column instead. Filters on input
     columns belong in ``where`` or before the call, as Spark cannot move one through Python.
     """
     ship_package(df.sparkSession)
@@ -123,10 +262,10 @@ def ask(
         if setup is not None:
             setup()
         service = client()
-        with _answering(service, concurrency) as answer_all:
+        with answering(service, concurrency, limits) as calls:
             for batch in batches:
                 prompts, models = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
-                rows = answer_all(list(zip(prompts, models)))
+                rows = _answer_all(calls, list(zip(prompts, models)))
                 columns = list(zip(*rows)) if rows else [()] * len(ANSWER_FIELDS)
                 arrays = [
                     pa.array(values, type=kind) for values, kind in zip(columns, ANSWER_TYPES)
@@ -147,23 +286,30 @@ def ask_stored(
 ) -> DataFrame:
     """Ask each ``request_id`` once, also a repeated one, and keep the answers in a Parquet table.
 
-    A second run over the same store asks only what is missing, so a failed job resumes. With
+    A second run over the same store asks only what is missing or has failed, so a failed job resumes. With
     ``rounds`` above 1 the requests are asked and committed in that many jobs, which bounds what a
-    failed job loses.
+    failed job loses. The store keeps the failures of all runs; those of the last are given, the others have
+    been asked again since.
     """
     spark = df.sparkSession
-    resumed = store is not None
+    resumed = store is not None and path_exists(spark, store)
     store = store or scratch_path(spark, "answers")
     once = df.dropDuplicates([request_id])
+    run, answered = 0, None
+    if resumed:
+        answered = spark.read.parquet(store)
+        run = answered.agg(F.max("_run")).first()[0] + 1
     for number in range(rounds):
         due = once
         if rounds > 1:
             due = once.where(F.pmod(F.xxhash64(request_id), F.lit(rounds)) == number)
-        if resumed and path_exists(spark, store):
-            due = due.join(spark.read.parquet(store).select(request_id), request_id, "left_anti")
+        if answered is not None:
+            due = due.join(answered.where("NOT _failed").select(request_id), request_id, "left_anti")
         answers = ask(due, **options)
-        answers.write.mode("append").parquet(store)
-    return spark.read.schema(answers.schema).parquet(store)
+        marked = answers.withColumn("_run", F.lit(run)).withColumn("_failed", F.col("error").isNotNull())
+        marked.write.partitionBy("_run", "_failed").mode("append").parquet(store)
+    kept = spark.read.schema(marked.schema).parquet(store)
+    return kept.where(~F.col("_failed") | (F.col("_run") == run)).drop("_run", "_failed")
 
 
 def path_exists(spark, path: str) -> bool:

@@ -127,17 +127,17 @@ def _scan(
     else:
         dealt = rows.repartitionByRange(max(1, -(-rows.count() // slice_rows)), *along)
     # Written, so that a lost task or a second reader meets the same boundaries.
-    written = materialise(dealt.withColumn("_part", F.spark_partition_id()), "scan")
+    written = materialise(dealt.withColumn("_scan_part", F.spark_partition_id()), "scan")
     # A struct compares null fields as equal, so a null key stays one group in the join below.
-    parted = written.withColumn("_key", F.struct(*keys))
-    running = Window.partitionBy("_key", "_part").orderBy(*within)
-    whole = Window.partitionBy("_key", "_part")
+    parted = written.withColumn("_scan_key", F.struct(*keys))
+    running = Window.partitionBy("_scan_key", "_scan_part").orderBy(*within)
+    whole = Window.partitionBy("_scan_key", "_scan_part")
     names = {name: f"_local_{name}" for name in outputs}
     local = parted.select(
         "*", *(_evaluate(scan, running, whole).alias(names[name]) for name, scan in outputs.items())
     )
     carry = _carried(parted, running, outputs)
-    joined = local.join(F.broadcast(carry), ["_key", "_part"], "left")
+    joined = local.join(F.broadcast(carry), ["_scan_key", "_scan_part"], "left")
     combined = []
     for name, scan in outputs.items():
         here, before = F.col(names[name]), F.col(f"_carry_{name}")
@@ -154,7 +154,7 @@ def _scan(
 
 
 def _carried(parted: DataFrame, running, outputs: dict[str, Scan]) -> DataFrame:
-    """(_key, _part, a column for every output) of the keys that lie in several partitions: what earlier parts
+    """(_scan_key, _scan_part, a column for every output) of the keys that lie in several partitions: what earlier parts
     hand on, or the total of all parts. At most two keys of a partition reach beyond it."""
     last = [name for name, scan in outputs.items() if scan.kind == "last"]
     # Only the last value seen needs an order within the part.
@@ -162,26 +162,26 @@ def _carried(parted: DataFrame, running, outputs: dict[str, Scan]) -> DataFrame:
     if last:
         seen = parted.select(
             "*",
-            F.row_number().over(running).alias("_rank"),
+            F.row_number().over(running).alias("_scan_rank"),
             *(_evaluate(outputs[name], running, None).alias(f"_seen_{name}") for name in last),
         )
     ends = []
     for name, scan in outputs.items():
         if scan.kind == "last":
             # In a struct, as max_by passes over rows of which the value is NULL in no other way.
-            end = F.max_by(F.struct(f"_seen_{name}"), "_rank")[f"_seen_{name}"]
+            end = F.max_by(F.struct(f"_seen_{name}"), "_scan_rank")[f"_seen_{name}"]
         elif scan.kind in ("number", "size"):
             end = F.count(F.lit(1))
         else:
             end = F.sum(scan.column)
         ends.append(end.alias(f"_end_{name}"))
-    every = Window.partitionBy("_key")
+    every = Window.partitionBy("_scan_key")
     parts = (
-        seen.groupBy("_key", "_part").agg(*ends)
-        .withColumn("_parts", F.count(F.lit(1)).over(every))
-        .where("_parts > 1")
+        seen.groupBy("_scan_key", "_scan_part").agg(*ends)
+        .withColumn("_scan_parts", F.count(F.lit(1)).over(every))
+        .where("_scan_parts > 1")
     )
-    earlier = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = every.orderBy("_scan_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = []
     for name, scan in outputs.items():
         end = F.col(f"_end_{name}")
@@ -192,7 +192,7 @@ def _carried(parted: DataFrame, running, outputs: dict[str, Scan]) -> DataFrame:
         else:
             value = F.sum(end).over(earlier)
         carried.append(value.alias(f"_carry_{name}"))
-    return parts.select("_key", "_part", *carried)
+    return parts.select("_scan_key", "_scan_part", *carried)
 
 
 def joined_back(
@@ -201,16 +201,16 @@ def joined_back(
     """The rows of ``df`` with the outputs that ``found`` has for their tuples."""
     found = materialise(found, "scanned")
     most = found.groupBy(*tuple_).count().agg(F.max("count")).first()[0] or 0
-    on = ["_tuple"]
-    left = df.withColumn("_tuple", F.struct(*tuple_))
-    right = found.withColumn("_tuple", F.struct(*tuple_))
+    on = ["_scan_tuple"]
+    left = df.withColumn("_scan_tuple", F.struct(*tuple_))
+    right = found.withColumn("_scan_tuple", F.struct(*tuple_))
     if most > 1:
         # Rows of one tuple are told apart by their place among them, the same on both sides.
-        on.append("_place")
-        own = Window.partitionBy("_tuple")
-        left = left.withColumn("_place", F.row_number().over(own.orderBy(*(ties or [F.lit(0)]))))
+        on.append("_scan_place")
+        own = Window.partitionBy("_scan_tuple")
+        left = left.withColumn("_scan_place", F.row_number().over(own.orderBy(*(ties or [F.lit(0)]))))
         by = [*ties, *outputs]
-        right = right.withColumn("_place", F.row_number().over(own.orderBy(*_orderable(found, by))))
+        right = right.withColumn("_scan_place", F.row_number().over(own.orderBy(*_orderable(found, by))))
     joined = left.join(right.select(*on, *outputs), on)
     return joined.select(*df.columns, *outputs)
 

@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.extract import code_blocks, final_answer
-from loomtext.functions.messages import CLOSING_PROMPT, turn_prompt
+from loomtext.functions.messages import CLOSING_PROMPT, MESSAGES, turn_prompt
 from loomtext.models import ClientFactory, EchoClient
-from loomtext.operators.asking import ask, errors_as_values
+from loomtext.operators.asking import ask, completion_struct, errors_as_values
 from loomtext.operators.history import HISTORY_COLUMNS, assemble_prompts, history_of
-from loomtext.operators.requests import still_active
+from loomtext.operators.requests import route_model, still_active
 from loomtext.operators.trajectories import explode_locals
+from loomtext.operators.usage import USAGE_COLUMNS, UsageLedger
 from loomtext.operators.variables import latest_variables, resolve_answers
-from loomtext.schema import BLOCK, RESULT
+from loomtext.schema import BLOCK, CALL, RESULT
 from loomtext.scratch import materialise, scratch_path
 
 # Turns extracted blocks (run_id, iteration, block_idx, code) into the same rows with ``result``.
@@ -38,19 +39,60 @@ ITERATION_COLUMNS = [
     "code_blocks",
     "final_kind",
     "final_answer",
+    "root_model",
     "calls",
     "input_tokens",
     "output_tokens",
     "seconds",
+    "error",
+    "ts",
+    "iteration_time",
 ]
+LOG_COLUMNS = [
+    "run_id", "iteration", "ts", "prompt", "response", "code_blocks", "final_answer", "final_kind", "iteration_time",
+]
 
 
 @dataclass(frozen=True)
 class Outcome:
-    """``answers`` has one row per question, ``iterations`` one per turn, in the run-log schema."""
+    """``answers`` has one row per question, with the usage of its calls and sub-calls, ``iterations`` one per
+    turn, ``configs`` one per run; ``questions`` and ``history`` are what prompts were made of."""
 
     answers: DataFrame
     iterations: DataFrame
+    configs: DataFrame
+    questions: DataFrame
+    history: DataFrame
+
+    def logged(self) -> DataFrame:
+        """The iterations in the run-log schema, each with the whole prompt it answered, for
+        ``write_trajectories`` with ``configs``. Prompts repeat a run's history; they are put together only here."""
+        turns = self.iterations.select(F.col("run_id").alias("_run"), F.col("iteration").alias("_turn"))
+        same = (F.col("run_id") == F.col("_run")) & (F.col("iteration") < F.col("_turn"))
+        earlier = self.history.join(turns, same)
+        message = F.struct("iteration", "seq", "role", "content")
+        in_order = F.array_sort(F.collect_list(message))
+        prompts = earlier.groupBy("_run", "_turn").agg(in_order.alias("_m")).select(
+            F.col("_run").alias("run_id"),
+            F.col("_turn").alias("iteration"),
+            F.transform("_m", lambda m: F.struct(m["role"], m["content"])).cast(MESSAGES).alias("_earlier"),
+        )
+        # A closing answer has no code blocks and no kind.
+        closing = F.col("final_kind").isNull() & F.col("final_answer").isNotNull()
+        own = F.when(
+            closing, F.struct(F.lit("assistant").alias("role"), F.lit(CLOSING_PROMPT).alias("content"))
+        ).otherwise(
+            F.struct(
+                F.lit("user").alias("role"),
+                turn_prompt(F.col("iteration") - 1, F.col("question")).alias("content"),
+            )
+        )
+        rows = self.iterations.join(prompts, ["run_id", "iteration"], "left").join(
+            self.questions.select("run_id", "question"), "run_id", "left"
+        )
+        none = F.array().cast(MESSAGES)
+        whole = F.concat(F.coalesce("_earlier", none), F.array(own).cast(MESSAGES))
+        return rows.withColumn("prompt", whole).select(*LOG_COLUMNS)
 
 
 def no_step(blocks: DataFrame) -> DataFrame:
@@ -65,6 +107,94 @@ def no_step(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("result", empty.cast(RESULT))
 
 
+#: A sub-call in a block: the name it assigns, if any, and the quoted prompt.
+SUBCALL = r'(?m)^[ \t]*(?:(\w+)[ \t]*=[ \t]*)?{function}\("((?:[^"\\]|\\.)*)"\)'
+
+
+def quoted_requests(blocks: DataFrame, function: str = "llm_query") -> DataFrame:
+    """(run_id, iteration, block_idx, call_idx, name, prompt) of every line of a block that calls ``function`` with
+    a text in double quotes, where \\n, \\" and \\\\ stand for a line feed, a quote and a backslash."""
+    pattern = SUBCALL.replace("{function}", function)
+    names = F.regexp_extract_all("code", F.lit(pattern), F.lit(1))
+    prompts = F.regexp_extract_all("code", F.lit(pattern), F.lit(2))
+    found = blocks.select(
+        "run_id", "iteration", "block_idx",
+        F.posexplode(F.arrays_zip(names.alias("name"), prompts.alias("prompt"))).alias("call_idx", "_c"),
+    )
+    hidden = F.replace(F.col("_c.prompt"), F.lit("\\\\"), F.lit("\0"))
+    plain = F.replace(F.replace(hidden, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"'))
+    return found.select(
+        "run_id", "iteration", "block_idx", "call_idx",
+        F.nullif(F.col("_c.name"), F.lit("")).alias("name"),
+        F.replace(plain, F.lit("\0"), F.lit("\\")).alias("prompt"),
+    )
+
+
+def asking_step(
+    client: ClientFactory = EchoClient,
+    requests: Callable[[DataFrame], DataFrame] = quoted_requests,
+    registry: DataFrame | None = None,
+    default_model: str | None = None,
+    **options,
+) -> Step:
+    """A step that makes the sub-calls of all blocks of a round at once and records them.
+
+    ``requests`` turns blocks into rows (run_id, iteration, block_idx, call_idx, prompt), optionally with ``name``, the
+    variable that takes the answer, and ``model``. With a ``registry`` a model that it does not list gives way
+    to ``default_model``. A failed call's answer is its error text. A block's answers are its output.
+    """
+    ids = ["run_id", "iteration", "block_idx"]
+
+    def step(blocks: DataFrame) -> DataFrame:
+        wanted = requests(blocks)
+        for column in ("name", "model"):
+            if column not in wanted.columns:
+                wanted = wanted.withColumn(column, F.lit(None).cast("string"))
+        if registry is not None:
+            wanted = route_model(wanted, registry, default_model).drop("model")
+            wanted = wanted.withColumnRenamed("routed_model", "model")
+        else:
+            wanted = wanted.withColumn("model", F.coalesce("model", F.lit(default_model).cast("string")))
+        spread = {"partitions": blocks.sparkSession.sparkContext.defaultParallelism, **options}
+        asked = ask(
+            wanted.withColumn("_asked", F.col("prompt")), client, model=F.col("model"),
+            keep=[*ids, "call_idx", "name", "_asked"], **spread,
+        )
+        answered = materialise(errors_as_values(asked), "subcalls")
+        record = completion_struct(F.col("_asked")).withField("response", F.col("answer")).cast(CALL)
+        calls = F.array_sort(
+            F.collect_list(F.struct("call_idx", "name", "answer", record.alias("call"))), _by_call
+        )
+        per_block = answered.groupBy(*ids).agg(calls.alias("_calls")).select(
+            *[F.col(c).alias(f"_{c}") for c in ids], "_calls"
+        )
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]
+        made = F.coalesce("_calls", F.array().cast(per_block.schema["_calls"].dataType))
+        # The last of several assignments to a name holds.
+        named = F.filter("_made", lambda c: c["name"].isNotNull())
+        last = F.filter(
+            named,
+            lambda c, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda d: d["name"] == c["name"]),
+        )
+        pairs = F.transform(last, lambda c: F.struct(c["name"], c["answer"].cast("variant")))
+        spent = F.transform("_made", lambda c: F.coalesce(c["call"]["execution_time"], F.lit(0.0)))
+        result = F.struct(
+            F.array_join(F.col("_made.answer"), "\n").alias("stdout"),
+            F.lit("").alias("stderr"),
+            F.map_from_entries(pairs).alias("locals"),
+            F.aggregate(spent, F.lit(0.0), lambda a, x: a + x).alias("execution_time"),
+            F.col("_made.call").alias("rlm_calls"),
+        )
+        joined = blocks.join(per_block, same, "left").withColumn("_made", made)
+        return joined.select(*blocks.columns, result.cast(RESULT).alias("result"))
+
+    return step
+
+
+def _by_call(left, right):
+    return left["call_idx"] - right["call_idx"]
+
+
 def _start_messages(questions: DataFrame, system: str) -> DataFrame:
     """System message, then the line that describes the context where there is one."""
     described = (
@@ -110,6 +240,11 @@ def _with_results(asked: DataFrame, step: Step) -> DataFrame:
     )
 
 
+def _block_seconds():
+    spent = F.transform("code_blocks", lambda b: F.coalesce(b["result"]["execution_time"], F.lit(0.0)))
+    return F.aggregate(spent, F.lit(0.0), lambda a, x: a + x)
+
+
 def _by_index(left, right):
     return left["block_idx"] - right["block_idx"]
 
@@ -126,8 +261,9 @@ def batch_complete(
 ) -> Outcome:
     """Run the loop for all ``questions`` (run_id, question, optionally context_line).
 
-    Answers have (run_id, kind, answer, error, n_iterations); kind is FINAL, FINAL_VAR (resolved from
-    the variables the steps left), or DEFAULT for the closing answer of questions that ran out of turns.
+    Answers have (run_id, kind, answer, error, n_iterations, usage, seconds, n_errors); kind is FINAL,
+    FINAL_VAR (resolved from the variables the steps left), or DEFAULT for the closing answer of questions
+    that ran out of turns. Usage, seconds and failures are those of all turns and their sub-calls.
     """
     spark = questions.sparkSession
     store = scratch_path(spark, "rounds")
@@ -169,6 +305,8 @@ def batch_complete(
             .withColumn("response", F.col("answer"))
             .withColumn("final_kind", F.col("_final.kind"))
             .withColumn("final_answer", F.col("_final.content"))
+            .withColumn("ts", F.current_timestamp().cast("timestamp_ntz"))
+            .withColumn("iteration_time", F.col("seconds") + _block_seconds())
             .select(*ITERATION_COLUMNS)
         )
         rows.write.parquet(f"{store}/iterations/round={turn + 1}")
@@ -204,7 +342,25 @@ def batch_complete(
             )
         )
         iterations = iterations.unionByName(closing.select(*ITERATION_COLUMNS))
-    return Outcome(answers, iterations)
+    ledger = UsageLedger(["run_id"])
+    ledger.add(iterations)
+    subcalls = iterations.select("run_id", F.explode("code_blocks").alias("_b")).select(
+        "run_id", F.explode("_b.result.rlm_calls").alias("_c")
+    )
+    failed = F.coalesce(F.col("_c.response").startswith("Error: "), F.lit(False))
+    ledger.add_maps(
+        subcalls.select("run_id", "_c", "_c.usage", F.col("_c.execution_time").alias("_time")), "_time", failed
+    )
+    configs = questions.select(
+        "run_id",
+        F.current_timestamp().cast("timestamp_ntz").alias("ts"),
+        F.lit(model or "unknown").alias("root_model"),
+        F.lit(1).alias("max_depth"),
+        F.lit(max_iterations).alias("max_iterations"),
+    )
+    last = max_iterations if active is not None else turn
+    history = rounds("history", history_schema, 0, last)
+    return Outcome(ledger.attach(answers), iterations, configs, questions, history)
 
 
 def _resolved(finals: DataFrame, iterations: DataFrame) -> DataFrame:
@@ -242,10 +398,14 @@ def default_answers(
         F.array().cast(f"array<{BLOCK}>").alias("code_blocks"),
         F.lit(None).cast("string").alias("final_kind"),
         F.col("answer").alias("final_answer"),
+        "root_model",
         "calls",
         "input_tokens",
         "output_tokens",
         "seconds",
+        "error",
+        F.current_timestamp().cast("timestamp_ntz").alias("ts"),
+        F.col("seconds").alias("iteration_time"),
     )
 
 
@@ -256,14 +416,15 @@ def complete_or_direct(
     client: ClientFactory = EchoClient,
     **options,
 ) -> DataFrame:
-    """(run_id, kind, answer): questions at ``depth >= max_depth`` get one direct call, others the loop."""
+    """(run_id, kind, answer, usage, seconds, n_errors): questions at ``depth >= max_depth`` get one direct call, others the loop."""
     direct = questions.where(F.col("depth") >= max_depth).select(
         "run_id", F.col(prompt).alias("prompt")
     )
-    shared = {k: v for k, v in options.items() if k in ("model", "concurrency", "partitions", "setup")}
-    answered = materialise(errors_as_values(ask(direct, client, **shared)), "direct").select(
-        "run_id", F.lit("DIRECT").alias("kind"), "answer"
-    )
+    shared = {k: v for k, v in options.items() if k in ("model", "concurrency", "partitions", "setup", "limits")}
+    answered = materialise(errors_as_values(ask(direct, client, **shared)), "direct")
+    ledger = UsageLedger(["run_id"])
+    ledger.add(answered)
+    answered = ledger.attach(answered.select("run_id", F.lit("DIRECT").alias("kind"), "answer"))
     deep = questions.where(F.col("depth") < max_depth)
     looped = batch_complete(deep, client=client, **options).answers
-    return looped.select("run_id", "kind", "answer").unionByName(answered)
+    return looped.select("run_id", "kind", "answer", *USAGE_COLUMNS).unionByName(answered)

@@ -4,9 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtext.functions.messages import render_prompt, turn_prompt
-from loomtext.models import AsyncEchoClient, Completion, EchoClient, FailingClient, RuleClient, prompt_text
+from loomtext.functions.messages import (
+    FIRST_TURN,
+    GENERAL_PROMPT,
+    LATER_TURN,
+    QUESTION_PROMPT,
+    render_prompt,
+    turn_prompt,
+)
+from loomtext.models import (
+    AsyncDigestClient,
+    Completion,
+    DigestClient,
+    EchoClient,
+    FailingClient,
+    RuleClient,
+    prompt_text,
+)
 from loomtext.operators.asking import (
+    Limits,
     ask,
     ask_stored,
     completion_records,
@@ -27,11 +43,14 @@ from loomtext.operators.requests import (
     still_active,
     validate_requests,
 )
-from loomtext.operators.trajectories import explode_locals
-from loomtext.plans.iterate import batch_complete, complete_or_direct
+from loomtext.operators.trajectories import explode_locals, run_summary
+from loomtext.operators.usage import explode_usage
+from loomtext.plans.iterate import asking_step, batch_complete, complete_or_direct
 from loomtext.schema import RESULT
+from loomtext.scratch import materialise, scratch_path
+from loomtext.sources.runlogs import read_trajectories, write_trajectories
 from loomtext.suite.context_queries import CHUNKS_SQL, doc_parts
-from loomtext.suite.fixtures import CALLS_SQL, calls, echo_sql, with_ctes
+from loomtext.suite.fixtures import CALLS_SQL, calls, digest_sql, echo_sql, sql_text, with_ctes
 from loomtext.suite.registry import query
 
 QUESTION = "What is said"
@@ -60,13 +79,11 @@ def ask1(t):
     return placed.select("source", "doc_id", F.md5(prompt).alias("digest"))
 
 
-TURN_SQL = """
+TURN_SQL = f"""
 SELECT conv_id, turn, md5(
-  CASE WHEN turn = 0 THEN 'You have not interacted with the REPL environment or seen your prompt / context yet. Your next action should be to look through and figure out how to answer the prompt, so don''t just provide a final answer yet.' || chr(10) || chr(10)
-    ELSE 'The history before is your previous interactions with the REPL environment. ' END
-  || 'Think step-by-step on what to do using the REPL environment (which contains the context) to answer the '
-  || CASE WHEN role = 'user' THEN 'original prompt: "' || text || '"' ELSE 'prompt' END
-  || '.' || chr(10) || chr(10) || 'Continue using the REPL environment, which has the `context` variable, and querying sub-LLMs by writing to ```repl``` tags, and determine your answer. Your next action:') AS digest
+  CASE WHEN turn = 0 THEN {sql_text(FIRST_TURN)} ELSE {sql_text(LATER_TURN)} END
+  || CASE WHEN role = 'user' THEN replace({sql_text(QUESTION_PROMPT)}, '{{question}}', text)
+          ELSE {sql_text(GENERAL_PROMPT)} END) AS digest
 FROM conversations
 """
 
@@ -82,13 +99,13 @@ def ask2(t):
 @query(
     "ask3_ask",
     f"""
-    SELECT doc_id, 'small' AS root_model, {echo_sql("text")} AS response, CAST(NULL AS VARCHAR) AS error,
+    SELECT doc_id, 'small' AS root_model, {digest_sql("text")} AS response, CAST(NULL AS VARCHAR) AS error,
       CAST(1 AS BIGINT) AS calls, CAST(10 AS BIGINT) AS input_tokens, CAST(10 AS BIGINT) AS output_tokens
     FROM documents
     """,
 )
 def ask3(t):
-    asked = ask(t.documents.select("doc_id", "text"), prompt="text", model="small")
+    asked = ask(t.documents.select("doc_id", "text"), DigestClient, prompt="text", model="small")
     return asked.drop("seconds")
 
 
@@ -96,39 +113,37 @@ def ask3(t):
     "ask4_ask_batched",
     f"""
     WITH {CHUNKS_SQL}
-    SELECT doc_id, chunk_idx, {echo_sql("'Q: ' || chunk")} AS response FROM chunks
+    SELECT doc_id, chunk_idx, {digest_sql("('Q: ' || chunk)")} AS response FROM chunks
     """,
 )
 def ask4(t):
     prompts = doc_chunks(t).select(
         "doc_id", "chunk_idx", render_prompt("Q: {chunk}").alias("prompt")
     )
-    return ask(prompts, concurrency=8, partitions=8).select("doc_id", "chunk_idx", "response")
+    return ask(prompts, DigestClient, concurrency=8, partitions=8).select("doc_id", "chunk_idx", "response")
 
 
 @query(
     "ask4_ask_stored",
-    f"SELECT doc_id, {echo_sql('text')} AS response FROM documents",
+    f"SELECT doc_id, {digest_sql('text')} AS response FROM documents",
 )
 def ask4_stored(t):
     asked = ask_stored(
-        t.documents.select("doc_id", "text"), request_id="doc_id", rounds=2, prompt="text"
-    )
+        t.documents.select("doc_id", "text"), request_id="doc_id", rounds=2, client=DigestClient,
+        prompt="text",
+    )
     return asked.select("doc_id", "response")
 
 
 @query(
     "ask4_message_lists",
-    """
-    SELECT conv_id, turn, 'Mock response to: ' || substr('Be brief.' || chr(10) || text, 1, 50) AS response
-    FROM conversations
-    """,
+    f"SELECT conv_id, turn, {digest_sql("('Be brief.' || chr(10) || text)")} AS response FROM conversations",
 )
 def ask4_messages(t):
     system = F.struct(F.lit("system").alias("role"), F.lit("Be brief.").alias("content"))
     own = F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))
     prompts = t.conversations.select("conv_id", "turn", F.array(system, own).alias("prompt"))
-    return ask(prompts).select("conv_id", "turn", "response")
+    return ask(prompts, DigestClient).select("conv_id", "turn", "response")
 
 
 def _event_prompts(t):
@@ -194,14 +209,14 @@ def ask6(t):
 @query(
     "ask6_completion_struct",
     f"""
-    SELECT doc_id, 'm' AS root_model, md5(text) AS digest, {echo_sql("text")} AS response,
+    SELECT doc_id, 'm' AS root_model, md5(text) AS digest, {digest_sql("text")} AS response,
       CAST(1 AS BIGINT) AS total_calls, CAST(20 AS BIGINT) AS tokens
     FROM documents
     """,
 )
 def ask6_struct(t):
     source = t.documents.select("doc_id", "text", F.col("text").alias("prompt"))
-    packed = ask(source, model="m").select(
+    packed = ask(source, DigestClient, model="m").select(
         "doc_id", completion_struct(F.col("text")).alias("c")
     )
     usage = F.col("c.usage")["m"]
@@ -217,18 +232,18 @@ def ask6_struct(t):
 
 @query(
     "udf1_async_client",
-    f"SELECT doc_id, {echo_sql('text')} AS response FROM documents",
+    f"SELECT doc_id, {digest_sql('text')} AS response FROM documents",
 )
 def udf1(t):
-    asked = ask(t.documents.select("doc_id", "text"), AsyncEchoClient, prompt="text")
+    asked = ask(t.documents.select("doc_id", "text"), AsyncDigestClient, prompt="text")
     return asked.select("doc_id", "response")
 
 
 @query(
     "udf3_round_step",
     """
-    SELECT conv_id AS run_id, CAST(i AS BIGINT) AS block_idx, 'a' || i AS name, CAST(6 AS BIGINT) AS value
-    FROM (SELECT conv_id, unnest(range(2)) AS i FROM conversations WHERE turn = 1)
+    SELECT run_id, CAST(i AS BIGINT) AS block_idx, 'a' || i AS name, CAST(6 AS BIGINT) AS value
+    FROM (SELECT conv_id * 1000 + turn AS run_id, unnest(range(2)) AS i FROM conversations)
     """,
 )
 def udf3(t):
@@ -249,11 +264,11 @@ def udf3(t):
 
 @query(
     "udf4_scripted_model",
-    "SELECT doc_id, CAST(length(text) AS VARCHAR) || ':' || right(text, 30) AS response FROM documents",
+    "SELECT doc_id, CAST(length(text) AS VARCHAR) || ':' || reverse(text) AS response FROM documents",
 )
 def udf4(t):
-    asked = ask(t.documents.select("doc_id", "text"), DigestClient, prompt="text")
-    return asked.select("doc_id", "response")
+    client = lambda: RuleClient(lambda prompt: f"{len(prompt)}:{prompt[::-1]}")
+    return ask(t.documents.select("doc_id", "text"), client, prompt="text").select("doc_id", "response")
 
 
 class CountingClient(EchoClient):
@@ -263,7 +278,7 @@ class CountingClient(EchoClient):
 
     def complete(self, prompt, model):
         state = "ready" if CountingClient.ready else "not ready"
-        return Completion(f"{state} {prompt_text(prompt)[:10]}", 1, 1)
+        return Completion(f"{state} {prompt_text(prompt)}", 1, 1)
 
 
 def _make_ready():
@@ -272,7 +287,7 @@ def _make_ready():
 
 @query(
     "udf2_setup_hook",
-    "SELECT doc_id, 'ready ' || substr(text, 1, 10) AS response FROM documents",
+    "SELECT doc_id, 'ready ' || text AS response FROM documents",
 )
 def udf2(t):
     asked = ask(
@@ -381,8 +396,8 @@ def jn4_long(t):
     "agg9_map_reduce_answer",
     f"""
     WITH {CHUNKS_SQL},
-    a AS (SELECT source, string_agg({echo_sql("chunk")}, chr(10) ORDER BY doc_id, chunk_idx) AS answers, count(*) AS n FROM chunks GROUP BY 1)
-    SELECT source AS ctx_id, n AS n_chunks, {echo_sql(f"answers || '{QUESTION}'")} AS answer FROM a
+    a AS (SELECT source, string_agg({digest_sql("chunk")}, chr(10) ORDER BY doc_id, chunk_idx) AS answers, count(*) AS n FROM chunks GROUP BY 1)
+    SELECT source AS ctx_id, n AS n_chunks, {digest_sql(f"(answers || '{QUESTION}')")} AS answer FROM a
     """,
 )
 def agg9(t):
@@ -390,6 +405,7 @@ def agg9(t):
     answers = map_reduce_answer(
         chunks,
         QUESTION,
+        DigestClient,
         order=["doc_id", "chunk_idx"],
         chunk_template="{chunk}",
         combine_template="{answers}{query}",
@@ -398,17 +414,6 @@ def agg9(t):
     return counts.join(answers, "ctx_id").select("ctx_id", "n_chunks", "answer")
 
 
-class DigestClient(RuleClient):
-    """Answers with the length of the prompt and its last 30 characters, so all of it counts."""
-
-    def __init__(self):
-        super().__init__(lambda prompt: f"{len(prompt_text(prompt))}:{prompt_text(prompt)[-30:]}")
-
-
-def digest_sql(prompt: str) -> str:
-    return f"(length({prompt}) || ':' || right({prompt}, 30))"
-
-
 def _budget_sql(budget: int, rounds: int = 4) -> str:
     """Reduction in pieces: a key leaves at the first round that has one piece for it."""
     steps, results = [], []
@@ -446,7 +451,7 @@ def agg9_budget(t):
         chunk_template="{chunk}",
         combine_template="{answers}",
         budget=4000,
-    )
+    ).select("ctx_id", "answer")
 
 
 @query(
@@ -469,7 +474,7 @@ def agg10(t):
         key="doc_id",
         section_template="{header}{body}",
         combine_template="{answers}",
-    )
+    ).select("doc_id", "answer")
 
 
 def _tree_sql(fan_in: int, max_depth: int) -> str:
@@ -497,7 +502,8 @@ def _tree_sql(fan_in: int, max_depth: int) -> str:
 
 @query("agg11_tree_reduce", _tree_sql(8, 5))
 def agg11(t):
-    return tree_reduce(doc_parts(t), 8, 5, QUESTION, DigestClient, template="{answers}")
+    reduced = tree_reduce(doc_parts(t), 8, 5, QUESTION, DigestClient, template="{answers}")
+    return reduced.select("ctx_id", "answer", "depth")
 
 
 @query(
@@ -510,7 +516,8 @@ def agg11(t):
     """,
 )
 def agg11_bound(t):
-    return tree_reduce(doc_parts(t), 8, 1, QUESTION, DigestClient, template="{answers}")
+    reduced = tree_reduce(doc_parts(t), 8, 1, QUESTION, DigestClient, template="{answers}")
+    return reduced.select("ctx_id", "answer", "depth")
 
 
 @query(
@@ -530,24 +537,95 @@ def agg11_bound(t):
     """,
 )
 def agg12(t):
+    return _folded(t).select("ctx_id", "n_sections", "buffer")
+
+
+def _folded(t):
     return fold_sections(
         doc_parts(t),
         QUESTION,
         DigestClient,
         step_template="{section_no}/{n_sections}{buffer}|{section}",
         last_template="last{buffer}|{section}",
+        model="m",
     )
 
 
+@query(
+    "agg12_usage",
+    """
+    SELECT source AS ctx_id, 'm' AS model, count(*) AS total_calls, 10 * count(*) AS input_tokens,
+           10 * count(*) AS output_tokens, CAST(0 AS BIGINT) AS n_errors
+    FROM documents GROUP BY 1
+    """,
+)
+def agg12_usage(t):
+    folded = _folded(t)
+    return explode_usage(folded, ["ctx_id", "n_errors"])
+
+
+@query(
+    "agg9_usage",
+    f"""
+    WITH {CHUNKS_SQL},
+    rounds AS (
+      SELECT source, count(*) AS n, count(*) FILTER (WHERE contains(chunk, 'e')) AS bad FROM chunks GROUP BY 1)
+    SELECT source AS ctx_id, 'm' AS model, n - bad + 1 AS total_calls, 10 * (n - bad + 1) AS input_tokens,
+           10 * (n - bad + 1) AS output_tokens, bad AS n_errors
+    FROM rounds
+    """,
+)
+def agg9_usage(t):
+    """Every call of a key counts, that of its chunks and the one that combines them; failed ones cost nothing."""
+    answers = map_reduce_answer(
+        doc_chunks(t), QUESTION, lambda: FailingClient("e"), order=["doc_id", "chunk_idx"],
+        chunk_template="{chunk}", combine_template="all", model="m",
+    )
+    return explode_usage(answers, ["ctx_id", "n_errors"])
+
+
+class FlakyClient(DigestClient):
+    """Fails on the first attempt at a prompt."""
+
+    def __init__(self):
+        self.seen = set()
+
+    def complete(self, prompt, model):
+        text = prompt_text(prompt)
+        if text not in self.seen:
+            self.seen.add(text)
+            raise ConnectionError("try again")
+        return super().complete(prompt, model)
+
+
+@query(
+    "ask4_retry",
+    f"""
+    SELECT doc_id, CASE WHEN contains(text, '!') THEN 'failed' END AS first_error,
+           {digest_sql("text")} AS response, CAST(NULL AS VARCHAR) AS error
+    FROM documents
+    """,
+)
+def ask4_retry(t):
+    """A first run leaves failures in the store; a second asks them again, with a retry each."""
+    store = scratch_path(t.spark, "retry")
+    prompts = t.documents.select("doc_id", F.col("text").alias("prompt"))
+    first = ask_stored(prompts, "doc_id", store, client=lambda: FailingClient("!", DigestClient()))
+    failed = materialise(first.select("doc_id", F.col("error").alias("first_error")), "failed")
+    limits = Limits(retries=1, backoff=0.0)
+    then = ask_stored(prompts, "doc_id", store, client=FlakyClient, limits=limits)
+    return then.select("doc_id", "response", "error").join(failed, "doc_id")
+
+
 def scripted_reply(prompt) -> str:
-    """Works for as many turns as the question's length says, then answers with its beginning."""
+    """Works for as many turns as the question's length says, then answers with its digest."""
     question = prompt[1]["content"]
     done = sum(part["content"].startswith("Code executed:") for part in prompt)
     if done < len(question) % 4:
         return f"Turn {done}\n```repl\nn{done} = {done}\n```"
     if len(question) % 8 >= 4:
         return "FINAL_VAR('n0')" if done else "FINAL_VAR(missing)"
-    return f"FINAL({question[:20].replace(')', '')})"
+    return f"FINAL({DigestClient().complete(question, None).response})"
 
 
 def counting_step(blocks):
@@ -564,27 +642,29 @@ def counting_step(blocks):
 
 
 def _questions(t):
-    return t.conversations.where("turn = 1").select(
-        F.col("conv_id").alias("run_id"),
+    """Every turn of every conversation is the context of a question."""
+    return t.conversations.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("run_id"),
         F.lit("Say something.").alias("question"),
         F.col("text").alias("context_line"),
     )
 
 
-LOOP_SQL = """
-q AS (SELECT conv_id AS run_id, text, length(text) % 4 AS turns, length(text) % 8 >= 4 AS variable
-      FROM conversations WHERE turn = 1),
+LOOP_SQL = f"""
+q AS (SELECT conv_id * 1000 + turn AS run_id, text, length(text) % 4 AS turns, length(text) % 8 >= 4 AS variable
+      FROM conversations),
 done AS (
-  SELECT run_id, CASE WHEN turns >= {limit} THEN 'DEFAULT' WHEN variable THEN 'FINAL_VAR' ELSE 'FINAL' END AS kind,
-    CASE WHEN turns >= {limit} AND turns > {limit} THEN 'Turn ' || {limit} || chr(10) || '```repl' || chr(10) || 'n' || {limit} || ' = ' || {limit} || chr(10) || '```'
-      WHEN turns >= {limit} AND variable THEN CASE WHEN {limit} > 0 THEN 'FINAL_VAR(''n0'')' ELSE 'FINAL_VAR(missing)' END
-      WHEN turns >= {limit} THEN 'FINAL(' || replace(substr(text, 1, 20), ')', '') || ')'
+  SELECT run_id, CASE WHEN turns >= {{limit}} THEN 'DEFAULT' WHEN variable THEN 'FINAL_VAR' ELSE 'FINAL' END AS kind,
+    CASE WHEN turns >= {{limit}} AND turns > {{limit}} THEN 'Turn ' || {{limit}} || chr(10) || '```repl' || chr(10) || 'n' || {{limit}} || ' = ' || {{limit}} || chr(10) || '```'
+      WHEN turns >= {{limit}} AND variable THEN CASE WHEN {{limit}} > 0 THEN 'FINAL_VAR(''n0'')' ELSE 'FINAL_VAR(missing)' END
+      WHEN turns >= {{limit}} THEN 'FINAL(' || {digest_sql("text")} || ')'
       WHEN variable THEN CASE WHEN turns > 0 THEN '6' END
-      ELSE trim(replace(substr(text, 1, 20), ')', ''), ' ' || chr(10) || chr(9) || chr(13)) END AS answer,
-    CASE WHEN turns < {limit} AND variable AND turns = 0 THEN 'Error: Variable ''missing'' not found' END AS error,
-    CAST(CASE WHEN turns >= {limit} THEN {limit} ELSE turns + 1 END AS BIGINT) AS n_iterations
+      ELSE {digest_sql("text")} END AS answer,
+    CASE WHEN turns < {{limit}} AND variable AND turns = 0 THEN 'Error: Variable ''missing'' not found' END AS error,
+    CAST(CASE WHEN turns >= {{limit}} THEN {{limit}} ELSE turns + 1 END AS BIGINT) AS n_iterations
   FROM q)
 """
+ANSWER_COLUMNS = ["run_id", "kind", "answer", "error", "n_iterations"]
 
 
 def _looped(t, limit):
@@ -598,7 +678,76 @@ def _looped(t, limit):
     "WITH " + LOOP_SQL.format(limit=5) + "SELECT run_id, kind, answer, error, n_iterations FROM done",
 )
 def itr1(t):
-    return _looped(t, 5).answers
+    return _looped(t, 5).answers.select(*ANSWER_COLUMNS)
+
+
+@query(
+    "itr1_usage",
+    "WITH "
+    + LOOP_SQL.format(limit=2)
+    + """
+    SELECT run_id, 'unknown' AS model, n AS total_calls, 10 * n AS input_tokens, 10 * n AS output_tokens,
+      CAST(0 AS BIGINT) AS n_errors
+    FROM (SELECT run_id, CASE WHEN kind = 'DEFAULT' THEN n_iterations + 1 ELSE n_iterations END AS n FROM done)
+    """,
+)
+def itr1_usage(t):
+    return explode_usage(_looped(t, 2).answers, ["run_id", "n_errors"])
+
+
+def _asking_reply(prompt) -> str:
+    """Asks two sub-questions about the context in its first turn, then answers with what came back."""
+    last = prompt[-2]["content"]
+    if not last.startswith("Code executed:"):
+        return "```repl\nfirst = llm_query(\"one \\\"%s\\\"\")\nllm_query(\"two\")\n```" % len(prompt[1]["content"])
+    return f"FINAL({last.split('REPL output:')[1].strip().splitlines()[0]})"
+
+
+def _asked_runs(t):
+    step = asking_step(DigestClient, default_model="small")
+    return batch_complete(
+        _questions(t), step, lambda: RuleClient(_asking_reply), max_iterations=3, model="large"
+    )
+
+
+@query(
+    "itr1_subcalls",
+    f"""
+    SELECT conv_id * 1000 + turn AS run_id, 'FINAL' AS kind,
+      {digest_sql("('one ' || chr(34) || length(text) || chr(34))")} AS answer, 'large' AS model,
+      CAST(2 AS BIGINT) AS total_calls FROM conversations
+    UNION ALL
+    SELECT conv_id * 1000 + turn, 'FINAL', {digest_sql("('one ' || chr(34) || length(text) || chr(34))")}, 'small',
+      2 FROM conversations
+    """,
+)
+def itr1_subcalls(t):
+    spent = explode_usage(_asked_runs(t).answers, ["run_id", "kind", "answer"])
+    return spent.select("run_id", "kind", "answer", "model", "total_calls")
+
+
+@query(
+    "itr1_logged_summary",
+    f"""
+    SELECT conv_id * 1000 + turn AS run, CAST(2 AS BIGINT) AS n_iterations, CAST(1 AS BIGINT) AS n_blocks,
+      CAST(2 AS BIGINT) AS n_calls, false AS has_errors, true AS completed,
+      {digest_sql("('one ' || chr(34) || length(text) || chr(34))")} AS final_answer
+    FROM conversations
+    """,
+)
+def itr1_logged(t):
+    """The loop's log is written, read back and rolled up."""
+    outcome = _asked_runs(t)
+    path = scratch_path(t.spark, "logs")
+    text_id = F.col("run_id").cast("string")
+    write_trajectories(
+        outcome.configs.withColumn("run_id", text_id), outcome.logged().withColumn("run_id", text_id), path, packed=True
+    )
+    _, iterations, _ = read_trajectories(t.spark, path)
+    return run_summary(iterations).select(
+        F.col("run_id").cast("long").alias("run"), "n_iterations", "n_blocks", "n_calls",
+        "has_errors", "completed", "final_answer",
+    )
 
 
 @query(
@@ -606,7 +755,7 @@ def itr1(t):
     "WITH " + LOOP_SQL.format(limit=2) + "SELECT run_id, kind, answer, error, n_iterations FROM done",
 )
 def itr2(t):
-    return _looped(t, 2).answers
+    return _looped(t, 2).answers.select(*ANSWER_COLUMNS)
 
 
 @query(
@@ -651,4 +800,4 @@ def itr3(t):
         client=lambda: RuleClient(reply),
         step=counting_step,
         max_iterations=5,
-    )
+    ).select("run_id", "kind", "answer")

@@ -12,6 +12,16 @@ from loomtext.suite.registry import Tables
 ECHO_SQL = "('Mock response to: ' || substr({prompt}, 1, 50))"
 
 
+def sql_text(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def digest_sql(prompt: str) -> str:
+    """SQL of the digest client's answer to ``prompt``."""
+    return f"(length({prompt}) || ':' || md5({prompt}))"
+
+
 def echo_sql(prompt: str) -> str:
     """SQL of the echo client's answer to ``prompt``."""
     return ECHO_SQL.format(prompt=prompt)

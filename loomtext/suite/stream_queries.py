@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomtext.models import DigestClient
 from loomtext.operators.trajectories import iteration_stats
 from loomtext.scratch import scratch_path
 from loomtext.sources.runlogs import latest_runs
@@ -12,7 +13,7 @@ from loomtext.streaming.progress import run_progress
 from loomtext.streaming.requests import stream_ask, stream_match_timeouts
 from loomtext.streaming.runner import drain
 from loomtext.streaming.usage import stream_usage
-from loomtext.suite.fixtures import CALLS_SQL, RUN_FILE_SQL, echo_sql, with_ctes
+from loomtext.suite.fixtures import CALLS_SQL, RUN_FILE_SQL, digest_sql, with_ctes
 from loomtext.suite.log_queries import STATS_SQL, UPSERT_SQL, write_logs
 from loomtext.suite.registry import query
 
@@ -59,7 +60,7 @@ def str2(t):
 @query(
     "str3_stream_ask",
     f"""
-    SELECT doc_id AS request_id, {echo_sql("text")} AS answer FROM documents
+    SELECT doc_id AS request_id, {digest_sql("text")} AS answer FROM documents
     """,
 )
 def str3(t):
@@ -69,7 +70,8 @@ def str3(t):
     # Every request arrives twice.
     repeated = requests.unionByName(requests)
     path = scratch_path(t.spark, "answers")
-    stream_ask(repeated, path, scratch_path(t.spark, "checkpoint")).awaitTermination()
+    checkpoint = scratch_path(t.spark, "checkpoint")
+    stream_ask(repeated, path, checkpoint, client=DigestClient).awaitTermination()
     return t.spark.read.parquet(path).select("request_id", "answer")
 
 

@@ -12,6 +12,7 @@ from loomtext.models import Completion, EchoClient, FailingClient, RuleClient, p
 from loomtext.operators.asking import NO_RESULT, ask, ask_stored, errors_as_values
 from loomtext.operators.history import assemble_prompts
 from loomtext.operators.reducing import (
+    NO_SHRINKING,
     fold_sections,
     map_reduce_answer,
     reduce_answers,
@@ -201,12 +202,21 @@ def test_map_reduce_in_pieces(spark):
     }
 
 
-def test_reduce_refuses_to_run_forever(spark):
-    answers = parts(spark, 30).withColumnRenamed("text", "answer")
-    with pytest.raises(ValueError, match="do not shrink"):
-        reduce_answers(
-            answers, ["ctx_id"], ["part_idx"], "{answers}", "q", lambda: RuleClient(lambda p: p), 5
-        )
+def test_reduce_ends_where_answers_do_not_shrink(spark):
+    """Such a key ends with an error; what others have paid for stays."""
+    def rule(prompt):
+        return prompt if "text" in prompt else prompt[:3]
+
+    answers = parts(spark, 30).withColumnRenamed("text", "answer").unionByName(
+        spark.createDataFrame([("short", i, "abcdef") for i in range(4)], "ctx_id string, part_idx long, answer string")
+    )
+    found = reduce_answers(
+        answers, ["ctx_id"], ["part_idx"], "{answers}", "q", lambda: RuleClient(rule), 12
+    ).collect()
+    by_key = {r["ctx_id"]: r for r in found}
+    assert set(by_key) == {"hot", "short", *(f"c{i}" for i in range(5))}
+    assert by_key.pop("short")["answer"] == "abc"
+    assert all(r["answer"] == f"Error: {NO_SHRINKING}" for r in by_key.values())
 
 
 @pytest.mark.parametrize("max_depth", [1, 2, 9])

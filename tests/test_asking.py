@@ -2,6 +2,8 @@
 
 import asyncio
 import sys
+import time
+from collections import Counter
 
 import pytest
 from pyspark import cloudpickle
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.messages import CLOSING_PROMPT, render_prompt
 from loomtext.models import Completion, EchoClient, FailingClient, RuleClient, prompt_text
-from loomtext.operators.asking import NO_RESULT, ask, ask_stored, errors_as_values
+from loomtext.operators.asking import NO_RESULT, Limits, ask, ask_stored, errors_as_values
 from loomtext.operators.history import assemble_prompts
 from loomtext.operators.reducing import (
     NO_SHRINKING,
@@ -19,9 +21,11 @@ from loomtext.operators.reducing import (
     tree_reduce,
 )
 from loomtext.operators.requests import route_model, validate_requests, zip_results
-from loomtext.plans.iterate import batch_complete
+from loomtext.operators.trajectories import run_summary
+from loomtext.plans.iterate import asking_step, batch_complete, quoted_requests
 from loomtext.scratch import scratch_path
 from loomtext.sources.contexts import split_system, to_messages
+from loomtext.sources.runlogs import read_trajectories, write_trajectories
 
 # Workers cannot import test modules.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -365,3 +369,219 @@ def test_fold_takes_an_async_client(spark):
 
     parts = spark.createDataFrame([("a", 0, "x")], "ctx_id string, part_idx long, text string")
     assert fold_sections(parts, "q", Later).first()["buffer"].startswith("<")
+
+
+class HangingClient:
+    """Hangs on some prompts, fails on others, answers the rest."""
+
+    def complete(self, prompt, model):
+        if prompt.endswith("7"):
+            time.sleep(60)
+        if prompt.endswith("3"):
+            raise RuntimeError("broken")
+        return Completion(prompt.upper(), 1, 2)
+
+
+class HangingAsyncClient:
+    async def acomplete(self, prompt, model):
+        if prompt.endswith("7"):
+            await asyncio.sleep(60)
+        return HangingClient().complete(prompt, model)
+
+
+@pytest.mark.parametrize("client", [HangingClient, HangingAsyncClient])
+@pytest.mark.parametrize("concurrency", [1, 4])
+def test_a_hanging_call_ends_as_an_error(spark, client, concurrency):
+    started = time.time()
+    asked = ask(prompts(spark, 20).coalesce(2), client, concurrency=concurrency, limits=Limits(timeout=0.5))
+    rows = {r["prompt_no"]: r for r in asked.select(F.col("id").alias("prompt_no"), "*").collect()}
+    assert time.time() - started < 30
+    assert len(rows) == 20
+    for number, row in rows.items():
+        if number % 10 == 7:
+            assert row["error"] == "No answer within 0.5 seconds." and row["seconds"] >= 0.4
+            assert row["response"] is None and row["calls"] is None
+        elif number % 10 == 3:
+            assert row["error"] == "broken"
+        else:
+            assert row["error"] is None and row["response"].endswith(str(number % 10))
+
+
+class ThirdTimeClient:
+    """Answers a prompt at the third attempt."""
+
+    def __init__(self):
+        self.attempts = Counter()
+
+    def complete(self, prompt, model):
+        self.attempts[prompt] += 1
+        if self.attempts[prompt] < 3:
+            raise RuntimeError(f"attempt {self.attempts[prompt]}")
+        return Completion("done")
+
+
+class ThirdTimeAsyncClient(ThirdTimeClient):
+    async def acomplete(self, prompt, model):
+        return self.complete(prompt, model)
+
+
+@pytest.mark.parametrize("client", [ThirdTimeClient, ThirdTimeAsyncClient])
+def test_retries_are_bounded(spark, client):
+    for retries, expected in ((1, {("attempt 2", None)}), (2, {(None, "done")})):
+        asked = ask(prompts(spark, 12), client, limits=Limits(retries=retries, backoff=0.01))
+        assert {(r["error"], r["response"]) for r in asked.collect()} == expected
+
+
+def test_pauses_are_keyed_and_grow():
+    limits = Limits(backoff=2.0)
+    assert limits.pause("a", 1) == limits.pause("a", 1) != limits.pause("b", 1)
+    for attempt in (1, 2, 3):
+        assert 2 ** (attempt - 1) <= limits.pause("a", attempt) / 1.0 <= 3 * 2 ** (attempt - 1)
+
+
+def test_rate_of_a_task(spark):
+    started = time.time()
+    asked = ask(prompts(spark, 10).coalesce(1), concurrency=8, limits=Limits(per_second=10.0))
+    assert asked.count() == 10
+    asked.collect()
+    assert time.time() - started > 0.9
+
+
+class SleepingClient:
+    def complete(self, prompt, model):
+        time.sleep(0.05)
+        return Completion(prompt[-5:], 1, 1)
+
+
+class SleepingAsyncClient:
+    async def acomplete(self, prompt, model):
+        await asyncio.sleep(0.05)
+        return Completion(prompt[-5:], 1, 1)
+
+
+@pytest.mark.parametrize("client", [SleepingClient, SleepingAsyncClient])
+def test_folds_of_a_task_go_side_by_side(spark, client):
+    n = 200
+    rows = [(f"c{i}", k, f"text {i} {k}") for i in range(n) for k in range(5)]
+    sections = spark.createDataFrame(rows, "ctx_id string, part_idx long, text string")
+    fold_sections(sections.limit(5), "q", client).collect()
+    started = time.time()
+    folded = fold_sections(
+        sections, "q", client, step_template="{buffer}|{section}", last_template="{section}", concurrency=32
+    )
+    found = folded.collect()
+    assert time.time() - started < n * 5 * 0.05 / 5
+    assert len(found) == n and all(r["n_sections"] == 5 for r in found)
+    assert {r["ctx_id"]: r["buffer"] for r in found} == {f"c{i}": f"text {i} 4"[-5:] for i in range(n)}
+    assert {tuple(r["usage"]["unknown"]) for r in found} == {(5, 5, 5)}
+
+
+def test_usage_rides_through_every_round(spark):
+    """Two models, missing tokens, failures and NULL keys; calls of all rounds are added up by key."""
+    rows = [(None if i % 5 == 0 else f"k{i % 3}", i, f"text {i}") for i in range(40)]
+    chunks = spark.createDataFrame(rows, "ctx_id string, chunk_idx long, chunk string")
+
+    def reply(prompt):
+        if prompt == "text 7":
+            raise ValueError("failed")
+        return prompt[:6]
+
+    found = map_reduce_answer(
+        chunks, "q", lambda: RuleClient(reply), chunk_template="{chunk}", combine_template="{answers}", budget=21, model="m"
+    ).collect()
+    assert {r["ctx_id"] for r in found} == {None, "k0", "k1", "k2"}
+    expected = {}
+    for key, _, text in rows:
+        expected.setdefault(key, []).append(text)
+    for r in found:
+        answers, calls, failed = [], 0, 0
+        for text in expected[r["ctx_id"]]:
+            bad = text == "text 7"
+            calls, failed = calls + (not bad), failed + bad
+            answers.append("Error: failed" if bad else reply(text))
+        while True:
+            pieces, used = {}, 0
+            for a in answers:
+                pieces.setdefault(used // 21, []).append(a)
+                used += len(a) + 1
+            answers = [reply("\n".join(p)) for p in pieces.values()]
+            calls += len(answers)
+            if len(answers) == 1:
+                break
+        assert tuple(r["usage"]["m"]) == (calls, 10 * calls, 10 * calls)
+        assert r["n_errors"] == failed and r["seconds"] >= 0
+
+
+def test_asking_step_routes_and_records(spark):
+    code = 'a = llm_query("say \\"hi\\"\\nnow")\nprint(1)\n  llm_query("back\\\\slash")\nb = llm_query(f"no")\na = llm_query("bad")'
+    blocks = spark.createDataFrame(
+        [("r", 1, 0, code), ("r", 1, 1, "x = 1"), (None, 2, 0, 'z = llm_query("")')],
+        "run_id string, iteration long, block_idx int, code string",
+    )
+    registry = spark.createDataFrame([("small",)], "model string")
+
+    def wanted(rows):
+        return quoted_requests(rows).withColumn("model", F.when(F.col("call_idx") == 0, "small").otherwise("gone"))
+
+    step = asking_step(lambda: FailingClient("bad"), wanted, registry, "large")
+    found = {(r["run_id"], r["block_idx"]): r["result"] for r in step(blocks).collect()}
+    first = found["r", 0]
+    assert [c["prompt"] for c in first["rlm_calls"]] == ['say "hi"\nnow', "back\\slash", "bad"]
+    assert [c["root_model"] for c in first["rlm_calls"]] == ["small", "large", "large"]
+    answers = [c["response"] for c in first["rlm_calls"]]
+    assert answers == ['Mock response to: say "hi"\nnow', "Mock response to: back\\slash", "Error: failed"]
+    assert first["stdout"] == "\n".join(answers)
+    assert {k: v.toPython() for k, v in first["locals"].items()} == {"a": "Error: failed"}
+    assert first["rlm_calls"][0]["usage"]["small"]["total_calls"] == 1
+    assert found["r", 1]["rlm_calls"] == [] and found["r", 1]["stdout"] == ""
+    assert [c["prompt"] for c in found[None, 0]["rlm_calls"]] == [""]
+
+
+def test_loop_to_log_to_summary(spark, tmp_path):
+    questions = spark.createDataFrame(
+        [("one", "how many?", "ctx"), ("never", "", None)], "run_id string, question string, context_line string"
+    )
+
+    def reply(prompt):
+        if "how many?" not in prompt[-1]["content"]:
+            return "no end"
+        done = any(p["content"].startswith("Code executed:") for p in prompt)
+        return "FINAL_VAR(n)" if done else '```repl\nn = llm_query("count")\n```'
+
+    outcome = batch_complete(
+        questions, asking_step(EchoClient, default_model="sub"), lambda: RuleClient(reply), max_iterations=2, model="root"
+    )
+    answers = {r["run_id"]: r for r in outcome.answers.collect()}
+    assert answers["one"]["answer"] == "Mock response to: count"
+    assert {m: u["total_calls"] for m, u in answers["one"]["usage"].items()} == {"root": 2, "sub": 1}
+    assert {m: u["total_calls"] for m, u in answers["never"]["usage"].items()} == {"root": 3}
+    path = str(tmp_path / "logs")
+    write_trajectories(outcome.configs, outcome.logged(), path, packed=True)
+    configs, iterations, bad = read_trajectories(spark, path)
+    assert bad.count() == 0
+    assert {(r["run_id"], r["root_model"], r["max_iterations"]) for r in configs.collect()} == {
+        ("one", "root", 2), ("never", "root", 2),
+    }
+    rows = {(r["run_id"], r["iteration"]): r for r in iterations.collect()}
+    assert set(rows) == {("one", 1), ("one", 2), ("never", 1), ("never", 2), ("never", 3)}
+    first, second = rows["one", 1], rows["one", 2]
+    assert [m["role"] for m in first["prompt"]] == ["system", "assistant", "user"]
+    assert [m["role"] for m in second["prompt"]] == ["system", "assistant", "assistant", "user", "user"]
+    assert second["prompt"][2]["content"] == first["response"]
+    assert first["code_blocks"][0]["result"]["rlm_calls"][0]["prompt"] == "count"
+    assert rows["never", 3]["prompt"][-1]["content"] == CLOSING_PROMPT
+    assert all(r["ts"] is not None and r["iteration_time"] >= 0 for r in rows.values())
+    summary = {r["run_id"]: r for r in run_summary(iterations).collect()}
+    assert (summary["one"]["n_iterations"], summary["one"]["n_calls"], summary["one"]["completed"]) == (2, 1, True)
+    assert summary["never"]["final_answer"] == "no end"
+
+
+def test_failed_stored_answers_are_asked_again(spark):
+    store = scratch_path(spark, "store")
+    first = ask_stored(prompts(spark, 12), "id", store, client=lambda: FailingClient("1"))
+    before = {r["id"]: r["error"] for r in first.collect()}
+    assert set(before) == set(range(12)) and {i for i, e in before.items() if e} == {1, 10, 11}
+    then = {r["id"]: r for r in ask_stored(prompts(spark, 14), "id", store, client=lambda: FailingClient("11")).collect()}
+    assert set(then) == set(range(14)) and {i for i, r in then.items() if r["error"]} == {11}
+    last = ask_stored(prompts(spark, 14), "id", store, client=lambda: FailingClient("never"))
+    assert last.where("error IS NOT NULL").count() == 0 and last.count() == 14

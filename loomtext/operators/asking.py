@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.models import Client, ClientFactory, Completion, EchoClient
-from loomtext.scratch import scratch_path
+from loomtext.scratch import path_exists, scratch_path
 from loomtext.session import ship_package
 
 ANSWER_FIELDS = [
@@ -312,11 +312,6 @@ def ask_stored(
     return kept.where(~F.col("_failed") | (F.col("_run") == run)).drop("_run", "_failed")
 
 
-def path_exists(spark, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def errors_as_values(
     df: DataFrame, batch: str | None = None, batch_atomic: bool = False, prefix: str = "Error: "
 ) -> DataFrame:

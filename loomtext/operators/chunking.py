@@ -195,7 +195,6 @@ def pack_chars(
         ["ctx_id"],
         ["part_idx"],
         {"_upto": running_sum("_length"), "_rn": row_number()},
-        max(slice_rows, 1),
     )
     spans = scanned.select(
         "ctx_id",

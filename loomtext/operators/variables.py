@@ -56,6 +56,38 @@ def variables_as_of(
     )
 
 
+def all_variables_as_of(
+    variables: DataFrame,
+    moments: DataFrame,
+    order: list[str],
+    slice_rows: int | None = SLICE_ROWS,
+) -> DataFrame:
+    """For every row of ``moments`` (run_id and the order columns), what every name of its run that has been
+    assigned by then holds: (run_id, order, name, value).
+
+    One scan keyed by (run, name). A moment meets only the names that are alive in its run, so no more rows
+    are made than come out.
+    """
+    born = variables.groupBy("run_id", "name").agg(F.min(F.struct(*order)).alias("_born")).select(
+        F.col("run_id").alias("_run"), "name", "_born"
+    )
+    alive = F.col("run_id").eqNullSafe(F.col("_run")) & (F.struct(*order) >= F.col("_born"))
+    assigned = variables.select(
+        "run_id", "name", *order, F.struct("value").alias("_held"), F.lit(0).alias("_kind")
+    )
+    asked = moments.select("run_id", *order).join(born, alive).select(
+        "run_id", "name", *order,
+        F.lit(None).cast(assigned.schema["_held"].dataType).alias("_held"),
+        F.lit(1).alias("_kind"),
+    )
+    scanned = ordered_scan(
+        assigned.unionByName(asked), ["run_id", "name"], [*order, "_kind"], {"_now": last_seen("_held")}, slice_rows
+    )
+    return scanned.where(F.col("_kind") == 1).select(
+        "run_id", *order, "name", F.col("_now.value").alias("value")
+    )
+
+
 def clean_name(name):
     """A variable name as written in an answer, without blanks and quotes around it."""
     unquoted = strip_characters(strip_characters(strip_blanks(name), '"'), "'")

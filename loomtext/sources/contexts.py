@@ -11,6 +11,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from loomtext.functions.messages import MESSAGES, user_prompt
+from loomtext.functions.text import whole_division
+from loomtext.operators.chunking import chunk_fixed
+from loomtext.operators.ordering import ordered_scan, running_sum
+from loomtext.scratch import materialise
 from loomtext.session import ship_package
 from loomtext.sources.json_items import NotJson, as_text, field, items, opens_json
 
@@ -21,8 +25,17 @@ BATCH_ROWS = 10_000
 PART_COLUMNS = ["ctx_id", "part_idx", "part_key", "role", "text"]
 
 
-def read_context_text(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Text contexts, one part per file; the text is the file's exact content."""
+def read_context_text(
+    spark: SparkSession, path: str, part_chars: int | None = None, **options
+) -> DataFrame:
+    """Text contexts, one part per file; the text is the file's exact content.
+
+    With ``part_chars`` a file of any size becomes parts of fewer than twice as many characters, in order of
+    ``part_idx`` from 0, which joined without a separator are the file's text; an empty file gives no part.
+    Several tasks then read a large file, each a range of its bytes.
+    """
+    if part_chars is not None:
+        return _text_parts(spark, path, part_chars, options)
     files = spark.read.options(**options).text(path, wholetext=True)
     return files.select(
         F.col("_metadata.file_path").alias("ctx_id"),
@@ -34,6 +47,47 @@ def read_context_text(spark: SparkSession, path: str, **options) -> DataFrame:
     )
 
 
+def _text_parts(spark: SparkSession, path: str, part_chars: int, options: dict) -> DataFrame:
+    """Lines are what byte ranges can be cut into without splitting a character. A scan over their lengths
+    gives every line its place in the file, and lines are cut or joined by place."""
+    lines = spark.read.options(**options).text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("ctx_id"),
+        F.col("_metadata.file_size").alias("_size"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        # Rises within a block, which one task reads from start to end.
+        F.monotonically_increasing_id().alias("_row"),
+        F.col("value").alias("_line"),
+    ).select(
+        "*",
+        (F.length("_line").cast("long") + 1).alias("_chars"),
+        (F.octet_length("_line").cast("long") + 1).alias("_bytes"),
+    )
+    # Rows are numbered by the reader, so they are written before they are read a second time.
+    lines = materialise(lines, "lines")
+    placed = ordered_scan(
+        lines, ["ctx_id"], ["_block", "_row"], {"_upto": running_sum("_chars"), "_read": running_sum("_bytes")}
+    )
+    # The last line of a file has a line feed only if the bytes add up with it.
+    ended = F.when(F.col("_read") <= F.col("_size"), F.concat("_line", F.lit("\n"))).otherwise(F.col("_line"))
+    whole = placed.select("ctx_id", (F.col("_upto") - F.col("_chars")).alias("_start"), ended.alias("_text"))
+    cuts = chunk_fixed(whole, part_chars, "_text").select(
+        "ctx_id", (F.col("_start") + F.col("chunk_idx") * part_chars).alias("_at"), "chunk"
+    )
+    pieces = F.array_sort(F.collect_list(F.struct("_at", "chunk")))
+    return (
+        cuts.groupBy("ctx_id", whole_division(F.col("_at"), part_chars).alias("part_idx"))
+        .agg(pieces.alias("_pieces"))
+        .select(
+            "ctx_id",
+            "part_idx",
+            F.lit(None).cast("string").alias("part_key"),
+            F.lit(None).cast("string").alias("role"),
+            F.array_join(F.col("_pieces.chunk"), "").alias("text"),
+            F.lit("str").alias("kind"),
+        )
+    )
+
+
 def read_context_json(
     spark: SparkSession, path: str, lines: bool = False, ctx_id: str | None = None, **options
 ) -> DataFrame:

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomtext.functions.messages import MESSAGES
 from loomtext.schema import RAW_RECORD, USAGE
+from loomtext.scratch import materialise, path_exists
 
 #: Variables hold whole contexts, so strings of a log line may be of any length.
 ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
@@ -277,10 +279,18 @@ def write_trajectories(
 ) -> None:
     """Append logs below ``path``: one folder per run, named by ``run_id``, or packed.
 
-    Rows are range-partitioned by (run, line), so a long run spreads over several part files whose
-    names are in line order, and a stream sees each file once, complete.
+    A run gets its metadata line once, over all appends: runs that have theirs are listed in the folder's
+    manifest, a small table beside it. Lines are made once and then range-partitioned by
+    (run, line), so a long run spreads over several part files whose names are in line order, and a stream
+    sees each file once, complete. The manifest is written last: a run whose append was lost in between may get
+    its metadata line again, of which readers take one.
     """
-    lines = log_lines(configs, iterations, packed)
+    spark = iterations.sparkSession
+    manifest = f"{path.rstrip('/')}.manifest"
+    if path_exists(spark, manifest):
+        known = spark.read.schema(StructType([configs.schema["run_id"]])).parquet(manifest)
+        configs = configs.join(known, "run_id", "left_anti")
+    lines = materialise(log_lines(configs, iterations, packed), "lines")
     ordered = lines.repartitionByRange("run_id", "line_no").sortWithinPartitions(
         "run_id", "line_no"
     )
@@ -288,6 +298,7 @@ def write_trajectories(
         ordered.select("line").write.mode("append").text(f"{path}/packed.jsonl")
     else:
         ordered.select("run_id", "line").write.partitionBy("run_id").mode("append").text(path)
+    lines.where("line_no = 0").select("run_id").write.mode("append").parquet(manifest)
 
 
 def latest_runs(runs: DataFrame, keys: list[str], sequence: str) -> DataFrame:

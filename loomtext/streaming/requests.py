@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomtext.models import ClientFactory, EchoClient
-from loomtext.operators.asking import ask, errors_as_values, path_exists
+from loomtext.operators.asking import ask, errors_as_values
 from loomtext.operators.requests import TIMED_OUT, TIMEOUT_SECONDS
 
 
@@ -21,26 +21,21 @@ def stream_ask(
 ) -> StreamingQuery:
     """Answer requests as they arrive; each id is answered once in the Parquet table at ``path``.
 
-    A batch is written below its own number and overwrites an earlier attempt at it, and ids answered
-    by other batches are left out, so neither a retried batch nor a repeated request asks twice.
+    Which ids have been asked is keyed state of the stream, kept with its checkpoint, so a batch reads nothing
+    of the answers given before it. A batch is written below its own number; a retried one meets the same
+    state and overwrites its earlier attempt.
     """
 
     def answer(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        due = batch.dropDuplicates([request_id])
-        if path_exists(spark, path):
-            held = spark.read.parquet(path)
-            others = held.where(F.col("batch") != number).select(request_id)
-            due = due.join(others, request_id, "left_anti")
-        answers = errors_as_values(ask(due, client, **options))
+        answers = errors_as_values(ask(batch, client, **options))
         answers.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
-        requests.writeStream.foreachBatch(answer)
+        requests.dropDuplicates([request_id]).writeStream.foreachBatch(answer)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
-    )
+    )
 
 
 def stream_match_timeouts(
@@ -49,10 +44,13 @@ def stream_match_timeouts(
     timeout_seconds: int = TIMEOUT_SECONDS,
     delay: str = "1 minute",
 ) -> DataFrame:
-    """Requests (request_id, request_ts) with their response (request_id, response_ts), or a time-out.
+    """Requests (request_id, request_ts) with the earliest response (request_id, response_ts) in time, or a
+    time-out: one row per request.
 
-    A request without a response is emitted once the watermark passes its limit. Pairing is by unique
-    request id, so state spreads evenly.
+    Responses in time meet their request in a stream-stream join, whose state is dropped past the limit; the
+    earliest of them is kept per request until the watermark that the join hands on has passed it, when none
+    can come any more. So a row comes once the watermark passes the request's limit. Pairing is by unique
+    request id, so state spreads evenly; a request that repeats with its time is one request.
     """
     asked = requests.withWatermark("request_ts", delay)
     answered = responses.select(
@@ -64,6 +62,12 @@ def stream_match_timeouts(
     joined = asked.join(
         answered, (F.col("request_id") == F.col("answered_id")) & in_time, "left_outer"
     )
-    return joined.withColumn(
-        "error", F.when(F.col("answered_id").isNull(), TIMED_OUT)
-    ).drop("answered_id")
+    others = [c for c in requests.columns if c not in ("request_id", "request_ts")]
+    first = joined.groupBy("request_id", "request_ts").agg(
+        *(F.any_value(c).alias(c) for c in others), F.min("response_ts").alias("response_ts")
+    )
+    return first.select(
+        *requests.columns,
+        "response_ts",
+        F.when(F.col("response_ts").isNull(), TIMED_OUT).alias("error"),
+    )

@@ -55,6 +55,34 @@ def src1(t):
     )
 
 
+@query(
+    "src1_text_parts",
+    """
+    SELECT source AS ctx_id, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars,
+           md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest, true AS all_short
+    FROM documents GROUP BY 1
+    """,
+)
+def src1_parts(t):
+    """A file per source that holds all its texts, read in parts, which are put together again."""
+    path = scratch_path(t.spark, "large-texts")
+    texts = t.documents.select("source", "doc_id", "text")
+    ordered = texts.repartition("source").sortWithinPartitions("source", "doc_id")
+    ordered.select("source", "text").write.partitionBy("source").text(path)
+    parts = read_context_text(t.spark, path, part_chars=10_000)
+    whole = parts.groupBy("ctx_id").agg(
+        F.sum(F.length("text").cast("long")).alias("n_chars"),
+        F.array_sort(F.collect_list(F.struct("part_idx", "text"))).alias("_p"),
+        F.max(F.length("text") < 20_000).alias("all_short"),
+    )
+    return whole.select(
+        F.regexp_extract("ctx_id", "source=([^/]+)/", 1).alias("ctx_id"),
+        "n_chars",
+        F.md5(F.array_join(F.col("_p.text"), "")).alias("digest"),
+        "all_short",
+    )
+
+
 @query(
     "src2_read_context_json",
     """
@@ -392,7 +420,7 @@ def chk4(t):
 def chk4_sliced(t):
     """Few long contexts: each is packed in slices that are linked afterwards."""
     parts = context_from_table(t.documents, "lang", "doc_id", "text")
-    return pack_chars(parts, 9_000, slice_rows=100).select("ctx_id", "part_idx", "call_idx")
+    return pack_chars(parts, 9_000, slice_rows=400).select("ctx_id", "part_idx", "call_idx")
 
 
 @query(

@@ -75,45 +75,67 @@ def str3(t):
     return t.spark.read.parquet(path).select("request_id", "answer")
 
 
+def _in_files(t, rows, name: str, at: str, files: int = 5):
+    """A table as a stream that brings one file of it after another, by rising ``at``."""
+    path = scratch_path(t.spark, name)
+    first, last = rows.agg(F.min(F.unix_timestamp(at)), F.max(F.unix_timestamp(at))).first()
+    width = (last - first) // files + 1
+    for number in range(files):
+        own = F.floor((F.unix_timestamp(at) - first) / width) == number
+        rows.where(own).coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query(
     "str4_stream_match_timeouts",
     """
-    WITH r AS (SELECT event_id AS request_id, ts, CASE WHEN event_id % 5 > 0 THEN event_id * 7 % 600 END AS delay FROM events)
+    WITH r AS (SELECT event_id AS request_id, CASE WHEN event_id % 5 > 0 THEN event_id * 7 % 600 END AS delay FROM events)
     SELECT request_id, CASE WHEN delay <= 300 THEN CAST(delay AS BIGINT) END AS waited,
       CASE WHEN coalesce(delay, 999) > 300 THEN 'Request timed out' END AS error
     FROM r
-    WHERE delay <= 300 OR ts < (SELECT max(ts) FROM r) - INTERVAL 1 DAY
     """,
 )
 def str4(t):
-    events = t.stream("events")
-    requests = events.select(F.col("event_id").alias("request_id"), zoned("ts").alias("request_ts"))
-    delay = F.make_dt_interval(secs=F.col("event_id") * 7 % 600)
-    responses = events.where("event_id % 5 > 0").select(
-        F.col("event_id").alias("request_id"), (zoned("ts") + delay).alias("response_ts")
-    )
-    emitted, _ = drain(stream_match_timeouts(requests, responses))
-    # Time-outs near the end stay open until later events arrive; only closed ones are compared.
-    last = t.events.agg(F.max(zoned("ts"))).first()[0]
-    closed = F.col("error").isNull() | (
-        F.col("request_ts") < F.lit(last) - F.expr("INTERVAL 1 DAY")
-    )
+    """Several responses to a request, in several batches, and a closing event after the last of them."""
+    start = F.unix_timestamp(zoned("ts"))
+    requests = t.events.select(F.col("event_id").alias("request_id"), zoned("ts").alias("request_ts"))
+    answered = t.events.where("event_id % 5 > 0").select(
+        F.col("event_id").alias("request_id"),
+        F.explode(F.array(*(F.timestamp_seconds(start + F.col("event_id") * 7 % 600 + later) for later in (0, 1, 90))))
+        .alias("response_ts"),
+    )
+    last = t.events.agg(F.max(zoned("ts")).alias("ts"))
+    closing = F.col("ts") + F.expr("INTERVAL 9 DAYS")
+    no_id = F.lit(-1).cast("long").alias("request_id")
+    requests = requests.unionByName(last.select(no_id, closing.alias("request_ts")))
+    answered = answered.unionByName(last.select(no_id, closing.alias("response_ts")))
+    emitted, _ = drain(
+        stream_match_timeouts(
+            _in_files(t, requests, "requests", "request_ts"), _in_files(t, answered, "responses", "response_ts"),
+            delay="2 days",
+        )
+    )
     waited = F.unix_timestamp("response_ts") - F.unix_timestamp("request_ts")
-    return emitted.where(closed).select("request_id", waited.alias("waited"), "error")
+    return emitted.where("request_id >= 0").select("request_id", waited.alias("waited"), "error")
 
 
 @query(
     "str5_run_progress",
     """
-    SELECT conv_id AS run_id, least(count(*), 30) AS n_iterations, count(*) FILTER (length(text) % 7 = 0) AS n_errors,
-      bool_or(length(text) % 11 = 0) AS answered, bool_or(length(text) % 11 = 0) OR count(*) >= 30 AS ended
-    FROM conversations WHERE role = 'assistant' GROUP BY 1
+    WITH turns AS (
+      SELECT conv_id AS run_id, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i
+      FROM conversations WHERE role = 'assistant'),
+    ends AS (SELECT run_id, coalesce(min(i) FILTER (n % 11 = 0 OR i = 30), max(i)) AS last FROM turns GROUP BY 1)
+    SELECT run_id, count(*) AS n_iterations, count(*) FILTER (n % 7 = 0) AS n_errors,
+      bool_or(n % 11 = 0) AS answered, bool_or(n % 11 = 0 OR i = 30) AS ended
+    FROM turns JOIN ends USING (run_id) WHERE i <= last GROUP BY 1
     """,
 )
 def str5(t):
     turns = t.stream("conversations").where("role = 'assistant'")
     rows = turns.select(
         F.col("conv_id").alias("run_id"),
+        F.col("turn").alias("iteration"),
         (F.length("text") % 7 == 0).alias("has_error"),
         (F.length("text") % 11 == 0).alias("has_final"),
     )

@@ -11,6 +11,7 @@ from loomtext.operators.variables import (
     resolve_answers,
     serialise_values,
     user_variables,
+    all_variables_as_of,
     variables_as_of,
 )
 from loomtext.suite.fixtures import CALLS_SQL, VARS_SQL, calls, variables, with_ctes
@@ -120,6 +121,28 @@ def win4_as_of(t):
     )
 
 
+@query(
+    "win4_all_variables",
+    with_ctes(VARS_SQL)
+    + """
+    , crossed AS (
+      SELECT m.run_id, m.ts, m.event_id, n.name, CASE WHEN m.name = n.name THEN m.event_id END AS set_at
+      FROM vars m JOIN (SELECT DISTINCT run_id, name FROM vars) n USING (run_id)),
+    held AS (
+      SELECT run_id, event_id, name, last_value(set_at IGNORE NULLS) OVER (
+               PARTITION BY run_id, name ORDER BY ts, event_id) AS set_at FROM crossed)
+    SELECT h.run_id, h.event_id, h.name, v.value
+    FROM held h JOIN vars v ON v.event_id = h.set_at
+    """,
+)
+def win4_all(t):
+    rows = variables(t)
+    moments = rows.select("run_id", "ts", "event_id")
+    return all_variables_as_of(rows, moments, ["ts", "event_id"]).select(
+        "run_id", "event_id", "name", "value"
+    )
+
+
 @query(
     "jn2_resolve_answers",
     with_ctes(VARS_SQL)

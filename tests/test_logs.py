@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from loomtext.operators.trajectories import (
     run_summary,
 )
 from loomtext.operators.usage import merge_usage, usage_by_model, usage_of_subcalls
-from loomtext.operators.variables import redact_config, resolve_answers, user_variables, variables_as_of
+from loomtext.operators.variables import all_variables_as_of, redact_config, resolve_answers, user_variables, variables_as_of
 from loomtext.sources.contexts import read_context_json, read_context_text
+from loomtext.schema import BLOCK
 from loomtext.sources.runlogs import (
     read_log_lines,
     read_trajectories,
@@ -345,3 +347,69 @@ def test_log_lines_of_any_length(spark, tmp_path):
     assert bad.count() == 0
     found = iterations.select(F.length(F.col("code_blocks")[0]["result"]["stdout"]).alias("n")).collect()
     assert [r.n for r in found] == [len(long)]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_metadata_once_over_appends(spark, tmp_path, packed):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch
+
+    configs = spark.createDataFrame(
+        [("a.jsonl", None, "m"), ("b.jsonl", None, "m")], "run_id string, ts timestamp_ntz, root_model string"
+    )
+    iterations = spark.createDataFrame(
+        [(r, i, None, None, f"{r} {i}", [], None, None, 1.0) for r in ("a.jsonl", "b.jsonl") for i in range(1, 5)],
+        "run_id string, iteration long, ts timestamp_ntz, prompt array<struct<role:string,content:string>>, response string, "
+        f"code_blocks array<{BLOCK}>, final_answer string, final_kind string, iteration_time double",
+    )
+    once = iterations.mapInPandas(counted, iterations.schema)
+    write_trajectories(configs.where("run_id = 'a.jsonl'"), once.where("iteration < 3"), str(tmp_path), packed)
+    assert calls.value == 8
+    write_trajectories(configs, iterations.where("iteration >= 3"), str(tmp_path), packed)
+    found, rows, bad = read_trajectories(spark, str(tmp_path))
+    assert sorted(r["run_id"] for r in found.collect()) == ["a.jsonl", "b.jsonl"]
+    assert rows.count() == 8 and bad.count() == 0
+
+
+@pytest.mark.parametrize("ending", ["", "\n", "\r\n\n"])
+def test_large_texts_in_parts(spark, tmp_path, ending):
+    """Many tasks read one file; the parts join to it, whatever its lines are like."""
+    texts = {
+        "mixed": "\n".join("é😀x" * (i % 50) for i in range(3000)) + ending,
+        "one line": "ab" * 20_000 + "ü" + ending,
+        "blank lines": "\n" * 500 + ending,
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.txt").write_bytes(text.encode())
+    (tmp_path / "empty.txt").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        parts = read_context_text(spark, str(tmp_path), part_chars=700).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, text in texts.items():
+        own = sorted((r["part_idx"], r["text"]) for r in parts if name.replace(" ", "%20") in r["ctx_id"])
+        assert "".join(t for _, t in own) == text
+        assert [i for i, _ in own] == list(range(len(own))) and all(0 < len(t) < 1400 for _, t in own)
+    assert not any("empty" in r["ctx_id"] for r in parts)
+
+
+def test_all_variables_as_of_every_moment(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice("xyz"), i, rng.choice([None, str(i)])) for i in range(90)]
+    assigned = spark.createDataFrame(rows, "run_id string, name string, at long, value string")
+    moments = spark.createDataFrame([(r, i) for r in ("a", "b", None, "none") for i in range(0, 95, 2)], "run_id string, at long")
+    expected = set()
+    for run, at in [tuple(r) for r in moments.collect()]:
+        for name in "xyz":
+            own = [(i, v) for r, n, i, v in rows if r == run and n == name and i <= at]
+            if own:
+                expected.add((run, at, name, max(own)[1]))
+    for slice_rows in (None, 7):
+        found = all_variables_as_of(assigned, moments, ["at"], slice_rows).collect()
+        assert len(found) == len(expected) and {tuple(r) for r in found} == expected

@@ -70,8 +70,11 @@ def test_timeouts(spark):
     responses.add((1, at(4)), (2, at(6)))
     requests.add((9, at(500)))
     responses.add((9, at(501)), (10, at(500)))
+    # Until no earlier response can come, a request stays open.
+    requests.add((99, at(900)))
+    responses.add((99, at(900)))
     emitted, _ = drain(stream_match_timeouts(requests.stream(), responses.stream()))
-    found = {r["request_id"]: (r["response_ts"], r["error"]) for r in emitted.collect()}
+    found = {r["request_id"]: (r["response_ts"], r["error"]) for r in emitted.collect() if r["request_id"] < 99}
     assert found == {
         1: (at(4), None),
         2: (None, "Request timed out"),
@@ -119,6 +122,73 @@ def test_progress_over_batches(spark, rocksdb):
     }
 
 
+def test_counts_stop_at_the_end(spark, rocksdb):
+    """A run of 40 turns, an answer in the midst, turns of a batch in any order: the same as in batch."""
+    feed = Feed(spark, "run_id string, iteration long, has_error boolean, has_final boolean")
+    turns = [("long", i, i % 3 == 0, False) for i in range(1, 41)]
+    turns += [("early", i, True, i == 4) for i in range(1, 10)]
+    for start in (1, 8, 21, 33):
+        stop = {1: 8, 8: 21, 21: 33, 33: 99}[start]
+        feed.add(*reversed([t for t in turns if start <= t[1] < stop]))
+    emitted, _ = drain(run_progress(feed.stream()), 120)
+    latest = emitted.groupBy("run_id").agg(
+        F.max_by(F.struct("n_iterations", "n_errors", "answered", "ended"), "n_iterations").alias("s")
+    )
+    assert {r["run_id"]: tuple(r["s"]) for r in latest.collect()} == {
+        "long": (30, 10, False, True),
+        "early": (4, 4, True, True),
+    }
+
+
+def test_state_of_runs_is_freed(spark, rocksdb):
+    feed = Feed(spark, "run_id string, ts timestamp, has_error boolean, has_final boolean")
+    feed.add(*((f"r{i}", at(i), False, i % 2 == 0) for i in range(10)))
+    feed.add(("r1", at(30), False, True), ("r2", at(31), True, False))
+    feed.add(("late", at(300), False, False))
+    feed.add(("last", at(301), False, False))
+    emitted, query = drain(run_progress(feed.stream(), keep_seconds=3600, delay="10 minutes"), 120)
+    held = [p["stateOperators"][0]["customMetrics"] for p in query.recentProgress if p["stateOperators"]]
+    freed = sum(m.get("numValueStateVars", 0) >= 0 for m in held)
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert freed and max(rows) >= 10 and rows[-1] < max(rows)
+    counts = {r["run_id"]: r["n"] for r in emitted.groupBy("run_id").agg(F.count("*").alias("n")).collect()}
+    # r2 had ended when its late turn came, r1 had not.
+    assert counts["r1"] == 2 and counts["r2"] == 1 and counts["late"] == 1
+
+
+def test_earliest_of_several_responses(spark):
+    """Responses out of order and over several batches; the rows equal those of the batch operator."""
+    requests = Feed(spark, "request_id long, request_ts timestamp")
+    responses = Feed(spark, "request_id long, response_ts timestamp")
+    asked = [(i, at(i % 7)) for i in range(40)]
+    given = [(i, at(i % 7 + late)) for i in range(40) if i % 4 for late in (4, 2, 9, 6, -1) if (i + late) % 3]
+    for k in range(3):
+        requests.add(*[r for i, r in enumerate(asked) if i % 3 == k])
+        responses.add(*[r for i, r in enumerate(given) if i % 3 == 2 - k])
+    requests.add((1000, at(900)))
+    responses.add((1000, at(900)))
+    emitted, _ = drain(stream_match_timeouts(requests.stream(), responses.stream(), delay="1 hour"), 200)
+    found = sorted(map(tuple, emitted.where("request_id < 1000").collect()))
+    expected = []
+    for i, ts in asked:
+        in_time = [r for j, r in given if j == i and ts <= r <= ts + timedelta(seconds=300)]
+        expected.append((i, ts, min(in_time, default=None), None if in_time else "Request timed out"))
+    assert found == sorted(expected)
+
+
+def test_answers_are_not_read_again(spark):
+    """A batch reads its own requests only, however many have been answered."""
+    feed = Feed(spark, "request_id long, prompt string")
+    path, checkpoint = scratch_path(spark, "answers"), scratch_path(spark, "checkpoint")
+    for k in range(4):
+        feed.add(*((i, f"prompt {i}") for i in range(10 * k, 10 * k + 15)))
+    query = stream_ask(feed.stream(), path, checkpoint)
+    query.awaitTermination(120)
+    answers = spark.read.parquet(path)
+    assert answers.count() == answers.select("request_id").distinct().count() == 45
+    assert {p["numInputRows"] for p in query.recentProgress if p["numInputRows"]} == {15}
+
+
 def test_first_metadata_counts(spark):
     feed = Feed(spark, "run_id string, ts timestamp, root_model string")
     feed.add(("a", at(0), "first"), ("b", at(1), "only"))

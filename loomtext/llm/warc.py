@@ -3,7 +3,7 @@
 Archives are files of gzip members, one record each. Spark's text writer puts them down byte by byte
 (its row separator is the zero byte that ends every member of less than 16 MiB; larger records get an
 empty member behind them), so any file system that Spark reaches will do. The reader never needs a
-whole file: Spark's text reader scans byte ranges for the gzip magic, and a task owns every candidate
+whole file in memory: Spark's text reader scans byte ranges for the gzip magic, and a task owns every candidate
 member that starts in its range. A candidate is a member if it decompresses to a WARC header; bytes
 that merely look like the magic are joined to the member before them, also across ranges, for which
 only the few torn pieces are moved.
@@ -12,7 +12,10 @@ Defined cases: a NULL payload is empty, a NULL URL is written as no URL. Of rows
 of at least ``min_bytes`` those with the largest id are responses and the others revisit it; NULL ids
 never are the largest, and where all ids are NULL every row is a response. Shorter payloads are always
 responses. Repeated rows give a record each. An empty table gives no records. Records that end before
-their stated length are returned with ``truncated`` true.
+their stated length are returned with ``truncated`` true. Header fields that cannot be read are NULL and
+named in ``error``; a record without a readable length takes all that follows its header. A member whose bytes
+are damaged gives a row with nothing but ``error``. Files named ``.gz`` are read as they are, each by one task,
+since Hadoop does not split files of that name; any other name is split.
 """
 
 from __future__ import annotations
@@ -39,8 +42,16 @@ BATCH_BYTES = 16_000_000
 DATE = "1970-01-01T00:00:00Z"
 RECORD_SCHEMA = (
     "record_id string, record_type string, url string, payload_digest string, "
-    "payload_length bigint, refers_to string, payload binary, truncated boolean"
+    "payload_length bigint, refers_to string, payload binary, truncated boolean, error string"
 )
+DAMAGED = "damaged member"
+#: Has Hadoop hand out the bytes of such files instead of unpacking them by their name.
+AS_THEY_ARE = {
+    "io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+    "io.compress.passthrough.extension": ".gz",
+    # The name that the option has in the client that Spark ships.
+    "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".gz",
+}
 
 
 def _member(record: bytes) -> bytes:
@@ -181,24 +192,43 @@ def parse_record(content: bytes) -> tuple | None:
     kind = fields.get("warc-type")
     if kind not in ("response", "revisit"):
         return None
-    length = int(fields.get("content-length", 0))
+    unread = []
+
+    def number(name: str) -> int | None:
+        value = fields.get(name)
+        if value is None or value.isdecimal():
+            return None if value is None else int(value)
+        unread.append(name)
+        return None
+
+    stated = number("content-length")
+    length = stated if stated is not None else (len(block) if unread else 0)
     _, _, payload = block[:length].partition(b"\r\n\r\n")
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    hexed = base64.b32decode(digest).hex() if len(digest) == 32 else digest.lower() or None
+    hexed = digest.lower() or None
+    if len(digest) == 32:
+        try:
+            hexed = base64.b32decode(digest, casefold=True).hex()
+        except ValueError:
+            hexed = None
+            unread.append("warc-payload-digest")
 
     def bare(name: str) -> str | None:
         value = fields.get(name)
         return value and value.strip("<>").removeprefix("urn:loomtext:")
 
-    stated = fields.get("x-payload-length")
+    whole = number("x-payload-length")
+    if whole is None and kind == "response":
+        whole = len(payload)
     return (
-        bare("warc-record-id"), kind, fields.get("warc-target-uri"), hexed,
-        int(stated) if stated else (len(payload) if kind == "response" else None),
+        bare("warc-record-id"), kind, fields.get("warc-target-uri"), hexed, whole,
         bare("warc-refers-to"), payload if kind == "response" else None, len(block) < length,
+        f"cannot read {', '.join(unread)}" if unread else None,
     )
 
 
 NAMES = [field.split()[0] for field in RECORD_SCHEMA.split(", ")]
+TYPES = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary(), pa.bool_(), pa.string()]
 TORN_SCHEMA = "file string, start bigint, place int, begins boolean, data binary"
 
 
@@ -257,9 +287,8 @@ def _torn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _record_table(contents: list[bytes]) -> pa.RecordBatch:
-    types = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary(), pa.bool_()]
     records = [r for r in map(parse_record, contents) if r]
-    return _table(records, NAMES, types)
+    return _table(records, NAMES, TYPES)
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,6 +309,7 @@ def _mended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 content = zlib.decompressobj(31).decompress(b"".join(p["data"] for p in pieces))
             except zlib.error:
+                yield _table([(*[None] * (len(NAMES) - 1), DAMAGED)], NAMES, TYPES)
                 continue
             yield _record_table([content])
 
@@ -288,7 +318,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per response or revisit record of the archives in ``path``, in any order."""
     ship_package(spark)
     pieces = (
-        spark.read.option("encoding", "ISO-8859-1")
+        spark.read.options(encoding="ISO-8859-1", **AS_THEY_ARE)
         .option("lineSep", MAGIC.decode("latin-1"))
         .text(path)
         .select(

@@ -1,5 +1,7 @@
 """URL rules and WARC archives beside plain Python on small tables."""
 
+from collections import Counter
+import base64
 import glob
 import os
 import random
@@ -117,6 +119,42 @@ def test_magic_inside_members_and_cut_archives(spark, tmp_path, small_ranges, si
     assert sum(bytes(r.payload) == payload for r in found) == 5
 
 
+@pytest.mark.parametrize("size", ["128m", "3000", "700"])
+@pytest.mark.parametrize("name", ["a.warc", "a.warc.gz"])
+def test_archives_of_any_name(spark, tmp_path, small_ranges, name, size):
+    """The same members under both usual names, among them fields that cannot be read and damaged bytes."""
+    def member(record):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return packer.compress(record) + packer.flush()
+
+    def record(number, payload):
+        return format_record(str(number), "response", "u", payload, len(payload), "ab" * 20, None)
+
+    good = [record(i, bytes([i]) * (900 * i)) for i in range(5)]
+    digest = b"WARC-Payload-Digest: sha1:"
+    at = good[0].index(digest) + len(digest)
+    end = good[0].index(b"\r\n", at)
+    lower = good[1][:at] + b"nbswy3dpnbswy3dpnbswy3dpnbswy3dp" + good[1][end:]
+    strange = good[2][:at] + b"1" * 32 + good[2][end:]
+    length = good[3].index(b"Content-Length: ") + len(b"Content-Length: ")
+    unsized = good[3][:length] + b"many" + good[3][good[3].index(b"\r\n", length):]
+    damaged = bytearray(member(good[4] + os.urandom(3000)))
+    damaged[len(damaged) // 2] ^= 255
+    parts = [*map(member, good), member(lower), member(strange), bytes(damaged), member(unsized)]
+    os.makedirs(tmp_path / "w")
+    (tmp_path / "w" / name).write_bytes(b"".join(parts))
+    small_ranges(size)
+    found = read_warc(spark, str(tmp_path / "w")).collect()
+    errors = Counter(r.error for r in found)
+    assert errors[None] == 6 and errors["cannot read warc-payload-digest"] == 1
+    assert errors["cannot read content-length"] == 1 and errors["damaged member"] <= 1
+    assert sum(r.record_type == "response" for r in found) == 8
+    assert {len(r.payload) for r in found if r.error is None} == {900 * i for i in range(5)}
+    assert base64.b32decode(b"NBSWY3DPNBSWY3DPNBSWY3DPNBSWY3DP").hex() in {r.payload_digest for r in found}
+    bad = next(r for r in found if r.error == "cannot read content-length")
+    assert bytes(bad.payload).startswith(bytes([3]) * 2700) and not bad.truncated
+
+
 def test_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     write_warc(pages, str(tmp_path / "w"))

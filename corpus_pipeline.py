@@ -47,8 +47,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return near_duplicates(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
+    """One row of each group of near copies stays, that of the least id, then of the least text hash. Of rows
+    that are equal in both one stays; only those are moved for it. Texts without a word are in no group and stay."""
+    found = near_duplicates(docs, keep=COLUMNS).where("leads")
+    repeated = (F.col("copies") > 1) & (F.col("n_shingles") > 0)
+    single = found.where(~repeated).select(*COLUMNS)
+    # Rows that lead have one id and text in a component, and so do components that share them.
+    one = found.where(repeated).dropDuplicates(["doc_id", "text"])
+    return single.unionByName(one.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,7 @@ SKETCH_BITS = 512
 LEAST_ESTIMATE = 0.5
 BLOCK_CLASSES = 256
 CACHED_WORDS = 300_000
+RESULTS = ["n_shingles", "component_id", "kept", "leads", "copies"]
 
 _seeded = np.random.default_rng(20240521)
 FACTORS = _seeded.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -279,8 +280,12 @@ def _across(
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str]
 ) -> DataFrame:
-    """One row per row: ``keep``, with n_shingles, component_id and kept (the component's least id)."""
-    keep = [c for c in keep if c not in ("n_shingles", "component_id", "kept")]
+    """One row per row: ``keep``, with n_shingles, component_id and kept (the component's least id).
+
+    Where more than the id is kept, also ``leads``, whether this is the component's first (id, text), ids before
+    NULL, and ``copies``, the number of rows with both. Of rows that lead with one copy there is one a component.
+    """
+    keep = [c for c in keep if c not in RESULTS]
     ship_package(docs.sparkSession)
     signed = materialise(_signatures(docs, doc_id, text), "signatures")
     one = {c: F.first(c).alias(c) for c in ("n", "bands", "sketch")}  # equal in a class
@@ -334,19 +339,31 @@ def near_duplicates(
         top = materialise(
             least.groupBy("label").agg(F.min("least").alias("component_id")), "component-ids"
         )
-        least = least.join(top, "label").select("class", "component_id")
+        least = least.join(top, "label").select("class", "component_id", "label")
     else:
-        least = least.withColumnRenamed("least", "component_id")
-    named = materialise(least.select(F.col("class").alias("_class"), "component_id"), "class-ids")
+        least = least.withColumnRenamed("least", "component_id").withColumn("label", F.col("class"))
+    named = materialise(
+        least.select(F.col("class").alias("_class"), "component_id", F.col("label").alias("_group")), "class-ids"
+    )
     rows = signed.join(named, F.col("class") == F.col("_class"), "left").select(
         F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "_group",
     )
     rows = rows.withColumn("kept", F.col("_id").eqNullSafe(F.col("component_id")))
     if keep == [doc_id]:
         return rows.select(F.col("_id").alias(doc_id), "n_shingles", "component_id", "kept")
     # Other columns come back by id and text; rows equal in both have equal results.
-    rows = materialise(rows.dropDuplicates(["_id", "_key"]), "results")
+    once = rows.groupBy("_id", "_key").agg(
+        *(F.first(c).alias(c) for c in ("n_shingles", "component_id", "kept", "_group")),
+        F.count(F.lit(1)).alias("copies"),
+    )
+    once = materialise(once, "texts-by-id")
+    place = F.struct(F.col("_id").isNull(), "_id", "_key")
+    leaders = once.where("n_shingles > 0").groupBy(F.col("_group").alias("_led")).agg(F.min(place).alias("_lead"))
+    rows = once.join(leaders, F.col("_group") == F.col("_led"), "left").withColumn(
+        "leads", F.col("_lead").isNull() | (place == F.col("_lead"))
+    )
+    rows = materialise(rows.drop("_led", "_lead", "_group"), "results")
     full = docs.select(F.struct(*keep).alias("_kept"), F.col(doc_id).alias("_i"), text_key(F.col(text)).alias("_k"))
     same = F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))
-    return full.join(rows, same).select("_kept.*", "n_shingles", "component_id", "kept")
+    return full.join(rows, same).select("_kept.*", *RESULTS)

@@ -57,3 +57,25 @@ def test_pipeline_stages(spark, tables):
     assert set(near) == {0, 1, 2, 5, 6}
     assert bare[5].text.startswith(c) and bench[:40] not in bare[5].text and bare[0].text == clean
     assert set(pieces) == set(bare) and all(r.lossless for r in pieces.values())
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, tables):
+    """Repeated rows, NULL ids and ids that repeat with other texts go through all stages."""
+    rng = random.Random(6)
+    names = ["".join(rng.choice("aeiourstnl") for _ in range(6)) for _ in range(3000)]
+
+    def own(n):
+        return " ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.3 else rng.choice(names) for _ in range(n))
+
+    a, b, c, d, e = (own(300) for _ in range(5))
+    rows = [(7, a)] * 3 + [(None, b)] * 3 + [(None, b + " more")] + [(5, c), (5, c + " more"), (4, d), (9, d + " x"), (None, e)]
+    docs = spark.createDataFrame(
+        [(i, t, "en", f"s{k % 4}", len(t)) for k, (i, t) in enumerate(rows)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    near = corpus_pipeline.near_dedup(spark, docs, tables.folder).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in near) == [(False, 4), (False, 5), (False, 7), (True, 0), (True, 0)]
+    assert {r.text[:20] for r in near} == {t[:20] for t in (a, b, c, d, e)}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, tables.folder), name.replace(" ", "-"))
+    assert docs.count() == 5 and docs.where("NOT lossless").count() == 0

@@ -204,7 +204,7 @@ def pack_chars(
         F.col("_rn").alias("place"),
         whole_division(F.col("_rn") - 1, slice_rows).alias("slice"),
     )
-    spans = materialise(spans, "spans")
+    longest = sized.groupBy("ctx_id").count().agg(F.max("count")).first()[0] or 0
     id_type = sized.schema["ctx_id"].dataType.simpleString()
     part_type = sized.schema["part_idx"].dataType.simpleString()
 
@@ -217,11 +217,12 @@ def pack_chars(
         return rows[["ctx_id", "part_idx", "_length", "call_idx"]]
 
     schema = f"ctx_id {id_type}, part_idx {part_type}, _length long, call_idx long"
-    if (spans.agg(F.max("slice")).first()[0] or 0) == 0:
+    if longest <= slice_rows:
         numbered = spans.groupBy("ctx_id").applyInPandas(
             lambda rows: number(rows, -1, -1), schema
         )
     else:
+        spans = materialise(spans, "spans")
         entries = _slice_entries(spans, budget, id_type)
         numbered = (
             spans.groupBy("ctx_id", "slice")

@@ -1,11 +1,12 @@
 """Ordered scans within a key (numbering, running sums, last value seen) that survive a hot key.
 
-A window over ``partitionBy(key)`` sorts a whole key in one task, with all columns of its rows. Here the rows
-are cut to the columns the scan reads, range-partitioned on the whole (key, order) tuple and written once, so
-a key with any share of the rows spreads over as many partitions as its size asks for, whatever the type of
+A window over ``partitionBy(key)`` sorts a whole key in one task, with all columns of its rows. That is the
+cheapest plan while keys are short, and it is taken if none has more than ``SLICE_ROWS`` rows. Otherwise the
+rows are cut to the columns the scan reads, range-partitioned on the whole (key, order) tuple and written once,
+so a key with any share of the rows spreads over as many partitions as its size asks for, whatever the type of
 the order columns and however often one value repeats. Every partition scans its own part of a key; of the keys
 that reach over a boundary, at most two a partition, the totals of earlier parts are added. Then the outputs
-are joined to the full rows by their tuples. There is one plan for all sizes.
+are joined to the full rows by their tuples. Both plans give the same rows for every input.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringTy
 from loomtext.functions.text import whole_division
 from loomtext.scratch import materialise
 
-#: Rows that a partition of a scan should have; None leaves their number to the session's settings.
-SLICE_ROWS: int | None = None
+#: Rows of one key that a task may sort.
+SLICE_ROWS = 20_000
 WIDE = (StringType, BinaryType, ArrayType, MapType, StructType, VariantType)
 
 
@@ -87,17 +88,26 @@ def ordered_scan(
 
     ``order`` names columns of any sortable type, ``-name`` for descending. Rows with one key and equal order
     columns follow each other by the scanned columns, or in any order if these are equal too. NULL keys are
-    a key of their own. Columns beside these stay out of the scan if one of them may be long; ``carry`` says
-    that all are short.
+    a key of their own. Columns beside these stay out of a scan over slices if one of them may be long;
+    ``carry`` says that all are short.
     """
     keys, order = list(keys), list(order)
+    slice_rows = SLICE_ROWS if slice_rows is None else slice_rows
     lead = [name.lstrip("-") for name in order]
     scanned = list(dict.fromkeys(s.column for s in outputs.values() if s.column))
+    sizes = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    if (sizes[0] or 0) <= slice_rows:
+        within = [_sort_column(c) for c in [*order, *_sortable(df, scanned)]]
+        running, whole = Window.partitionBy(*keys).orderBy(*within), Window.partitionBy(*keys)
+        return df.select(
+            "*", *(_evaluate(scan, running, whole).alias(name) for name, scan in outputs.items())
+        )
+    slices = -(-sizes[1] // slice_rows)
     narrow = list(dict.fromkeys([*keys, *lead, *scanned]))
     others = [c for c in df.columns if c not in narrow]
     if carry or not any(isinstance(df.schema[c].dataType, WIDE) for c in others):
-        return _scan(df, keys, order, scanned, outputs, slice_rows).select(*df.columns, *outputs)
-    found = _scan(df.select(*narrow), keys, order, scanned, outputs, slice_rows)
+        return _scan(df, keys, order, scanned, outputs, slices).select(*df.columns, *outputs)
+    found = _scan(df.select(*narrow), keys, order, scanned, outputs, slices)
     return joined_back(df, found, [*keys, *lead], _sortable(df, scanned), list(outputs))
 
 
@@ -118,14 +128,11 @@ def _scan(
     order: list[str],
     scanned: list[str],
     outputs: dict[str, Scan],
-    slice_rows: int | None,
+    slices: int,
 ) -> DataFrame:
     within = [_sort_column(c) for c in [*order, *_sortable(rows, scanned)]]
     along = [*map(_sort_column, keys), *within]
-    if slice_rows is None:
-        dealt = rows.repartitionByRange(*along)
-    else:
-        dealt = rows.repartitionByRange(max(1, -(-rows.count() // slice_rows)), *along)
+    dealt = rows.repartitionByRange(slices, *along)
     # Written, so that a lost task or a second reader meets the same boundaries.
     written = materialise(dealt.withColumn("_scan_part", F.spark_partition_id()), "scan")
     # A struct compares null fields as equal, so a null key stays one group in the join below.

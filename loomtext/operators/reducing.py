@@ -96,14 +96,15 @@ def reduce_answers(
         ).withColumn("prompt", render_prompt(template, query=query, answers=F.col("text")))
         asked = _answers(pieces.select(*keys, "piece_idx", "prompt"), client, options, spread=True)
         ledger.add(asked)
+        if asked.where("piece_idx > 0").isEmpty():
+            done = asked.select(*keys, "answer")
+            return ledger.attach(done if finished is None else finished.unionByName(done))
         sizes = materialise(
             asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "sizes"
         )
-        count = sizes.count()
-        done = asked if count == 0 else _with_keys(asked, sizes, keys, "left_anti")
-        done = done.select(*keys, "answer")
+        done = _with_keys(asked, sizes, keys, "left_anti").select(*keys, "answer")
         finished = done if finished is None else finished.unionByName(done)
-        if count and previous is not None:
+        if previous is not None:
             before = previous.withColumnsRenamed({**{k: f"_was_{k}" for k in keys}, "_n": "_was"})
             same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_was_{k}")) for k in keys])
             stuck = materialise(
@@ -111,10 +112,9 @@ def reduce_answers(
             )
             failed = F.lit(f"Error: {NO_SHRINKING}")
             finished = finished.unionByName(stuck.select(*keys, failed.alias("answer")))
-            sizes = _with_keys(sizes, stuck, keys, "left_anti")
-            count = sizes.count()
-        if count == 0:
-            return ledger.attach(finished)
+            sizes = materialise(_with_keys(sizes, stuck, keys, "left_anti"), "sizes")
+            if sizes.isEmpty():
+                return ledger.attach(finished)
         previous = sizes
         remaining = _with_keys(asked, sizes, keys, "left_semi").withColumnRenamed("piece_idx", "_part")
         order = ["_part"]
@@ -241,6 +241,9 @@ def tree_reduce(
         )
         asked = _answers(prompts, client, options, spread=True)
         ledger.add(asked)
+        if asked.where("_group > 0 OR _piece > 0").isEmpty():
+            done = asked.select(*keys, "answer", F.lit(depth).cast("long").alias("depth"))
+            return ledger.attach(done if finished is None else finished.unionByName(done))
         open_keys = materialise(
             asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "open"
         )
@@ -248,8 +251,6 @@ def tree_reduce(
             *keys, "answer", F.lit(depth).cast("long").alias("depth")
         )
         finished = done if finished is None else finished.unionByName(done)
-        if open_keys.isEmpty():
-            return ledger.attach(finished)
         rest = _with_keys(asked, open_keys, keys, "left_semi").select(*group, "_piece", "answer")
         if rest.where("_piece > 0").isEmpty():
             level = rest.select(*keys, F.col("_group").alias("_idx"), "answer")

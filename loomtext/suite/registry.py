@@ -24,11 +24,10 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def stream(self, name: str) -> DataFrame:
-        """The table as a stream of one file."""
-        return (
-            self.spark.readStream.schema(getattr(self, name).schema)
-            .option("pathGlobFilter", f"{name}.parquet")
-            .parquet(self.folder)
+        """The table as a stream of its files: one, or those of a folder."""
+        # A stream takes a single file only by a pattern, and this one fits nothing else.
+        return self.spark.readStream.schema(getattr(self, name).schema).parquet(
+            f"{self.folder}/{name}.parque[t]"
         )
 
 

@@ -1,6 +1,7 @@
 """Streams give what the batch operators give, once their windows are closed."""
 
 import json
+import shutil
 import sys
 from datetime import datetime, timedelta
 
@@ -16,6 +17,7 @@ from loomtext.streaming.progress import run_progress
 from loomtext.streaming.requests import stream_ask, stream_match_timeouts
 from loomtext.streaming.runner import drain, rows_dropped_late, start_to_table
 from loomtext.streaming.usage import stream_usage
+from loomtext.suite import QUERIES, Tables
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -218,3 +220,18 @@ def test_new_logs_are_picked_up(spark, tmp_path):
     _, batch, _ = read_trajectories(spark, str(logs))
     expected = sorted(map(repr, batch.select("run_id", "iteration", "response").collect()))
     assert sorted(map(repr, spark.read.parquet(table).collect())) == expected
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    rows = [(n, f"text {n}") for n in range(40)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    documents.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    documents.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    (part,) = (tmp_path / "parts").glob("part-*.parquet")
+    (tmp_path / "one").mkdir()
+    shutil.copy(part, tmp_path / "one" / "documents.parquet")
+    for folder in ("many", "one"):
+        emitted, _ = drain(Tables(spark, f"{tmp_path}/{folder}").stream("documents"))
+        assert sorted(map(tuple, emitted.collect())) == rows
+    answers = QUERIES["str3_stream_ask"](Tables(spark, f"{tmp_path}/many"))
+    assert sorted(row.request_id for row in answers.collect()) == list(range(40))

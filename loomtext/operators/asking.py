@@ -39,6 +39,8 @@ NO_RESULT = "No chat completion or error provided."
 
 #: Seconds that a call may take. Fixed value.
 TIMEOUT_SECONDS = 300.0
+#: Bytes of an Arrow batch that a task holds as Python objects, prompts and answers each, twice at most.
+SLICE_BYTES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -216,15 +218,27 @@ def answering(service: Client, concurrency: int, limits: Limits):
         calls.close()
 
 
-def _answer_all(calls, batch: list[tuple]) -> list[tuple]:
-    """The answer rows of a batch, in its order."""
-    for place, call in enumerate(batch):
-        calls.submit(place, call)
-    rows: list = [None] * len(batch)
-    for _ in batch:
-        place, row = calls.result()
-        rows[place] = row
-    return rows
+def _answer_slices(calls, batch: pa.RecordBatch, width: int, least: int) -> Iterator[tuple[int, list[tuple]]]:
+    """(first row, answer rows) of successive slices of a batch, in its order.
+
+    A slice has about ``SLICE_BYTES``, and ``least`` rows or more. Prompts become Python objects and are handed over
+    up to a slice ahead, so as many calls are in flight between slices as within one.
+    """
+    n, sent, ended = batch.num_rows, 0, {}
+    step = max(least, n * SLICE_BYTES // max(batch.nbytes, 1))
+    for begin in range(0, n, step):
+        end = min(begin + step, n)
+        missing = sum(place not in ended for place in range(begin, end))
+        while missing:
+            upto = min(end + step, n)
+            room = step - (sent - begin - len(ended))
+            for place in range(sent, min(sent + room, upto)):
+                calls.submit(place, (batch.column(width)[place].as_py(), batch.column(width + 1)[place].as_py()))
+                sent += 1
+            place, row = calls.result()
+            ended[place] = row
+            missing -= place < end
+        yield begin, [ended.pop(place) for place in range(begin, end)]
 
 
 def ask(
@@ -264,15 +278,12 @@ def ask(
         service = client()
         with answering(service, concurrency, limits) as calls:
             for batch in batches:
-                prompts, models = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
-                rows = _answer_all(calls, list(zip(prompts, models)))
-                columns = list(zip(*rows)) if rows else [()] * len(ANSWER_FIELDS)
-                arrays = [
-                    pa.array(values, type=kind) for values, kind in zip(columns, ANSWER_TYPES)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(i) for i in range(width)] + arrays, names=schema.names
-                )
+                for begin, rows in _answer_slices(calls, batch, width, concurrency):
+                    arrays = [
+                        pa.array(values, type=kind) for values, kind in zip(zip(*rows), ANSWER_TYPES)
+                    ]
+                    kept_columns = batch.slice(begin, len(rows)).columns[:width]
+                    yield pa.RecordBatch.from_arrays(kept_columns + arrays, names=schema.names)
 
     return source.mapInArrow(answer, schema)
 

@@ -3,6 +3,7 @@
 import asyncio
 import sys
 import time
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -585,3 +586,24 @@ def test_failed_stored_answers_are_asked_again(spark):
     assert set(then) == set(range(14)) and {i for i, r in then.items() if r["error"]} == {11}
     last = ask_stored(prompts(spark, 14), "id", store, client=lambda: FailingClient("never"))
     assert last.where("error IS NOT NULL").count() == 0 and last.count() == 14
+
+
+class TracedClient:
+    """Answers with the peak of Python memory since the first call and a text as long as the prompt."""
+
+    def complete(self, prompt, model):
+        if not tracemalloc.is_tracing():
+            tracemalloc.start()
+        return Completion(f"{tracemalloc.get_traced_memory()[1]}:{'x' * len(prompt)}", 1, 1)
+
+
+def test_a_task_holds_a_slice_of_a_batch_as_python_objects(spark):
+    # One Arrow batch of 40 MB, answered by as many bytes.
+    prompts = spark.range(400, numPartitions=1).select("id", F.repeat(F.lit("p"), 100_000).alias("prompt"))
+    asked = ask(prompts, TracedClient, concurrency=4)
+    peak = F.split("response", ":")[0].cast("long")
+    row = asked.agg(F.max(peak), F.sum(F.length("response") - F.instr("response", ":")), F.count("id")).first()
+    assert row[0] < 30_000_000 and tuple(row)[1:] == (40_000_000, 400)
+    # Calls of the next slice begin before the last of this one has ended, and rows keep their own answers.
+    told = ask(prompts.withColumn("prompt", F.concat(F.col("id").cast("string"), F.lit(" "), "prompt")), EchoClient)
+    assert told.where(~F.col("response").startswith(F.concat(F.lit("Mock response to: "), "id", F.lit(" ")))).isEmpty()

@@ -15,7 +15,7 @@ from loomtext.functions.text import whole_division
 from loomtext.operators.chunking import chunk_fixed
 from loomtext.operators.ordering import ordered_scan, running_sum
 from loomtext.scratch import materialise
-from loomtext.session import ship_package
+from loomtext.session import few_listing_tasks, ship_package
 from loomtext.sources.json_items import NotJson, as_text, field, items, opens_json
 
 #: Parts that leave a task at a time.
@@ -36,7 +36,8 @@ def read_context_text(
     """
     if part_chars is not None:
         return _text_parts(spark, path, part_chars, options)
-    files = spark.read.options(**options).text(path, wholetext=True)
+    with few_listing_tasks(spark):
+        files = spark.read.options(**options).text(path, wholetext=True)
     return files.select(
         F.col("_metadata.file_path").alias("ctx_id"),
         F.lit(0).cast("long").alias("part_idx"),

@@ -2,13 +2,17 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomtext.scratch import scratch_root
+from loomtext.session import few_listing_tasks
 from loomtext.sources import contexts
 from loomtext.sources.contexts import context_parts, read_context_json
 from loomtext.sources.json_items import NotJson, as_text, field, items
+from loomtext.suite import QUERIES
 
 
 def listed(text):
@@ -128,3 +132,18 @@ def test_long_items_and_long_lists(spark, tmp_path):
         F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum(F.col("head").cast("long") - F.col("part_idx")).alias("off")
     )
     assert tuple(found.first()) == (1000, 1000 * 199_995, 0)
+
+
+def test_a_file_per_page_needs_no_folder_per_page(spark, tables):
+    before = set(Path(scratch_root(spark)).glob("loomtext-texts-*"))
+    assert QUERIES["src1_read_context_text"](tables).count() == tables.pages.count()
+    (folder,) = set(Path(scratch_root(spark)).glob("loomtext-texts-*")) - before
+    assert not [p for p in folder.iterdir() if p.is_dir()]
+
+
+def test_folders_are_listed_by_few_tasks(spark):
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    with few_listing_tasks(spark):
+        assert int(spark.conf.get(name)) == 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(name) == before

@@ -13,7 +13,10 @@ from pyspark.sql.types import StructType
 from loomtext.functions.messages import MESSAGES
 from loomtext.schema import RAW_RECORD, USAGE
 from loomtext.scratch import materialise, path_exists
+from loomtext.session import few_listing_tasks
 
+#: Lines that a task writes as a folder per run; fewer where they would leave cores idle.
+TASK_LINES = 20_000
 #: Variables hold whole contexts, so strings of a log line may be of any length.
 ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 # Fixed value: run file names are {name}_{date}_{time}_{8 hex digits}.jsonl.
@@ -30,7 +33,8 @@ def _log_files(reader, path: str) -> DataFrame:
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, file_path) of every ``.jsonl`` file or ``*.jsonl`` folder below ``path``."""
-    return _log_files(spark.read, path)
+    with few_listing_tasks(spark):
+        return _log_files(spark.read, path)
 
 
 def stream_log_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -291,9 +295,13 @@ def write_trajectories(
         known = spark.read.schema(StructType([configs.schema["run_id"]])).parquet(manifest)
         configs = configs.join(known, "run_id", "left_anti")
     lines = materialise(log_lines(configs, iterations, packed), "lines")
-    ordered = lines.repartitionByRange("run_id", "line_no").sortWithinPartitions(
-        "run_id", "line_no"
-    )
+    if packed:
+        dealt = lines.repartitionByRange("run_id", "line_no")
+    else:
+        # Files cost more than their bytes, by which adaptive execution would put them into few tasks.
+        tasks = max(2 * spark.sparkContext.defaultParallelism, -(-lines.count() // TASK_LINES))
+        dealt = lines.repartitionByRange(tasks, "run_id", "line_no")
+    ordered = dealt.sortWithinPartitions("run_id", "line_no")
     if packed:
         ordered.select("line").write.mode("append").text(f"{path}/packed.jsonl")
     else:

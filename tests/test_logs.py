@@ -3,6 +3,8 @@
 import json
 import os
 import random
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from loomtext.sources.runlogs import (
     upsert_runs,
     write_trajectories,
 )
+from loomtext.suite import QUERIES
+from loomtext.suite.log_queries import write_logs
 
 LONG = "Tell me which of the listed cities lies furthest to the north."
 
@@ -413,3 +417,8 @@ def test_all_variables_as_of_every_moment(spark):
     for slice_rows in (None, 7):
         found = all_variables_as_of(assigned, moments, ["at"], slice_rows).collect()
         assert len(found) == len(expected) and {tuple(r) for r in found} == expected
+
+
+def test_folders_of_runs_are_written_by_many_tasks(spark, tables):
+    parts = {re.search(r"part-(\d+)", str(f))[1] for f in Path(write_logs(tables, packed=False)).rglob("part-*")}
+    assert len(parts) >= spark.sparkContext.defaultParallelism

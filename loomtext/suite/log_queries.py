@@ -21,7 +21,7 @@ from loomtext.operators.trajectories import (
     run_summary,
 )
 from loomtext.operators.usage import usage_by_model, usage_of_subcalls
-from loomtext.scratch import scratch_path
+from loomtext.scratch import materialise, scratch_path
 from loomtext.sources.runlogs import (
     bad_lines,
     configs_of,
@@ -152,7 +152,8 @@ def src5(t):
     """,
 )
 def prj1(t):
-    lines = read_log_lines(t.spark, write_logs(t, packed=False))
+    # Written, as the files would be read again for each of the uses below.
+    lines = materialise(read_log_lines(t.spark, write_logs(t, packed=False)), "log-lines")
     # One broken and one blank line per run beside the good ones.
     runs = lines.select("file_path").distinct()
     broken = runs.select(F.lit('{"type": "iteration", ').alias("line"), "file_path")

@@ -422,3 +422,7 @@ def test_all_variables_as_of_every_moment(spark):
 def test_folders_of_runs_are_written_by_many_tasks(spark, tables):
     parts = {re.search(r"part-(\d+)", str(f))[1] for f in Path(write_logs(tables, packed=False)).rglob("part-*")}
     assert len(parts) >= spark.sparkContext.defaultParallelism
+
+
+def test_logs_are_read_once_for_all_counts(tables):
+    assert not [f for f in QUERIES["prj1_split_records"](tables).inputFiles() if ".jsonl" in f]

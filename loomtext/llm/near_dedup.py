@@ -7,11 +7,13 @@ candidates. The population count of two sketches' exclusive or tells how many sa
 estimate for high similarity, and only pairs that may reach the threshold are confirmed on full sets.
 
 No group is paired out. In each band group all classes are compared with the one that has the least document
-id; first every class's best candidate is confirmed, then those that would join different components. Groups in which
-more than one component is left are searched whole, in blocks of bounded size whose sketches are
-compared in one matrix operation, and only pairs across components that may be links leave a block,
-the likeliest first, since a confirmed one settles all pairs between its components. So no link between different texts is lost but by the bands themselves: 32 bands of 4 samples miss a pair
-at the threshold with probability 5e-6, at similarity 0.85 with 1e-10.
+id; first every class's best candidate is confirmed, then those that would join different components. In groups in
+which more than one component is left, shingles that no other class of such groups holds bound a class's similarity
+with any other, so a class with too many of them is linked with none and leaves. What stays is searched whole, in
+blocks of bounded size whose sketches are compared in one matrix operation. A block confirms its pairs on full sets,
+each pair in the first group that it shares, and hands on only links that join components which it has not joined
+yet, fewer than it has classes. So no link between different texts is lost but by the bands themselves: 32 bands of 4
+samples miss a pair at the threshold with probability 5e-6, at similarity 0.85 with 1e-10.
 
 Defined cases: NULL, empty and word-less texts have no shingles and are linked with nothing. With fewer
 words than a shingle the whole sequence is one. Component ids are least document ids, NULL ids not
@@ -42,7 +44,9 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Sketch estimates below this are no links: 5 standard deviations under the threshold.
 LEAST_ESTIMATE = 0.5
-BLOCK_CLASSES = 256
+BLOCK_CLASSES = 512
+#: Slots of text keys. Those of wanted texts are broadcast, so that few others are moved.
+KEY_SLOTS = 1 << 21
 CACHED_WORDS = 300_000
 RESULTS = ["n_shingles", "component_id", "kept", "leads", "copies"]
 
@@ -160,11 +164,13 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """One text for each class named in ``pairs``."""
-    named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = materialise(classes.select("class", "key").join(named, "class"), "wanted-texts")
+def _texts_of(named: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """One text for each class in ``named``."""
+    wanted = materialise(classes.select("class", "key").join(named.distinct(), "class"), "wanted-texts")
     bodies = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
+    slot = F.pmod(F.xxhash64("key"), F.lit(KEY_SLOTS))
+    slots = wanted.select(slot.alias("slot")).distinct()
+    bodies = bodies.join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
     return materialise(
         bodies.join(wanted, "key").dropDuplicates(["class"]).select("class", "text"), "texts"
     )
@@ -217,64 +223,114 @@ def _labelled(rows: DataFrame, comps: DataFrame, column: str) -> DataFrame:
     ).drop("_label")
 
 
-def _across(
-    buckets: DataFrame, classes: DataFrame, comps: DataFrame | None, most: int
-) -> DataFrame:
-    """Likely pairs across components within groups that hold several, searched in blocks.
-
-    Each class gives its ``most`` likeliest partners in a block, and ``more`` says whether some class of
-    the block has further ones. Few are tried first, as one link joins two components whole; the pairs
-    they leave apart follow with a greater ``most``.
-    """
-    members = (
-        buckets.withColumn("label", F.col("class")) if comps is None
-        else buckets.join(comps.withColumnRenamed("node", "class"), "class", "left")
-        .withColumn("label", F.coalesce("label", "class"))
-    )
-    mixed = materialise(
+def _apart(members: DataFrame) -> DataFrame:
+    """The members (bucket, class, label) of groups that hold several components, with the group's size."""
+    groups = materialise(
         members.groupBy("bucket").agg(
             F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")
-        ).where("size > 2 and low <> high").select("bucket", "size"),
+        ).where("low <> high").select("bucket", "size"),
         "mixed-groups",
     )
-    slots = F.ceil(F.col("size") / BLOCK_CLASSES).cast("int")
-    inside = members.join(mixed, "bucket").withColumn("slots", slots)
+    return members.join(groups, "bucket")
+
+
+def _sets_of(named: DataFrame, texts: DataFrame) -> DataFrame:
+    """The shingles of each class in ``named``."""
+
+    def compute(batches: Iterator[list[pa.Array]]) -> Iterator[list[pa.Array]]:
+        hashes = kept_in_worker(("word hashes",), WordHashes)
+        for (column,) in batches:
+            sets = [shingle_set(body, hashes).view(np.int64) for body in raw(column)]
+            yield [pa.array(sets, pa.list_(pa.int64()))]
+
+    rows = texts.join(named.distinct(), "class", "left_semi")
+    return materialise(add_columns(rows, ["class"], ["text"], "shingles array<bigint>", compute), "sets")
+
+
+def _able(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Classes that may be linked with another one of ``sets``, with ``alone``: how many shingles only they hold.
+
+    A link shares at least the threshold's part of either set, and none of those shingles.
+    """
+    held = sets.select(F.xxhash64("class").alias("node"), F.explode("shingles").alias("shingle"))
+    once = held.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
+    alone = once.where("holders = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    rows = classes.select("class", "n", "bands", "sketch").join(sets.select("class"), "class")
+    rows = rows.join(alone, F.xxhash64("class") == F.col("node"), "left").drop("node")
+    rows = rows.withColumn("alone", F.coalesce("alone", F.lit(0)))
+    return materialise(rows.where(100 * (F.col("n") - F.col("alone")) >= PERCENT * F.col("n")), "able")
+
+
+def _across(
+    buckets: DataFrame, classes: DataFrame, comps: DataFrame | None, texts: DataFrame
+) -> DataFrame:
+    """Links (a, b) across components within groups that hold several, enough to join all that are linked there."""
+    members = (
+        buckets.withColumn("label", F.col("class")) if comps is None else _labelled(buckets, comps, "class")
+        .withColumnRenamed("label_class", "label")
+    )
+    inside = materialise(_apart(members).drop("size"), "mixed-members")
+    sets = _sets_of(inside.select("class"), texts)
+    able = _able(sets, classes)
+    inside = _apart(inside.join(able.select("class"), "class", "left_semi"))
+    inside = inside.withColumn("slots", F.ceil(F.col("size") / BLOCK_CLASSES).cast("int"))
     inside = inside.withColumn("slot", F.pmod(F.xxhash64("class"), "slots").cast("int"))
-    inside = inside.join(classes.select("class", "n", "sketch"), "class")
     other = F.explode(F.sequence(F.lit(0), F.col("slots") - 1))
     placed = inside.withColumn("other", other).select(
         "bucket", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"),
-        "slot", "class", "label", "n", "sketch",
-    )
+        "slot", "class", "label",
+    ).join(able, "class").join(sets, "class")
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        same = rows["i"].iloc[0] == rows["j"].iloc[0]
+        bucket, same = rows["bucket"].iloc[0], rows["i"].iloc[0] == rows["j"].iloc[0]
         left = rows if same else rows[rows["slot"] == rows["i"]]
         right = rows if same else rows[rows["slot"] == rows["j"]]
+        links: list[tuple[bytes, bytes]] = []
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "more": []})
+            return pd.DataFrame(links, columns=["a", "b"])
         x, y = np.stack(left["sketch"].to_list()), np.stack(right["sketch"].to_list())
         bits = np.zeros((len(x), len(y)), np.int64)
         for k in range(x.shape[1]):
             bits += np.bitwise_count((x[:, k, None] ^ y[None, :, k]).view(np.uint64))
         similar = 1 + np.log(np.maximum(1 - 2 * bits / SKETCH_BITS, 1e-9)) * SKETCH_BITS / (4 * SAMPLES)
         n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-        likely = (similar >= LEAST_ESTIMATE) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+        own, others = left["alone"].to_numpy()[:, None], right["alone"].to_numpy()[None, :]
+        most, least = np.minimum(n - own, m - others), np.maximum(n + others, m + own)  # of both; of either
+        likely = (similar >= LEAST_ESTIMATE) & (100 * most >= PERCENT * least)
         names = {label: k for k, label in enumerate({*left["label"], *right["label"]})}
         one, two = left["label"].map(names).to_numpy(), right["label"].map(names).to_numpy()
         likely &= one[:, None] != two[None, :]
-        rank = np.argsort(np.argsort(np.where(likely, -similar, 2.0), axis=1, kind="stable"), axis=1)
-        at, to = np.nonzero(likely & (rank < most))
-        more = bool((likely.sum(axis=1) > most).any())
-        a, b = left["class"].to_numpy()[at], right["class"].to_numpy()[to]
-        ordered = [(p, q) if p < q else (q, p) for p, q in zip(a, b, strict=True)]
-        out = pd.DataFrame(sorted(set(ordered)), columns=["a", "b"])
-        return out.assign(more=more)
+        at, to = np.nonzero(np.triu(likely) if same else likely)
+        here, before = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        x, y = np.stack(left["bands"].to_list()), np.stack(right["bands"].to_list())
+        for k in range(BANDS):
+            shared = x[at, k] == y[to, k]
+            here |= shared & ~before & (x[at, k] == bucket)
+            before |= shared
+        at, to = at[here], to[here]
+        order = np.argsort(-similar[at, to], kind="stable")
+        a, b = left["class"].to_list(), right["class"].to_list()
+        shingles, further = left["shingles"].to_list(), right["shingles"].to_list()
+        top = list(range(len(names)))
+
+        def component(label: int) -> int:
+            while top[label] != label:
+                label = top[label]
+            return label
+
+        for p, q in zip(at[order].tolist(), to[order].tolist(), strict=True):
+            ends = component(one[p]), component(two[q])
+            if ends[0] != ends[1]:
+                common = len(np.intersect1d(shingles[p], further[q], assume_unique=True))
+                if 100 * common >= PERCENT * (len(shingles[p]) + len(further[q]) - common):
+                    top[max(ends)] = min(ends)
+                    links.append((a[p], b[q]))
+        return pd.DataFrame(links, columns=["a", "b"])
 
     # A stated number of tasks: the blocks are few bytes, but each takes its time.
     tasks = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j")
-    return dealt.applyInPandas(block, "a binary, b binary, more boolean")
+    return dealt.applyInPandas(block, "a binary, b binary")
 
 
 def near_duplicates(
@@ -309,28 +365,21 @@ def near_duplicates(
     larger = shared.where("size > 2").select("class", "bucket")
     likely = materialise(_likely(stars, classes), "likely")
     comps = None
-    if not likely.isEmpty():
-        texts = _texts_of(likely, classes, docs, text)
+    if not shared.isEmpty():
+        named = likely.select(F.col("a").alias("class")).union(likely.select("b")).union(larger.select("class"))
+        texts = _texts_of(named, classes, docs, text)
         best = likely.groupBy("b").agg(
             F.max_by("a", F.struct("estimate", "a")).alias("a"),
         ).select("a", "b")
-        comps = _joined(None, _confirmed(materialise(best, "best"), texts))
+        best = materialise(best, "best")
+        comps = _joined(None, _confirmed(best, texts))
         rest = likely.join(best, ["a", "b"], "left_anti").select("a", "b")
         if comps is not None:
             rest = _labelled(_labelled(rest, comps, "a"), comps, "b").where("label_a <> label_b")
         rest = materialise(rest.select("a", "b"), "rest")
         if not rest.isEmpty():
             comps = _joined(comps, _confirmed(rest, texts))
-        tested = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        for most in (4, 32, 2 * BLOCK_CLASSES):  # the last is all that a block holds
-            found = materialise(_across(larger, classes, comps, most), "across")
-            fresh = found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-            fresh = materialise(fresh, "across-fresh")
-            if not fresh.isEmpty():
-                comps = _joined(comps, _confirmed(fresh, _texts_of(fresh, classes, docs, text)))
-                tested = tested.unionByName(fresh)
-            if found.where("more").isEmpty():  # no class had further likely partners
-                break
+        comps = _joined(comps, materialise(_across(larger, classes, comps, texts), "across"))
     least = signed.where("n > 0").groupBy("class").agg(F.min("id").alias("least"))
     if comps is not None:
         label = comps.withColumnRenamed("node", "class")

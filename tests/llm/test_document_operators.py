@@ -293,6 +293,25 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == near_by_brute_force(rows)
 
 
+def test_band_groups_hand_on_fewer_rows_than_they_have_classes(spark, monkeypatch):
+    counts, write = {}, near_dedup.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        counts[label] = max(out.count(), counts.get(label, 0))
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", counted)
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(300)]
+    shared = prose(rng, 40, words)
+    rows = [(i, shared + " " + prose(rng, 12, words)) for i in range(60)]  # alike, but mostly no links
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = near_duplicates(df, keep=["doc_id"]).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == near_by_brute_force(rows)
+    assert counts["across"] < counts["classes"] == 60
+
+
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     schema = "doc_id long, text string"
     assert near_duplicates(spark.createDataFrame([], schema), keep=["doc_id"]).collect() == []

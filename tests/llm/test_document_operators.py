@@ -119,6 +119,21 @@ def test_occurrences_of_a_word_are_segmented_for_themselves(spark, vocabulary):
     assert ids[: len(ids) - 1] == [i for w in ways for i in w][: len(ids) - 1]
 
 
+@pytest.mark.parametrize(("dropout", "variants"), [(0.0, None), (0.1, None), (0.6, 3), (1.0, None)])
+def test_words_are_merged_side_by_side(tables, vocabulary, monkeypatch, dropout, variants):
+    texts = [t or "" for t in sample_texts(None, tables)]
+    segmenter, expected = Segmenter(vocabulary, dropout, 5, variants), []
+    for t in texts:
+        units = segmenter.unit.findall(" " + t) if t else []
+        states = segmenter.states(t, units).tolist() if units else []
+        expected.append([i for u, s in zip(units, states, strict=True) for i in segmenter.ids_by_heap(u, s)])
+    alone, one_by_one = [], segmenter.segmented
+    monkeypatch.setattr(segmenter, "segmented", lambda unit, skips: alone.append(unit) or one_by_one(unit, skips))
+    ids, sizes = segmenter.encode_all(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == expected
+    assert all(len(u) > 64 or "  " in u or any(c not in segmenter.of_character for c in u) for u in alone)
+
+
 # --- quality rules -------------------------------------------------------------------------------
 
 
